@@ -4,13 +4,13 @@
 group and impossible for a group with a third of all rows.  ``quantiles`` therefore
 
 1. counts equal values per group (partial aggregation, spread over ``(group, value)``),
-2. finds per group count, minimum and maximum,
-3. lays an equal-width grid of ``BINS`` bins over it and keeps only the bins that hold a wanted
-   rank, twice, so that about ``1 / BINS**2`` of the value range is left,
+2. adds the counts up per magnitude band (power of two and ``BANDS`` slices of it, a fixed
+   monotone function of the value) and keeps only the bands that hold a wanted rank,
+3. cuts those bands into ``BINS`` equal bins between their extremes and keeps the wanted bins,
 4. walks the few remaining values in order.
 
-Bins depend only on counts and extremes, which do not depend on the order of merging, so a
-recomputed task after an executor loss sees the same bins.
+Bands and bins depend only on values, counts and extremes, not on the order of merging, so a task
+recomputed after an executor loss sees the same ones.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 2048
-LEVELS = 2
+BANDS = 1024
+BINS = 1024
 HOT_ROWS = 1_000_000
 
 
@@ -46,19 +46,21 @@ def _interpolate(n: Column, values: Column, p: float) -> Column:
     return v0 + (h - low) * (v1 - v0)
 
 
-def quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    few_groups: bool = True,
-    bins: int = BINS,
-    levels: int = LEVELS,
-) -> DataFrame:
+def magnitude_band(v: Column, bands: int = BANDS) -> Column:
+    """Monotone whole-number band of a finite double: exponent of two, then ``bands`` slices of it."""
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    slot = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * bands)
+    # doubles have exponents above -1100, so the shifted band is positive
+    band = (exponent + 1100) * bands + slot
+    return F.when(v > 0, band).when(v < 0, -band).otherwise(F.lit(0)).cast("long")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = True) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per probability (see ``quantile_name``).
 
     ``few_groups`` states that the groups are bounded by construction (splits, folds, a column
-    list): the per-group tables then have at most ``groups * 2 * len(probs)`` rows and are broadcast.
+    list): the located bands have at most ``groups * 2 * len(probs)`` rows and are broadcast.
     Leave it False for data-dependent groups; Spark then picks the join from measured sizes.
     """
     by = list(by)
@@ -68,50 +70,40 @@ def quantiles(
         rows = rows.withColumn("_all", F.col("_v").isNotNull())
     # -0.0 and 0.0 are one value
     counted = rows.groupBy(*groups, (F.col("_v") + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("_band", magnitude_band(F.col("_v")))
 
     def small(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if few_groups else table
 
-    # A "cell" is a value range of one group that still holds wanted ranks; ``_base`` values lie below it.
-    cells = counted.groupBy(*groups).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"), F.sum("_c").alias("_m")
-    )
-    cells = cells.select(
-        *groups, F.lit(0).cast("long").alias("_cell"), "_lo", "_hi", "_n", F.lit(0).cast("long").alias("_base"),
-        _wanted_ranks(F.col("_n"), probs).alias("_ranks"),
+    def holding_ranks(table: DataFrame) -> DataFrame:
+        """Rows of a running count whose share contains a wanted rank, with those ranks."""
+        held = F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_m")))
+        return table.withColumn("_held", held).where(F.size("_held") > 0).withColumn("_ranks", F.col("_held")).drop("_held")
+
+    def before(window) -> Column:
+        return F.coalesce(F.sum("_m").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    whole = Window.partitionBy(*groups)
+    bands = counted.groupBy(*groups, "_band").agg(
+        F.sum("_c").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    alive = counted.withColumn("_cell", F.lit(0).cast("long"))
-    for _ in range(levels):
-        spread = F.col("_hi") - F.col("_lo")
-        offset = F.when(spread > 0, F.floor((F.col("_v") - F.col("_lo")) / spread * F.lit(bins))).otherwise(F.lit(0))
-        step = alive.join(small(cells.drop("_n", "_ranks", "_base")), [*groups, "_cell"])
-        step = step.select(
-            *groups, "_v", "_c", F.col("_cell").alias("_parent"),
-            (F.col("_cell") * F.lit(bins) + F.least(offset, F.lit(bins - 1))).cast("long").alias("_cell"),
-        )
-        totals = step.groupBy(*groups, "_parent", "_cell").agg(
-            F.sum("_c").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-        )
-        order = Window.partitionBy(*groups, "_parent").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        parents = cells.select(*groups, F.col("_cell").alias("_parent"), "_n", "_base", "_ranks")
-        located = totals.withColumn("_before", F.coalesce(F.sum("_m").over(order), F.lit(0))).join(
-            small(parents), [*groups, "_parent"]
-        )
-        # own names: inside a lambda, a select alias of the same name would win over the input column
-        located = located.withColumn("_start", F.col("_base") + F.col("_before"))
-        held = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_start") + F.col("_m")))
-        located = located.withColumn("_held", held).where(F.size("_held") > 0)
-        cells = located.select(
-            *groups, "_cell", "_lo", "_hi", "_n", F.col("_start").alias("_base"), F.col("_held").alias("_ranks")
-        )
-        alive = step.select(*groups, "_cell", "_v", "_c")
-    last = alive.join(small(cells), [*groups, "_cell"])
-    walk = Window.partitionBy(*groups, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = last.withColumn("_from", F.col("_base") + F.coalesce(F.sum("_c").over(walk), F.lit(0)))
-    hits = ranked.select(
-        *groups, "_n", "_v",
-        F.explode(F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_c")))).alias("_r"),
+    bands = bands.withColumn("_n", F.sum("_m").over(whole)).withColumn("_from", before(whole.orderBy("_band")))
+    bands = holding_ranks(bands.withColumn("_ranks", _wanted_ranks(F.col("_n"), probs))).drop("_m")
+
+    spread = F.col("_hi") - F.col("_lo")
+    bin_of = F.when(spread > 0, F.floor((F.col("_v") - F.col("_lo")) / spread * F.lit(BINS))).otherwise(F.lit(0))
+    inside = counted.join(small(bands), [*groups, "_band"]).withColumn("_bin", F.least(bin_of, F.lit(BINS - 1)).cast("long"))
+    inside = inside.select(*groups, "_band", "_bin", "_v", "_c", "_n", "_from", "_ranks")
+    bins = inside.groupBy(*groups, "_band", "_bin").agg(
+        F.sum("_c").alias("_m"), F.first("_n").alias("_n"), F.first("_from").alias("_base"), F.first("_ranks").alias("_ranks")
     )
+    bins = bins.withColumn("_from", F.col("_base") + before(Window.partitionBy(*groups, "_band").orderBy("_bin")))
+    bins = holding_ranks(bins).select(*groups, "_band", "_bin", "_n", F.col("_from").alias("_base"), "_ranks")
+
+    walk = Window.partitionBy(*groups, "_band", "_bin").orderBy("_v")
+    last = inside.select(*groups, "_band", "_bin", "_v", F.col("_c").alias("_m")).join(small(bins), [*groups, "_band", "_bin"])
+    hits = holding_ranks(last.withColumn("_from", F.col("_base") + before(walk)))
+    hits = hits.select(*groups, "_n", "_v", F.explode("_ranks").alias("_r"))
     # bounded: at most 2 * len(probs) order statistics per group
     found = hits.groupBy(*groups, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
     return found.select(

@@ -52,10 +52,10 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value by priority and day, dense; a day without orders sums to 0."""
+    """Log order value by priority and day, dense; a day without orders is 0."""
     o = table(spark, sf_dir, "orders")
     grouped = o.groupBy(F.col("o_orderpriority").alias("series_id"), truncate(F.col("o_orderdate"), "day").alias("ts")).agg(
-        (F.sum("o_totalprice") / 1000.0).alias("y"), F.count(F.lit(1)).cast("double").alias("orders")
+        F.log1p(F.sum("o_totalprice") / 1000.0).alias("y"), F.count(F.lit(1)).cast("double").alias("orders")
     )
     return densify(grouped, DAILY, {"y": 0.0, "orders": 0.0})
 
@@ -102,7 +102,7 @@ CTES: dict[str, str] = {
     "hourly_cells": "hourly_cells AS (SELECT 'ALL' AS series_id, date_trunc('hour', ts) AS ts, avg(value) AS y FROM events GROUP BY 1, 2)",
     "hourly": _dense("hourly_cells", "hourly", "HOUR", "c.y"),
     "daily_cells": """daily_cells AS (SELECT o_orderpriority AS series_id, date_trunc('day', o_orderdate) AS ts,
-  sum(o_totalprice) / 1000.0::DOUBLE AS y, count(*)::DOUBLE AS orders FROM orders GROUP BY 1, 2)""",
+  ln(1.0::DOUBLE + sum(o_totalprice) / 1000.0::DOUBLE) AS y, count(*)::DOUBLE AS orders FROM orders GROUP BY 1, 2)""",
     "daily": _dense("daily_cells", "daily", "DAY", "coalesce(c.y, 0.0) AS y, coalesce(c.orders, 0.0) AS orders"),
     "ships_cells": """ships_cells AS (SELECT l_returnflag AS series_id, date_trunc('day', l_shipdate) AS ts,
   sum(l_extendedprice) / 1000.0::DOUBLE AS y, sum(l_quantity) AS qty, avg(l_discount) AS disc, avg(l_tax) AS tax FROM lineitem GROUP BY 1, 2)""",
