@@ -118,7 +118,7 @@ PREP_SQL = f"""SELECT l_returnflag, l_linenumber, l_linestatus, {{0}} FROM (SELE
 @query("prep_impute_only", sql="SELECT l_returnflag, l_linenumber, count(*) AS n, "
        + ", ".join(f"sum({c}) AS {c}" for c in NUMBERS) + " FROM ("
        + PREP_SQL.format(", ".join(f"coalesce({c}, med_{c}) AS {c}" for c in NUMBERS)) + ") GROUP BY 1, 2",
-       doubles=NUMBERS, digits=dict.fromkeys(NUMBERS, 3))
+       doubles=NUMBERS, whole=["l_linenumber"], digits=dict.fromkeys(NUMBERS, 3))
 def prep_impute_only(spark, sf):
     """PP-3: median imputation without scaling."""
     rows = masked_lines(spark, sf)
