@@ -7,7 +7,7 @@ solved inside tasks, one group per row.  The driver sees no data row, no matrix
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.contract import ContractError, require_columns
 from panelcast.functions.numeric import balanced_sum, strict_mean
 from panelcast.operators.prep import SCALER_FIELDS, fit_scaler, standardised
+from panelcast.sources.staging import stage
 
 # Regularisation grids of the tuning stages.
 ALPHA_GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
@@ -138,17 +139,26 @@ def _solve_groups(grams: DataFrame, by: Sequence[str], schema: str, solver) -> D
     return grams.mapInPandas(run, f"{_keys_schema(grams, by)}, {schema}")
 
 
-def solve_ridge(grams: DataFrame, by: Sequence[str], p: int, alphas: Sequence[float]) -> DataFrame:
-    """(X'X + αI) w = X'(y − ȳ) for every α from the same Gram (MD-3, MD-4)."""
+def solve_ridge(grams: DataFrame, by: Sequence[str], p: int, alphas: Sequence[float], subsets: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
+    """(X'X + αI) w = X'(y − ȳ) for every α from the same Gram (MD-3, MD-4).
+
+    ``subsets`` names index lists: each is solved on its block of the Gram and its coefficients are
+    placed back with zeros elsewhere, so nested feature sets share one pass over the data.
+    """
     alphas = [float(a) for a in alphas]
+    chosen = {name: list(index) for name, index in (subsets or {"": range(p)}).items()}
 
     def solver(cells, n):
         xtx, xty, y_mean, _ = _normal_equations(cells, p)
-        for a in alphas:
-            w = np.linalg.solve(xtx + a * np.eye(p), xty)
-            yield {"alpha": a, "coef": w.tolist(), "intercept": y_mean}
+        for name, index in chosen.items():
+            block, rhs = xtx[np.ix_(index, index)], xty[index]
+            for a in alphas:
+                w = np.zeros(p)
+                w[index] = np.linalg.solve(block + a * np.eye(len(index)), rhs)
+                yield {"method": name, "alpha": a, "coef": w.tolist(), "intercept": y_mean}
 
-    return _solve_groups(grams, by, "alpha double, coef array<double>, intercept double", solver)
+    out = _solve_groups(grams, by, "method string, alpha double, coef array<double>, intercept double", solver)
+    return out if subsets else out.drop("method")
 
 
 def _soft(rho: float, limit: float) -> float:
@@ -214,18 +224,20 @@ def with_scaler(models: DataFrame, scaler: DataFrame, by: Sequence[str]) -> Data
 def fit_ridge(train: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", alphas: Sequence[float] = (FINAL_ALPHA,), weight: str | None = None) -> DataFrame:
     """Median-impute, standardise and fit ridge per group (MD-3, MD-4, MD-5).
 
+    Stages two small tables, one row per group: the scaler and the models.
     With ``weight`` the centre of y is the weighted mean while X keeps its unweighted scaling.
     """
     require_columns(train, [*by, *columns, y])
-    scaler = fit_scaler(train, by, columns)
+    scaler = stage(fit_scaler(train, by, columns))
     grams = gram(train, by, columns, y, weight, scaler)
-    return with_scaler(solve_ridge(grams, by, len(columns), alphas), scaler, by)
+    return stage(with_scaler(solve_ridge(grams, by, len(columns), alphas), scaler, by))
 
 
 def fit_elastic_net(train: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", alphas: Sequence[float] = ENET_ALPHAS,
                     l1_ratios: Sequence[float] = ENET_L1_RATIOS) -> DataFrame:
-    scaler = fit_scaler(train, by, columns)
-    return with_scaler(solve_elastic_net(gram(train, by, columns, y, scaler=scaler), by, len(columns), alphas, l1_ratios), scaler, by)
+    scaler = stage(fit_scaler(train, by, columns))
+    grams = gram(train, by, columns, y, scaler=scaler)
+    return stage(with_scaler(solve_elastic_net(grams, by, len(columns), alphas, l1_ratios), scaler, by))
 
 
 def linear_terms(columns: Sequence[str]) -> list[Column]:
@@ -286,11 +298,12 @@ def choose_weight(df: DataFrame, by: Sequence[str], columns: Sequence[str], thre
     """
     fit = F.col("inner_role") == "fit"
     candidates = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("high_weight")
-    scaler = fit_scaler(df, by, columns)
+    scaler = stage(fit_scaler(df, by, columns))
     rows = df.where(fit).select("*", candidates)
     rows = rows.withColumn("_sw", F.when(F.col(y) >= F.col(threshold), F.col("high_weight")).otherwise(F.lit(1.0)))
     keys = [*by, "high_weight"]
-    models = solve_ridge(_gram_with_scaler(rows, keys, by, columns, y, scaler), keys, len(columns), [alpha]).join(scaler, list(by))
+    solved = solve_ridge(_gram_with_scaler(rows, keys, by, columns, y, scaler), keys, len(columns), [alpha])
+    models = stage(solved.join(scaler, list(by)))
     scored = score(df.where(~fit), models, by, columns)
     maes = scored.groupBy(*by, "high_weight").agg(F.avg(F.abs(F.col("pred") - F.col(y))).alias("mae"))
     # a larger weight must beat a smaller one by more than rounding noise
@@ -310,10 +323,10 @@ def fit_booster(train: DataFrame, by: Sequence[str], columns: Sequence[str], y:
     whole train block is fitted with it (MD-11)."""
     fit, stop = train.where(F.col("inner_role") == "fit"), train.where(F.col("inner_role") == "stop")
     p, config = len(columns), ["reg_lambda", "rate"]
-    scaler = fit_scaler(train, by, columns)
-    paths = with_scaler(solve_linear_booster(gram(fit, by, columns, y, scaler=scaler), by, p, lambdas, rates, rounds), scaler, by)
+    scaler = stage(fit_scaler(train, by, columns))
+    paths = stage(with_scaler(solve_linear_booster(gram(fit, by, columns, y, scaler=scaler), by, p, lambdas, rates, rounds), scaler, by))
     tail = score(stop, paths, by, columns)
     tail = tail.groupBy(*by, *config, "rounds").agg(F.avg(F.abs(F.col("pred") - F.col(y))).alias("mae"))
     chosen = tail.groupBy(*by, *config).agg(F.min_by("rounds", F.struct("mae", "rounds")).alias("rounds"))
     full = with_scaler(solve_linear_booster(gram(train, by, columns, y, scaler=scaler), by, p, lambdas, rates, rounds), scaler, by)
-    return full.join(chosen, [*by, *config, "rounds"], "left_semi")
+    return stage(full.join(chosen, [*by, *config, "rounds"], "left_semi"))
