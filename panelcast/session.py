@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import SparkSession
 
+import panelcast
+
+# Task functions travel with their code, so executors need no copy of this package on their path.
+register_pickle_by_value(panelcast)
+
 # The time contract: NTZ columns hold UTC, so casts NTZ <-> TIMESTAMP must run in a UTC session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
