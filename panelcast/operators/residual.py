@@ -26,13 +26,19 @@ FIT_WINDOW = 1440
 BLOCK = 24
 PHI_LIMIT = 0.999
 
-ERROR = F.col("y") - F.col("pred")
-TRAIN = F.col("role") == "train"
+
+def error() -> Column:
+    """Actual minus prediction."""
+    return F.col("y") - F.col("pred")
+
+
+def in_train() -> Column:
+    return F.col("role") == "train"
 
 
 def bias_addend(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean train error per group (RC-2)."""
-    return df.where(TRAIN).groupBy(*by).agg(F.avg(ERROR).alias("addend"))
+    return df.where(in_train()).groupBy(*by).agg(F.avg(error()).alias("addend"))
 
 
 def weighted_addend(df: DataFrame, by: Sequence[str], hours: Column, tau: float = TAU_HOURS) -> DataFrame:
@@ -42,7 +48,7 @@ def weighted_addend(df: DataFrame, by: Sequence[str], hours: Column, tau: float
     relative to the end of the bucket, then rescaled to the latest time: no exponent can overflow
     and no row has to learn the group maximum.
     """
-    rows = df.where(TRAIN & ERROR.isNotNull()).select(*by, ERROR.alias("_e"), hours.alias("_h"))
+    rows = df.where(in_train() & error().isNotNull()).select(*by, error().alias("_e"), hours.alias("_h"))
     rows = rows.withColumn("_b", F.floor(F.col("_h") / tau).cast("long"))
     weight = F.exp(F.col("_h") / tau - F.col("_b") - 1)
     buckets = rows.groupBy(*by, "_b").agg(
@@ -73,19 +79,19 @@ def regime_addends(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
     The four addends sit in one row per group; an empty regime takes the overall mean.
     """
-    train = df.where(TRAIN)
+    train = df.where(in_train())
     edges = quantiles(train, by, "y", [0.25, 0.5, 0.75]).drop("n")
     regime = regime_of(F.col("pred"), [F.col("q0_25"), F.col("q0_5"), F.col("q0_75")])
     labelled = train.join(edges, list(by)).withColumn("_reg", regime)
     cols = [
-        F.coalesce(F.avg(F.when(F.col("_reg") == r, ERROR)), F.avg(ERROR)).alias(f"add_{r}") for r in range(4)
+        F.coalesce(F.avg(F.when(F.col("_reg") == r, error())), F.avg(error())).alias(f"add_{r}") for r in range(4)
     ]
     return labelled.groupBy(*by, "q0_25", "q0_5", "q0_75").agg(*cols)
 
 
 def linear_calibration(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Least squares y = a + b · pred on train; constant predictions give b = 1 (RC-5)."""
-    ok = TRAIN & ERROR.isNotNull()
+    ok = in_train() & error().isNotNull()
     y, p = F.when(ok, F.col("y")), F.when(ok, F.col("pred"))
     sums = df.groupBy(*by).agg(
         F.var_pop(p).alias("_v"), F.covar_pop(p, y).alias("_c"), F.avg(p).alias("_mp"), F.avg(y).alias("_my")
@@ -121,11 +127,11 @@ METHODS = ("no_correction", "fold_train_bias", "expanding_historical", "regime_a
 
 def specialist_addend(df: DataFrame, by: Sequence[str], detected: Column) -> DataFrame:
     """Extra mean train error where a row is detected as high; none detected gives 0 (RC-6)."""
-    hit = TRAIN & F.coalesce(detected, F.lit(False))
-    return df.groupBy(*by).agg(F.coalesce(F.avg(F.when(hit, ERROR)), F.lit(0.0)).alias("extra"))
+    hit = in_train() & F.coalesce(detected, F.lit(False))
+    return df.groupBy(*by).agg(F.coalesce(F.avg(F.when(hit, error())), F.lit(0.0)).alias("extra"))
 
 
-def fit_phi(errors: DataFrame, by: Sequence[str], order: str, error: str = "error", window: int = FIT_WINDOW) -> DataFrame:
+def fit_phi(errors: DataFrame, by: Sequence[str], order: str, column: str = "error", window: int = FIT_WINDOW) -> DataFrame:
     """AR(1) coefficient and last error of the final ``window`` steps of each group (RC-7).
 
     ``order`` is a step position.  The tail is cut by position first, so the window below sees at
@@ -133,7 +139,7 @@ def fit_phi(errors: DataFrame, by: Sequence[str], order: str, error: str = "erro
     """
     ends = errors.groupBy(*by).agg(F.max(order).alias("_end"))
     tail = errors.join(ends, list(by)).where(F.col(order) > F.col("_end") - window)
-    tail = tail.withColumn("_r", finite(F.col(error))).where(F.col("_r").isNotNull())
+    tail = tail.withColumn("_r", finite(F.col(column))).where(F.col("_r").isNotNull())
     w = Window.partitionBy(*by).orderBy(order)
     pairs = tail.withColumn("_prev", F.lag("_r").over(w))
     sums = pairs.groupBy(*by).agg(
@@ -159,7 +165,7 @@ def block_correction(df: DataFrame, by: Sequence[str], state: DataFrame, offset:
     # the state row of block b sits at offset b * block - 1 - delay
     at = o + 1 + state_delay
     donors = df.where(F.pmod(at, F.lit(block)) == 0).select(
-        *by, F.floor(at / block).cast("long").alias("_block"), ERROR.alias("_state")
+        *by, F.floor(at / block).cast("long").alias("_block"), error().alias("_state")
     )
     joined = placed.join(donors, [*by, "_block"], "left").join(state, list(by))
     start = F.when(F.col("_block") == 0, F.col("last_error")).otherwise(F.coalesce(F.col("_state"), F.lit(0.0)))
@@ -176,7 +182,7 @@ def horizon_addend(phi: Column, last_error: Column, h: Column) -> Column:
 def one_step(df: DataFrame, spec: PanelSpec, by: Sequence[str], state: DataFrame) -> DataFrame:
     """One-step AR diagnostic: phi · previous error; uses t−1 and is not a day-ahead forecast (RC-10)."""
     staged = chunked(df, INDEX, lookback=1)
-    previous = home_rows(staged.withColumn("_prev", value_at(ERROR, chunk_window(by, INDEX), 1)))
+    previous = home_rows(staged.withColumn("_prev", value_at(error(), chunk_window(by, INDEX), 1)))
     joined = previous.join(state, list(by))
     add = F.col("phi") * F.coalesce(F.col("_prev"), F.col("last_error"))
     return joined.withColumn("corrected", F.col("pred") + add).drop("_prev", "phi", "last_error")
@@ -184,7 +190,7 @@ def one_step(df: DataFrame, spec: PanelSpec, by: Sequence[str], state: DataFrame
 
 def lag_one_correlation(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Correlation of successive errors (RC-12)."""
-    staged = chunked(df.withColumn("_e", ERROR), INDEX, lookback=1)
+    staged = chunked(df.withColumn("_e", error()), INDEX, lookback=1)
     pairs = home_rows(staged.withColumn("_prev", value_at(F.col("_e"), chunk_window(by, INDEX), 1)))
     return pairs.groupBy(*by).agg(F.corr("_e", "_prev").alias("lag1_corr"))
 
@@ -195,15 +201,15 @@ def lag_one_correlation(df: DataFrame, by: Sequence[str]) -> DataFrame:
 AR_CANDIDATES = {"AR1": (1,), "SAR1x24": (1, 24, 25)}
 
 
-def ar_equations(errors: DataFrame, by: Sequence[str], order: str, error: str = "error", window: int = FIT_WINDOW) -> DataFrame:
+def ar_equations(errors: DataFrame, by: Sequence[str], order: str, column: str = "error", window: int = FIT_WINDOW) -> DataFrame:
     """Cross products of the error and its lags {1, 24, 25} over the last ``window`` steps: the normal
     equations of every candidate come from this one small row per group."""
     ends = errors.groupBy(*by).agg(F.max(order).alias("_end"))
     tail = errors.join(ends, list(by)).where(F.col(order) > F.col("_end") - window)
     # at most ``window`` rows per group are left
     w = Window.partitionBy(*by).orderBy(order)
-    at = lambda k: F.first(F.col(error)).over(w.rangeBetween(-k, -k))
-    z = tail.select(*by, F.col(error).alias("z0"), at(1).alias("z1"), at(24).alias("z24"), at(25).alias("z25")).dropna()
+    at = lambda k: F.first(F.col(column)).over(w.rangeBetween(-k, -k))
+    z = tail.select(*by, F.col(column).alias("z0"), at(1).alias("z1"), at(24).alias("z24"), at(25).alias("z25")).dropna()
     names = ["z0", "z1", "z24", "z25"]
     products = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
     return z.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *products)
@@ -248,7 +254,7 @@ def ar_block_forecast(df: DataFrame, by: Sequence[str], ladder: DataFrame, offse
     """
     depth = 25
     o = F.col(offset)
-    base = df.where(o >= -depth).select(*by, offset, ERROR.alias("_e"))
+    base = df.where(o >= -depth).select(*by, offset, error().alias("_e"))
     reach = F.sequence(F.floor(F.greatest(o, F.lit(0)) / block), F.floor((o + depth) / block))
     # a row serves its own block and every block that starts within the next 25 steps
     member = base.withColumn("_block", F.explode(F.filter(reach, lambda b: b >= 0)))

@@ -13,7 +13,10 @@ from panelcast.sources.staging import stage
 
 X = ["l_quantity", "l_discount"]
 FLAG = ["l_returnflag"]
-HOURS = F.col("pos") * 24.0
+
+
+def hours():
+    return F.col("pos") * 24.0
 
 
 def lines(spark, sf):
@@ -217,7 +220,7 @@ def model_top_coefficients(spark, sf):
 
 
 def strategy_predictions(spark, sf, history="joined"):
-    return walk_forward.strategies(fold_table(spark, sf), views.FOLD, DAILY, BASE, LEVELS, SHARES, 1, PAIRS, "y_lag_1", HOURS, history=history)
+    return walk_forward.strategies(fold_table(spark, sf), views.FOLD, DAILY, BASE, LEVELS, SHARES, 1, PAIRS, "y_lag_1", hours(), history=history)
 
 
 @query("model_strategy_comparison")
@@ -236,7 +239,7 @@ def model_strategy_block_history(spark, sf):
 def model_frozen_pipeline(spark, sf):
     """FC-3: development fit, one locked test score, model against naive."""
     rows = splits.chronological_split(model_table(spark, sf))
-    test = walk_forward.frozen_pipeline(rows, DAILY, BASE, SHARES, 1, HOURS)["test"]
+    test = walk_forward.frozen_pipeline(rows, DAILY, BASE, SHARES, 1, hours())["test"]
     model = evaluate.metrics(test, ["series_id"]).withColumn("model", F.lit("ridge_shares_ar1"))
     naive = evaluate.metrics(test, ["series_id"], pred="y_lag_7").withColumn("model", F.lit("naive"))
     return model.unionByName(naive)

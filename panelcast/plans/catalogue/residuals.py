@@ -11,7 +11,11 @@ from panelcast.operators.grid import future_steps
 from panelcast.plans import views
 from panelcast.plans.registry import query
 
-HOURS = F.col("pos") * 24.0
+
+def hours():
+    return F.col("pos") * 24.0
+
+
 VALIDATION = "(SELECT * FROM folds WHERE role = 'validation')"
 JOIN = "ON e.series_id = v.series_id AND e.fold = v.fold"
 
@@ -23,7 +27,7 @@ def _corrected(edges: str, expr: str) -> str:
 def _register(method: str, name: str, edges: str, expr: str) -> None:
     @query(name, ["folds"], sql=_corrected(edges, expr), doubles=["pred", "corrected"], whole=["fold"], stamps=["ts"])
     def job(spark, sf):
-        out = residual.correct(views.folds(spark, sf), views.FOLD, method, HOURS)
+        out = residual.correct(views.folds(spark, sf), views.FOLD, method, hours())
         return out.where(F.col("role") == "validation").select("series_id", "fold", "ts", "pred", "corrected")
 
     job.__doc__ = f"Residual correction {method}."
