@@ -5,12 +5,12 @@ group and impossible for a group with a third of all rows.  ``quantiles`` theref
 
 1. counts equal values per group (partial aggregation, spread over ``(group, value)``),
 2. adds the counts up per magnitude band (power of two and ``BANDS`` slices of it, a fixed
-   monotone function of the value) and keeps only the bands that hold a wanted rank,
-3. cuts those bands into ``BINS`` equal bins between their extremes and keeps the wanted bins,
-4. walks the few remaining values in order.
+   monotone function of the value), at most ``BANDS`` rows per power of two a group spans,
+3. keeps only the bands that hold a wanted rank and walks their distinct values in order; a band
+   is 1.5e-5 of its values wide, and its walk is a sort that can spill.
 
-Bands and bins depend only on values, counts and extremes, not on the order of merging, so a task
-recomputed after an executor loss sees the same ones.
+Bands depend on values only, not on the order of merging, so a task recomputed after an executor
+loss sees the same ones.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import all_present
 
-BANDS = 1024
-BINS = 1024
+BANDS = 65_536
 HOT_ROWS = 1_000_000
 
 
@@ -58,12 +57,13 @@ def magnitude_band(v: Column, bands: int = BANDS) -> Column:
     return F.when(v > 0, band).when(v < 0, -band).otherwise(F.lit(0)).cast("long")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = True) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = True, distinct: bool = False) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per probability (see ``quantile_name``).
 
     Groups with a NULL key are left out, as in any join by that key.  ``few_groups`` states that the groups are bounded by construction (splits, folds, a column
     list): the located bands have at most ``groups * 2 * len(probs)`` rows and are broadcast.
     Leave it False for data-dependent groups; Spark then picks the join from measured sizes.
+    ``distinct`` adds ``nunique``, which the value counts give for free.
     """
     by = list(by)
     groups = by or ["_all"]
@@ -87,31 +87,21 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     def before(window) -> Column:
         return F.coalesce(F.sum("_m").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    whole = Window.partitionBy(*groups)
-    bands = counted.groupBy(*groups, "_band").agg(
-        F.sum("_c").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    bands = bands.withColumn("_n", F.sum("_m").over(whole)).withColumn("_from", before(whole.orderBy("_band")))
-    bands = holding_ranks(bands.withColumn("_ranks", _wanted_ranks(F.col("_n"), probs))).drop("_m")
-
-    spread = F.col("_hi") - F.col("_lo")
-    bin_of = F.when(spread > 0, F.floor((F.col("_v") - F.col("_lo")) / spread * F.lit(BINS))).otherwise(F.lit(0))
-    inside = counted.join(small(bands), [*groups, "_band"]).withColumn("_bin", F.least(bin_of, F.lit(BINS - 1)).cast("long"))
-    inside = inside.select(*groups, "_band", "_bin", "_v", "_c", "_n", "_from", "_ranks")
-    bins = inside.groupBy(*groups, "_band", "_bin").agg(
-        F.sum("_c").alias("_m"), F.first("_n").alias("_n"), F.first("_from").alias("_base"), F.first("_ranks").alias("_ranks")
-    )
-    bins = bins.withColumn("_from", F.col("_base") + before(Window.partitionBy(*groups, "_band").orderBy("_bin")))
-    bins = holding_ranks(bins).select(*groups, "_band", "_bin", "_n", F.col("_from").alias("_base"), "_ranks")
+    order = Window.partitionBy(*groups).orderBy("_band")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bands = counted.groupBy(*groups, "_band").agg(F.sum("_c").alias("_m"), F.count(F.lit(1)).alias("_d"))
+    bands = bands.withColumns({"_n": F.sum("_m").over(everything), "_u": F.sum("_d").over(everything), "_from": before(order)})
+    bands = holding_ranks(bands.withColumn("_ranks", _wanted_ranks(F.col("_n"), probs)))
+    bands = bands.select(*groups, "_band", "_n", "_u", F.col("_from").alias("_base"), "_ranks")
 
-    walk = Window.partitionBy(*groups, "_band", "_bin").orderBy("_v")
-    last = inside.select(*groups, "_band", "_bin", "_v", F.col("_c").alias("_m")).join(small(bins), [*groups, "_band", "_bin"])
+    walk = Window.partitionBy(*groups, "_band").orderBy("_v")
+    last = counted.withColumnRenamed("_c", "_m").join(small(bands), [*groups, "_band"])
     hits = holding_ranks(last.withColumn("_from", F.col("_base") + before(walk)))
-    hits = hits.select(*groups, "_n", "_v", F.explode("_ranks").alias("_r"))
+    hits = hits.select(*groups, "_n", "_u", "_v", F.explode("_ranks").alias("_r"))
     # bounded: at most 2 * len(probs) order statistics per group
-    found = hits.groupBy(*groups, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
+    found = hits.groupBy(*groups, "_n", "_u").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
     return found.select(
-        *by, F.col("_n").alias("n"),
+        *by, F.col("_n").alias("n"), *([F.col("_u").alias("nunique")] if distinct else []),
         *[_interpolate(F.col("_n"), F.col("_at"), p).alias(quantile_name(p)) for p in probs],
     )
 

@@ -259,10 +259,8 @@ def profile(df: DataFrame, columns: Sequence[str], approximate: bool = False) ->
         )
     else:
         long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "_v")
-        distinct = long.where(F.col("_v").isNotNull()).groupBy("column_name", "_v").agg(F.lit(1).alias("_one"))
-        rest = distinct.groupBy("column_name").agg(F.count("_one").alias("nunique")).join(
-            quantiles(long, ["column_name"], "_v", [0.5]).select("column_name", F.col("q0_5").alias("median")), "column_name"
-        )
+        rest = quantiles(long, ["column_name"], "_v", [0.5], distinct=True)
+        rest = rest.select("column_name", "nunique", F.col("q0_5").alias("median"))
     out = moments.join(rest, "column_name", "left").fillna(0, ["nunique"])
     return out.select(
         "column_name", "nulls", _ratio(F.col("nulls"), F.col("n_rows")).alias("null_pct"), "nunique",
