@@ -57,12 +57,14 @@ def magnitude_band(v: Column, bands: int = BANDS) -> Column:
     return F.when(v > 0, band).when(v < 0, -band).otherwise(F.lit(0)).cast("long")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = True, distinct: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = False, distinct: bool = False) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per probability (see ``quantile_name``).
 
-    Groups with a NULL key are left out, as in any join by that key.  ``few_groups`` states that the groups are bounded by construction (splits, folds, a column
-    list): the located bands have at most ``groups * 2 * len(probs)`` rows and are broadcast.
-    Leave it False for data-dependent groups; Spark then picks the join from measured sizes.
+    Groups with a NULL key are left out, as in any join by that key.  ``few_groups`` states that the
+    number of groups is bounded by construction (a column list, split names): the located bands then
+    have at most ``groups * 2 * len(probs)`` rows and are broadcast, as they are for one global group.
+    Otherwise Spark picks the join from measured sizes; its sort-merge form already has the
+    partitioning that the walk needs.
     ``distinct`` adds ``nunique``, which the value counts give for free.
     """
     by = list(by)
@@ -77,7 +79,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     counted = counted.withColumn("_band", magnitude_band(F.col("_v"))).where(F.col("_band").isNotNull())
 
     def small(table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if few_groups else table
+        return F.broadcast(table) if few_groups or not by else table
 
     def holding_ranks(table: DataFrame) -> DataFrame:
         """Rows of a running count whose share contains a wanted rank, with those ranks."""
@@ -117,4 +119,4 @@ def keyed_quantiles(
     cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.percentile(value, F.lit(float(p))).alias(quantile_name(p)) for p in probs]
     )
-    return cold.unionByName(quantiles(rows.join(hot, keys, "left_semi"), keys, value, probs, few_groups=False))
+    return cold.unionByName(quantiles(rows.join(hot, keys, "left_semi"), keys, value, probs))

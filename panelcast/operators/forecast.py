@@ -28,6 +28,7 @@ def readiness(audit: DataFrame, model: str) -> DataFrame:
 
 def strict_forecast(origins: DataFrame, spec: PanelSpec, ready: DataFrame, prediction: Column, model: str, horizon: int = 24) -> DataFrame:
     """Rows for h+1 … h+n; the prediction stays NULL while a required feature is not usable (FC-1)."""
+    # a row-dependent model column keeps this an equi-join with the one-row readiness table
     steps = future_steps(origins, spec, horizon).withColumn("model", F.concat(F.lit(model), F.substring("forecast_horizon", 1, 0)))
     out = steps.join(ready, "model", "left")
     ok = F.coalesce(F.col("production_ready"), F.lit(False))

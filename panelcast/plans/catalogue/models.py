@@ -289,3 +289,31 @@ def model_random_forest(spark, sf):
     rows = tree_rows(spark, sf)
     _, va = trees.fit_predict(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "validation"), BASE, trees.forest(QUERY_ROUNDS, 6))
     return evaluate.metrics(va, ["series_id"])
+
+
+@query("model_boosted_shares")
+def model_boosted_shares(spark, sf):
+    """MD-12: boosting on base and share columns, with and without the addend."""
+    from panelcast.functions.quantiles import quantiles
+
+    rows = stage(model_table(spark, sf))
+    rows = splits.development(splits.chronological_split(rows)).withColumn("role", F.col("split"))
+    p75 = quantiles(rows.where(F.col("role") == "train"), ["series_id"], "y", [0.75]).select("series_id", F.col("q0_75").alias("p75"))
+    rows = stage(walk_forward.add_shares(rows.join(p75, "series_id"), DAILY, SHARES, 1, F.col("p75")))
+    columns = [*BASE, *[f"share_high_{n}" for n in SHARES]]
+    out = walk_forward.boosting_with_shares(rows, ["series_id"], columns, hours(), trees.boosted(QUERY_ROUNDS, 0.1))
+    out = out.where(F.col("role") == "validation")
+    raw = evaluate.metrics(out, ["series_id"]).withColumn("model", F.lit("boosting_shares"))
+    added = evaluate.metrics(out, ["series_id"], pred="corrected").withColumn("model", F.lit("boosting_shares_addend"))
+    return raw.unionByName(added)
+
+
+@query("model_tuned_boosting")
+def model_tuned_boosting(spark, sf):
+    """MD-10: early stopping on the chronological tail and a refit (one configuration of the grid)."""
+    rows = tree_rows(spark, sf)
+    train = splits.inner_tail(rows.where(F.col("split") == "train"), splits.cut_at(F.col("n_steps"), splits.TRAIN_FRACTION))
+    fit, stop = train.where(F.col("inner_role") == "fit"), train.where(F.col("inner_role") == "stop")
+    validation = rows.where(F.col("split") == "validation").withColumn("inner_role", F.lit("validation"))
+    pred, rounds = trees.tuned_boosting(fit, stop, validation, BASE, trees.depth_grid()[3], rounds=20, patience=5)
+    return evaluate.metrics(pred, ["series_id"]).withColumn("rounds", F.lit(rounds))

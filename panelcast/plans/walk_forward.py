@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.contract import PanelSpec
 from panelcast.functions.quantiles import quantiles
-from panelcast.operators import evaluate, linear, residual, splits
+from panelcast.operators import evaluate, linear, residual, splits, trees
 from panelcast.operators.features import History, interactions
 from panelcast.operators.prep import fit_scaler
 from panelcast.sources.staging import stage
@@ -132,6 +132,17 @@ def evaluate_probs() -> tuple[float, ...]:
     return (0.25, 0.50, 0.75, 0.90, 0.95)
 
 
+def boosting_with_shares(rows: DataFrame, by: Sequence[str], columns: Sequence[str], hours: Column, estimator) -> DataFrame:
+    """Boosted trees on the share columns, raw and with the time-weighted addend (MD-12).
+
+    ``rows`` carries ``role``; the ensemble is fitted on the pooled train rows of all groups.
+    """
+    train, validation = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "validation")
+    tr, va = trees.fit_predict(train, validation, columns, estimator)
+    scored = stage(tr.unionByName(va).select(*by, "ts", "pos", "role", "y", "pred"))
+    return residual.correct(scored, by, "expanding_historical", hours)
+
+
 def stacked(oof: DataFrame, fresh: DataFrame, by: Sequence[str], bases: Sequence[str], alpha: float = linear.META_ALPHA) -> DataFrame:
     """Ridge on out-of-fold base predictions, applied to fresh base predictions (MD-13)."""
     meta = linear.fit_ridge(oof, by, bases, alphas=[alpha])
