@@ -27,7 +27,7 @@ def bounds(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def expected_grid(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Every step between the first and last observation of each series.
+    """Every step between the first and last observation of each series (keys and times of ``df``).
 
     Carries ``idx``, the zero-based ``pos`` and the series length ``n_steps``, so splits, folds and
     blocks further down are plain arithmetic.  The sequence is built in two explodes so that no
@@ -47,9 +47,13 @@ def expected_grid(df: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def densify(df: DataFrame, spec: PanelSpec, fill: dict[str, float] | None = None) -> DataFrame:
-    """Gap-free panel: missing steps appear as rows whose measures are NULL (or ``fill``)."""
-    out = expected_grid(df, spec).join(df, spec.key, "left")
+def densify(df: DataFrame, spec: PanelSpec, fill: dict[str, float] | None = None, extent: DataFrame | None = None) -> DataFrame:
+    """Gap-free panel: missing steps appear as rows whose measures are NULL (or ``fill``).
+
+    ``extent`` may name the raw rows behind ``df``: their range per series is a map-side combined
+    minimum and maximum, while taking it from an aggregated ``df`` would repeat that aggregation.
+    """
+    out = expected_grid(df if extent is None else extent, spec).join(df, spec.key, "left")
     return out.fillna(fill) if fill else out
 
 

@@ -136,7 +136,27 @@ def residual_lag_correlation(spark, sf):
     return residual.lag_one_correlation(views.folds(spark, sf).where(F.col("role") == "train"), views.FOLD)
 
 
-@query("residual_ar_ladder")
+def _det(m: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_G = [["g11", "g12", "g13"], ["g12", "g22", "g23"], ["g13", "g23", "g33"]]
+_R = ["r1", "r2", "r3"]
+_W = [f"{_det([[_R[i] if j == k else _G[i][j] for j in range(3)] for i in range(3)])} / {_det(_G)}" for k in range(3)]
+_AIC = "n * (ln(2 * pi() * sse / n) + 1) + 2 * (n_params + 1)"
+LADDER_SQL = f"""SELECT series_id, fold, model, n_params, {_AIC} AS aic, coef_lag_1 FROM (
+    SELECT series_id, fold, 'AR1' AS model, 1 AS n_params, n, r1 / g11 AS coef_lag_1, g00 - r1 * r1 / g11 AS sse FROM ar_sums UNION ALL
+    SELECT series_id, fold, 'SAR1x24', 3, n, w1, g00 - (w1 * r1 + w2 * r2 + w3 * r3) FROM (SELECT *, {', '.join(f'{w} AS w{k}' for k, w in enumerate(_W, start=1))} FROM ar_sums))"""
+views.CTES["ar_sums"] = """ar_sums AS (SELECT series_id, fold, count(*) AS n, sum(a * a) AS g00, sum(a * b) AS r1, sum(a * c) AS r2, sum(a * d) AS r3, sum(b * b) AS g11, sum(b * c) AS g12,
+  sum(b * d) AS g13, sum(c * c) AS g22, sum(c * d) AS g23, sum(d * d) AS g33 FROM (
+    SELECT series_id, fold, r AS a, lag(r, 1) OVER w AS b, lag(r, 24) OVER w AS c, lag(r, 25) OVER w AS d FROM (
+      SELECT *, y - pred AS r, max(pos) OVER (PARTITION BY series_id, fold) AS last FROM folds WHERE role = 'train') WHERE pos > last - 1440
+    WINDOW w AS (PARTITION BY series_id, fold ORDER BY pos)) WHERE d IS NOT NULL GROUP BY 1, 2)"""
+views.DEPENDS["ar_sums"] = ["folds"]
+
+
+@query("residual_ar_ladder", ["ar_sums"], sql=LADDER_SQL, doubles=["aic", "coef_lag_1"], whole=["fold", "n_params"])
 def residual_ar_ladder(spark, sf):
     """RC-11: AR(1) and seasonal AR by conditional least squares with AIC."""
     train = views.folds(spark, sf).where(F.col("role") == "train").withColumn("error", F.col("y") - F.col("pred"))
@@ -144,6 +164,17 @@ def residual_ar_ladder(spark, sf):
     return ladder.select("series_id", "fold", "model", "n_params", "aic", F.element_at("coef", 1).alias("coef_lag_1"))
 
 
+@query("residual_ar_choice", ["ar_sums"], sql=f"""
+  SELECT series_id, model FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mean_aic, n_params) AS r FROM (
+    SELECT series_id, model, n_params, avg(aic) AS mean_aic FROM ({LADDER_SQL}) GROUP BY 1, 2, 3)) WHERE r = 1
+""")
+def residual_ar_choice(spark, sf):
+    """RC-11: candidate with the lowest mean AIC over folds, then fewer parameters."""
+    train = views.folds(spark, sf).where(F.col("role") == "train").withColumn("error", F.col("y") - F.col("pred"))
+    ladder = residual.fit_ar_ladder(residual.ar_equations(train, views.FOLD, "pos"), views.FOLD)
+    return residual.choose_ar(ladder, ["series_id"])
+
+
 @query("residual_ar_ladder_scores")
 def residual_ar_ladder_scores(spark, sf):
     """RC-11: both candidates scored in 24-step blocks."""

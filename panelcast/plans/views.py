@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.contract import DAILY, HOURLY
@@ -28,9 +28,15 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extent(table: DataFrame, key: Column, ts: str) -> DataFrame:
+    """Raw keys and times, from which grids take their range."""
+    return table.select(key.alias("series_id"), F.col(ts).alias("ts"))
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense event type × hour panel; hours without events are NULL rows."""
-    return densify(cells(spark, sf_dir), HOURLY)
+    ev = table(spark, sf_dir, "events")
+    return densify(cells(spark, sf_dir), HOURLY, extent=extent(ev, F.col("event_type"), "ts"))
 
 
 def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = ev.groupBy(F.col("user_id").alias("series_id"), truncate(F.col("ts"), "hour").alias("ts")).agg(
         F.sum("value").alias("y")
     )
-    return densify(grouped, HOURLY, {"y": 0.0})
+    return densify(grouped, HOURLY, {"y": 0.0}, extent(ev, F.col("user_id"), "ts"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = ev.groupBy(F.upper(F.lit("all")).alias("series_id"), truncate(F.col("ts"), "hour").alias("ts")).agg(
         F.avg("value").alias("y")
     )
-    return densify(grouped, HOURLY)
+    return densify(grouped, HOURLY, extent=extent(ev, F.upper(F.lit("all")), "ts"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +63,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = o.groupBy(F.col("o_orderpriority").alias("series_id"), truncate(F.col("o_orderdate"), "day").alias("ts")).agg(
         F.log1p(F.sum("o_totalprice") / 1000.0).alias("y"), F.count(F.lit(1)).cast("double").alias("orders")
     )
-    return densify(grouped, DAILY, {"y": 0.0, "orders": 0.0})
+    return densify(grouped, DAILY, {"y": 0.0, "orders": 0.0}, extent(o, F.col("o_orderpriority"), "o_orderdate"))
 
 
 def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,7 @@ def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.sum("l_extendedprice") / 1000.0).alias("y"), F.sum("l_quantity").alias("qty"),
         F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax"),
     )
-    return densify(grouped, DAILY)
+    return densify(grouped, DAILY, extent=extent(li, F.col("l_returnflag"), "l_shipdate"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
