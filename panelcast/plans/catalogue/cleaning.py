@@ -58,7 +58,7 @@ def clean_mode_number(spark, sf):
     return clean.group_mode(ev, ["user_id"], "code")
 
 
-@query("clean_pivot_entities", ["panel"], sql=WIDE_SQL, doubles=WIDE, stamps=["ts"])
+@query("clean_pivot_entities", ["panel"], sql=WIDE_SQL, doubles=WIDE, stamps=["ts"], places=8)
 def clean_pivot_entities(spark, sf):
     """CL-4: long entities to wide columns with a fixed list."""
     return clean.pivot_entities(views.panel(spark, sf), ["ts"], "series_id", views.ENTITIES, ["y"])
@@ -95,7 +95,7 @@ def sparse_panel(spark, sf):
     return views.panel(spark, sf).withColumn("y", F.when(F.col("y") >= 25, F.col("y")))
 
 
-@query("clean_fill_short_gaps", ["filled"], sql="SELECT series_id, ts, y_filled AS y FROM filled", doubles=["y"], stamps=["ts"])
+@query("clean_fill_short_gaps", ["filled"], sql="SELECT series_id, ts, y_filled AS y FROM filled", doubles=["y"], stamps=["ts"], places=8)
 def clean_fill_short_gaps(spark, sf):
     """CL-6: time-linear filling of interior runs of at most three hours."""
     return clean.fill_short_gaps(sparse_panel(spark, sf), HOURLY, ["y"]).select("series_id", "ts", "y")
@@ -113,7 +113,7 @@ def clean_fill_report(spark, sf):
 
 @query("clean_measures_allow_list", ["filled"], sql="""
   SELECT f.series_id, f.ts, f.y_filled AS y, p.total AS target FROM filled f JOIN panel p ON f.series_id = p.series_id AND f.ts = p.ts
-""", doubles=["y", "target"], stamps=["ts"])
+""", doubles=["y", "target"], stamps=["ts"], places=8)
 def clean_measures_allow_list(spark, sf):
     """CL-7: only allow-listed columns are filled, the target is not, empty columns go."""
     p = sparse_panel(spark, sf).withColumn("target", F.col("total")).withColumn("void", F.lit(None).cast("double"))
@@ -131,7 +131,7 @@ def clean_trim_keys(spark, sf):
 
 @query("clean_one_to_one_join", ["panel", "ships"], sql="""
   SELECT p.series_id, p.ts, p.y, c.total AS side_total, c.n AS side_n FROM panel p LEFT JOIN cells c ON c.series_id = p.series_id AND c.ts = p.ts
-""", doubles=["y", "side_total"], stamps=["ts"])
+""", doubles=["y", "side_total"], stamps=["ts"], places=8)
 def clean_one_to_one_join(spark, sf):
     """CL-10: checked one-to-one left join."""
     left = views.panel(spark, sf).select("series_id", "ts", "y")

@@ -52,7 +52,7 @@ def feature_cyclic(spark, sf):
 
 @query("feature_identities", ["panel"], sql=f"""
   SELECT ts, y_click AS first_input, y_error AS second_input, y_click + y_error AS input_total FROM ({WIDE_SQL})
-""", doubles=["first_input", "second_input", "input_total"], stamps=["ts"])
+""", doubles=["first_input", "second_input", "input_total"], stamps=["ts"], places=8)
 def feature_identities(spark, sf):
     """FE-3: same-time inputs and their total, NULL if one is missing."""
     w = wide_panel(spark, sf)
@@ -62,7 +62,7 @@ def feature_identities(spark, sf):
 
 @query("feature_safe_ratio", ["panel"], sql=f"""
   SELECT ts, CASE WHEN y_error - 30 > 0 THEN y_click / (y_error - 30) END AS ratio FROM ({WIDE_SQL})
-""", doubles=["ratio"], stamps=["ts"])
+""", doubles=["ratio"], stamps=["ts"], places=8)
 def feature_safe_ratio(spark, sf):
     """FE-4: ratio that is NULL for a zero, negative or missing denominator."""
     w = wide_panel(spark, sf)
@@ -72,7 +72,7 @@ def feature_safe_ratio(spark, sf):
 @query("feature_lags_hourly", ["panel"], sql="""
   SELECT series_id, ts, lag(y, 24) OVER w AS y_lag_24, lag(y, 48) OVER w AS y_lag_48, lag(y, 168) OVER w AS y_lag_168
   FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ts)
-""", doubles=["y_lag_24", "y_lag_48", "y_lag_168"], stamps=["ts"])
+""", doubles=["y_lag_24", "y_lag_48", "y_lag_168"], stamps=["ts"], places=8)
 def feature_lags_hourly(spark, sf):
     """FE-5: 24, 48 and 168 hour lags in one pass."""
     out = History(HOURLY).lag("y", 24).lag("y", 48).lag("y", 168).apply(views.panel(spark, sf))
@@ -81,7 +81,7 @@ def feature_lags_hourly(spark, sf):
 
 @query("feature_lags_irregular", ["cells"], sql="""
   SELECT a.series_id, a.ts, b.y AS y_lag_24 FROM cells a LEFT JOIN cells b ON b.series_id = a.series_id AND b.ts = a.ts - INTERVAL 24 HOUR
-""", doubles=["y_lag_24"], stamps=["ts"])
+""", doubles=["y_lag_24"], stamps=["ts"], places=8)
 def feature_lags_irregular(spark, sf):
     """FE-5 without a dense grid: a missing step gives NULL, not a neighbour."""
     return History(HOURLY).lag("y", 24).apply(views.cells(spark, sf)).select("series_id", "ts", "y_lag_24")
@@ -102,7 +102,7 @@ LAGGED = "(SELECT series_id, ts, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b, l
 @query("feature_lag_summary", ["panel"], sql=f"""
   SELECT series_id, ts, (a + b + c) / 3 AS y_mean, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2)) / 3) AS y_std,
     CASE WHEN a + b + c IS NOT NULL THEN least(a, b, c) END AS y_min, CASE WHEN a + b + c IS NOT NULL THEN greatest(a, b, c) END AS y_max FROM {LAGGED}
-""", doubles=["y_mean", "y_std", "y_min", "y_max"], stamps=["ts"])
+""", doubles=["y_mean", "y_std", "y_min", "y_max"], stamps=["ts"], places=8)
 def feature_lag_summary(spark, sf):
     """FE-6: mean, deviation, minimum and maximum across lags, NULL if one is missing."""
     out = History(HOURLY).lag("y", 1, "a").lag("y", 2, "b").lag("y", 7, "c").apply(views.panel(spark, sf))
@@ -111,7 +111,7 @@ def feature_lag_summary(spark, sf):
 
 @query("feature_lagged_error", ["panel"], sql="""
   SELECT series_id, ts, lag(y - total, 24) OVER (PARTITION BY series_id ORDER BY ts) AS error_lag_24 FROM panel
-""", doubles=["error_lag_24"], stamps=["ts"])
+""", doubles=["error_lag_24"], stamps=["ts"], places=8)
 def feature_lagged_error(spark, sf):
     """FE-7: difference of two columns, then lagged."""
     out = History(HOURLY).lag(F.col("y") - F.col("total"), 24, "error_lag_24").apply(views.panel(spark, sf))
@@ -130,7 +130,7 @@ def group_totals(spark, sf):
     )
 
 
-@query("feature_group_totals", ["panel"], sql=GROUPS_SQL, doubles=["all_total", "part_total"], stamps=["ts"])
+@query("feature_group_totals", ["panel"], sql=GROUPS_SQL, doubles=["all_total", "part_total"], stamps=["ts"], places=8)
 def feature_group_totals(spark, sf):
     """FE-8: totals that skip missing members."""
     return group_totals(spark, sf).drop("series_id")
@@ -138,7 +138,7 @@ def feature_group_totals(spark, sf):
 
 @query("feature_share_lag", ["panel"], sql=f"""
   SELECT ts, lag(CASE WHEN all_total > 0 THEN part_total / all_total END, 24) OVER (ORDER BY ts) AS share_lag_24 FROM ({GROUPS_SQL})
-""", doubles=["share_lag_24"], stamps=["ts"])
+""", doubles=["share_lag_24"], stamps=["ts"], places=8)
 def feature_share_lag(spark, sf):
     """FE-9: ratio of totals, then lagged."""
     share = safe_ratio(F.col("part_total"), F.col("all_total"))
@@ -150,7 +150,7 @@ MAP_LAGS = [(c, k) for c in WIDE for k in (24, 168)]
 
 @query("feature_lag_map", ["panel"], sql=f"""
   SELECT ts, {', '.join(f'lag({c}, {k}) OVER (ORDER BY ts) AS {c}_lag_{k}' for c, k in MAP_LAGS)} FROM ({WIDE_SQL})
-""", doubles=[f"{c}_lag_{k}" for c, k in MAP_LAGS], stamps=["ts"])
+""", doubles=[f"{c}_lag_{k}" for c, k in MAP_LAGS], stamps=["ts"], places=8)
 def feature_lag_map(spark, sf):
     """FE-10: many columns × {24, 168} lags, one shuffle."""
     h = History(HOURLY)
@@ -163,7 +163,7 @@ def feature_lag_map(spark, sf):
 @query("feature_direction_lag", ["panel"], sql="""
   SELECT series_id, ts, lag(sin(radians(y)), 24) OVER w AS dir_sin_lag_24, lag(cos(radians(y)), 24) OVER w AS dir_cos_lag_24
   FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ts)
-""", doubles=["dir_sin_lag_24", "dir_cos_lag_24"], stamps=["ts"])
+""", doubles=["dir_sin_lag_24", "dir_cos_lag_24"], stamps=["ts"], places=8)
 def feature_direction_lag(spark, sf):
     """FE-11: direction as sine and cosine, then lagged."""
     s, c = features.direction_parts(F.col("y"))
@@ -174,7 +174,7 @@ def feature_direction_lag(spark, sf):
 @query("feature_spatial_lag", ["panel"], sql="""
   SELECT ts, lag(m, 24) OVER (ORDER BY ts) AS y_mean_lag_24, lag(x, 24) OVER (ORDER BY ts) AS total_max_lag_24
   FROM (SELECT ts, avg(y) AS m, max(total) AS x FROM panel GROUP BY 1)
-""", doubles=["y_mean_lag_24", "total_max_lag_24"], stamps=["ts"])
+""", doubles=["y_mean_lag_24", "total_max_lag_24"], stamps=["ts"], places=8)
 def feature_spatial_lag(spark, sf):
     """FE-12: mean and maximum over entities, then lagged."""
     stats = features.spatial_stats(views.panel(spark, sf), ["ts"], {"m": ("y", "mean"), "x": ("total", "max")})
@@ -197,7 +197,7 @@ def feature_rolling_level(spark, sf):
 @query("feature_rolling_level_gaps", ["panel"], sql="""
   SELECT series_id, ts, CASE WHEN count(y) OVER a = 24 THEN avg(y) OVER a END AS mean_24h
   FROM panel WINDOW a AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING)
-""", doubles=["mean_24h"], stamps=["ts"], digits={"mean_24h": 9})
+""", doubles=["mean_24h"], stamps=["ts"], places=8)
 def feature_rolling_level_gaps(spark, sf):
     """FE-13 with missing values: a window with one gap is NULL."""
     return History(HOURLY).rolling("y", 24, 24, "mean_24h").apply(views.panel(spark, sf)).select("series_id", "ts", "mean_24h")
@@ -220,12 +220,12 @@ def feature_high_share(spark, sf):
 
 
 @query("feature_interactions", ["panel"], sql="""
-  SELECT series_id, ts, y * total AS y_x_total, y * n AS y_x_n FROM panel
-""", doubles=["y_x_total", "y_x_n"], stamps=["ts"], digits={"y_x_total": 8, "y_x_n": 8})
+  SELECT series_id, ts, y * pos AS y_x_pos, y * n AS y_x_n FROM panel
+""", doubles=["y_x_pos", "y_x_n"], stamps=["ts"], places=8)
 def feature_interactions(spark, sf):
     """FE-15: products of column pairs."""
-    p = views.panel(spark, sf).withColumns(features.interactions([("y", "total", "y_x_total"), ("y", "n", "y_x_n")]))
-    return p.select("series_id", "ts", "y_x_total", "y_x_n")
+    p = views.panel(spark, sf).withColumns(features.interactions([("y", "pos", "y_x_pos"), ("y", "n", "y_x_n")]))
+    return p.select("series_id", "ts", "y_x_pos", "y_x_n")
 
 
 ASSEMBLED = ["hour", "day_of_week", "month", "y_lag_24", "total_lag_24", "ratio_lag_24", "mean_24h"]
@@ -236,7 +236,7 @@ ASSEMBLED = ["hour", "day_of_week", "month", "y_lag_24", "total_lag_24", "ratio_
     lag(total, 24) OVER w AS total_lag_24, lag(CASE WHEN n > 0 THEN total / n END, 24) OVER w AS ratio_lag_24,
     CASE WHEN count(y) OVER r = 24 THEN avg(y) OVER r END AS mean_24h
   FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ts), r AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING)
-""", doubles=ASSEMBLED[3:], whole=ASSEMBLED[:3], stamps=["ts"], digits={"mean_24h": 9})
+""", doubles=ASSEMBLED[3:], whole=ASSEMBLED[:3], stamps=["ts"], places=8)
 def feature_assembly(spark, sf):
     """FE-17: calendar, lag, ratio and rolling features from one chain, one row per key."""
     h = History(HOURLY).lag("y", 24).lag("total", 24).rolling("y", 24, 24, "mean_24h")
@@ -287,7 +287,7 @@ def feature_shares_at_times(spark, sf):
 @query("feature_lookup", ["cells"], sql="""
   SELECT f.series_id, f.ts, c.y FROM (SELECT series_id, max(ts) + INTERVAL 1 HOUR * (h - 12) AS ts FROM cells, (SELECT unnest(generate_series(1, 24)) AS h) GROUP BY series_id, h) f
   LEFT JOIN cells c ON c.series_id = f.series_id AND c.ts = f.ts
-""", doubles=["y"], stamps=["ts"])
+""", doubles=["y"], stamps=["ts"], places=8)
 def feature_lookup(spark, sf):
     """FE-23: features at requested times, absent rows give NULL."""
     from panelcast.operators.grid import future_steps

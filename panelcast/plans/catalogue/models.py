@@ -245,6 +245,33 @@ def model_frozen_pipeline(spark, sf):
     return model.unionByName(naive)
 
 
+PIPELINE_SQL = f"""SELECT series_id, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, avg(abs(naive - y)) AS naive_mae, max(ph) AS phi, max(addend) AS addend FROM (
+    SELECT t.*, ar.phi AS ph, t.p1 + pow(ar.phi, o % 24 + 1) * CASE WHEN o < 24 THEN last_error ELSE s.err END - t.y AS e FROM (SELECT *, o // 24 * 24 - 1 AS so FROM tested) t JOIN ar ON ar.series_id = t.series_id
+    LEFT JOIN (SELECT series_id AS sid, o AS oo, err FROM tested) s ON s.sid = t.series_id AND s.oo = t.so) GROUP BY 1"""
+views.CTES["pipeline"] = f"""dev AS (SELECT series_id, count(*) AS n, avg(lag_1d) AS m1, avg(lag_7d) AS m2, stddev_pop(lag_1d) AS s1, stddev_pop(lag_7d) AS s2, avg(y) AS my, corr(lag_1d, lag_7d) AS r,
+  covar_pop(lag_1d, y) / stddev_pop(lag_1d) AS c1, covar_pop(lag_7d, y) / stddev_pop(lag_7d) AS c2, max(pos) AS last FROM splits WHERE split <> 'test' GROUP BY 1),
+raw AS (SELECT s.*, d.last, my + w1 * (lag_1d - m1) / s1 + w2 * (lag_7d - m2) / s2 AS p0 FROM splits s JOIN (SELECT *, {CRAMER.format(a='0.001')} FROM dev) d ON d.series_id = s.series_id),
+adds AS (SELECT series_id, sum(exp((pos - last) * 24 / 720.0::DOUBLE) * (y - p0)) / sum(exp((pos - last) * 24 / 720.0::DOUBLE)) AS addend FROM raw WHERE split <> 'test' GROUP BY 1),
+shifted AS (SELECT *, p0 + addend AS p1, y - p0 - addend AS err FROM raw JOIN adds USING (series_id)),
+ar AS (SELECT series_id, sum(err * p) / sum(p * p) AS phi, arg_max(err, pos) AS last_error FROM (
+  SELECT *, lag(err) OVER (PARTITION BY series_id ORDER BY pos) AS p FROM shifted WHERE split <> 'test' AND pos > last - 1440) GROUP BY 1),
+tested AS (SELECT *, pos - CAST(floor(n_steps * 0.85::DOUBLE) AS BIGINT) AS o FROM shifted WHERE split = 'test')"""
+views.DEPENDS["pipeline"] = ["splits"]
+
+
+@query("model_frozen_pipeline_small", ["pipeline"], sql=PIPELINE_SQL, doubles=["mae", "rmse", "bias", "naive_mae", "phi", "addend"])
+def model_frozen_pipeline_small(spark, sf):
+    """FC-3 with two features, end to end against SQL: fit, addend, AR state, blocks, one test score."""
+    rows = splits.chronological_split(views.scored(spark, sf).drop("pred"))
+    out = walk_forward.frozen_pipeline(rows, DAILY, ["lag_1d", "lag_7d"], {}, 1, hours())
+    e = F.col("pred") - F.col("y")
+    scores = out["test"].groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
+        F.avg(F.abs(F.col("naive") - F.col("y"))).alias("naive_mae"),
+    )
+    return scores.join(out["model"].select("series_id", "phi", "addend"), "series_id")
+
+
 @query("model_stacking")
 def model_stacking(spark, sf):
     """MD-13: ridge meta-model over two bases' out-of-fold predictions."""

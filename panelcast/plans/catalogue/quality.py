@@ -126,7 +126,7 @@ def quality_missing_pattern(spark, sf):
   LATERAL (VALUES ('row_count', n > 0, n::DOUBLE), ('duplicate_timestamp', true, 0), ('missing_timestamp', true, 0), ('monotonic_timestamp', true, 0),
     ('target_missing_count', miss = 0, miss), ('target_min', true, lo), ('target_max', true, hi), ('side_match_rate', rate = 1, rate),
     ('infinite_values', inf = 0, inf), ('duplicate_rows', true, 0)) u(check_name, ok, detail)
-""", doubles=["detail"])
+""", doubles=["detail"], places=8)
 def quality_final_checks(spark, sf):
     """QC-8: check table of a finished panel."""
     return quality.final_checks(views.panel(spark, sf), HOURLY, "y", ["y", "total"], ["total", "n"])
@@ -134,7 +134,7 @@ def quality_final_checks(spark, sf):
 
 @query("quality_match_rate", ["panel"], sql="""
   SELECT series_id, avg(CASE WHEN y IS NOT NULL AND total IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match_rate FROM panel GROUP BY 1
-""", doubles=["match_rate"])
+""", doubles=["match_rate"], places=8)
 def quality_match_rate(spark, sf):
     """QC-9: share of grid rows the side table reached."""
     return quality.match_rate(views.panel(spark, sf), ["y", "total"], ["series_id"])
@@ -168,7 +168,7 @@ NULL_SQL = """SELECT split, rows_with_null, null_pct, u.feature, u.null_cells FR
   GROUP BY 1) q, LATERAL (VALUES ('y', a), ('total', b), ('n', c)) u(feature, null_cells)"""
 
 
-@query("quality_null_audit", ["panel"], sql=NULL_SQL, doubles=["null_pct"])
+@query("quality_null_audit", ["panel"], sql=NULL_SQL, doubles=["null_pct"], places=8)
 def quality_null_audit(spark, sf):
     """QC-12: missing cells per split and feature."""
     return quality.null_audit(chronological_split(views.panel(spark, sf)), ["split"], ["y", "total", "n"])

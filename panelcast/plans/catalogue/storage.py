@@ -93,7 +93,7 @@ SPECS = Manifest([
     lag(total, 24) OVER w AS total_lag_24, lag(CASE WHEN n > 0 THEN total / n END, 24) OVER w AS ratio_lag_24,
     CASE WHEN count(y) OVER r = 24 THEN avg(y) OVER r END AS mean_24h
   FROM panel WINDOW w AS (PARTITION BY series_id ORDER BY ts), r AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 47 PRECEDING AND 24 PRECEDING)
-""", doubles=ASSEMBLED[3:], whole=ASSEMBLED[:3], stamps=["ts"], digits={"mean_24h": 9})
+""", doubles=ASSEMBLED[3:], whole=ASSEMBLED[:3], stamps=["ts"], places=8)
 def feature_guarded_matrix(spark, sf):
     """FE-16 and FE-18: the matrix must equal its manifest and hold nothing that can leak."""
     h = History(HOURLY).lag("y", 24).lag("total", 24).rolling("y", 24, 24, "mean_24h")

@@ -82,7 +82,7 @@ def grid_future_index(spark, sf):
 
 @query("resample_daily_mean", ["panel"], sql="""
   SELECT series_id, date_trunc('day', ts) AS ts, avg(y) AS y, avg(total) AS total FROM panel GROUP BY 1, 2
-""", doubles=["y", "total"], stamps=["ts"], digits={"y": 5, "total": 5})
+""", doubles=["y", "total"], stamps=["ts"], places=8)
 def resample_daily_mean(spark, sf):
     """TM-5: daily means of hourly values."""
     return grid.resample_mean(views.panel(spark, sf), HOURLY, "day", ["y", "total"])
@@ -119,7 +119,7 @@ def grid_step_check_users(spark, sf):
 
 
 @query("grid_densify", ["panel"], sql="SELECT series_id, ts, pos, n_steps, y, n FROM panel",
-       doubles=["y"], stamps=["ts"], whole=["pos", "n_steps"])
+       doubles=["y"], stamps=["ts"], whole=["pos", "n_steps"], places=8)
 def grid_densify(spark, sf):
     """GR-3: gap-free panel with positions."""
     return views.panel(spark, sf).select("series_id", "ts", "pos", "n_steps", "y", "n")

@@ -19,13 +19,13 @@ ORACLE: dict[str, str] = {}
 WHOLE = ("tinyint", "smallint", "int")
 
 
-def present(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
+def present(df: DataFrame, digits: Mapping[str, int], places: int = 6) -> DataFrame:
     out = []
     for field in df.schema:
         kind, c = field.dataType.simpleString(), F.col(f"`{field.name}`")
         if kind in ("double", "float"):
             # adding zero turns a negative zero into zero
-            c = F.round(c.cast("double"), digits.get(field.name, 6)) + F.lit(0.0)
+            c = F.round(c.cast("double"), digits.get(field.name, places)) + F.lit(0.0)
         elif kind in WHOLE or kind.startswith("decimal"):
             c = c.cast("long")
         elif kind in ("timestamp_ntz", "timestamp"):
@@ -36,21 +36,25 @@ def present(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
 
 def query(
     name: str, ctes: Sequence[str] = (), sql: str | None = None, doubles: Sequence[str] = (), whole: Sequence[str] = (),
-    stamps: Sequence[str] = (), digits: Mapping[str, int] | None = None,
+    stamps: Sequence[str] = (), digits: Mapping[str, int] | None = None, places: int = 6,
 ):
-    """Register a query; ``doubles``, ``whole`` and ``stamps`` name the result columns the SQL side has to format."""
+    """Register a query; ``doubles``, ``whole`` and ``stamps`` name the result columns the SQL side has to format.
+
+    Doubles are rounded to ``places`` unless ``digits`` says otherwise.  Means of values with two
+    decimals use 8: with 6 a mean over 32 rows can fall exactly between two roundings.
+    """
     digits = dict(digits or {})
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(fn(prepare(spark), sf_dir), digits)
+            return present(fn(prepare(spark), sf_dir), digits, places)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            formatted = [f"round({c}, {digits.get(c, 6)}) + 0.0 AS {c}" for c in doubles]
+            formatted = [f"round({c}, {digits.get(c, places)}) + 0.0 AS {c}" for c in doubles]
             formatted += [f"CAST({c} AS BIGINT) AS {c}" for c in whole]
             formatted += [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in stamps]
             replace = f" REPLACE ({', '.join(formatted)})" if formatted else ""
