@@ -54,10 +54,12 @@ def magnitude_band(v: Column, bands: int = BANDS) -> Column:
     slot = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * bands)
     # doubles have exponents above -1100, so the shifted band is positive
     band = (exponent + 1100) * bands + slot
-    return F.when(v > 0, band).when(v < 0, -band).otherwise(F.lit(0)).cast("long")
+    signed = F.when(v > 0, band).when(v < 0, -band).cast("long")
+    # never NULL, so a join on it adds no filter that would evaluate the expression once more per row
+    return F.coalesce(signed, F.lit(0).cast("long"))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = False, distinct: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], few_groups: bool = False, distinct: bool = False, keys_present: bool = False) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per probability (see ``quantile_name``).
 
     Groups with a NULL key are left out, as in any join by that key.  ``few_groups`` states that the
@@ -65,18 +67,20 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     have at most ``groups * 2 * len(probs)`` rows and are broadcast, as they are for one global group.
     Otherwise Spark picks the join from measured sizes; its sort-merge form already has the
     partitioning that the walk needs.
-    ``distinct`` adds ``nunique``, which the value counts give for free.
+    ``distinct`` adds ``nunique``, which the value counts give for free.  ``keys_present`` says that
+    the caller has dropped NULL keys already.
     """
     by = list(by)
     groups = by or ["_all"]
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not by:
         rows = rows.withColumn("_all", F.col("_v").isNotNull())
-    # The joins below imply non-null keys; saying so here makes all readers of ``counted`` share one exchange.
-    rows = rows.where(all_present([F.col(c) for c in groups]))
+    if not keys_present:
+        # The join below implies non-null keys; saying so here lets both readers of ``counted`` share one exchange.
+        rows = rows.where(all_present([F.col(c) for c in groups]))
     # -0.0 and 0.0 are one value
     counted = rows.groupBy(*groups, (F.col("_v") + F.lit(0.0)).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumn("_band", magnitude_band(F.col("_v"))).where(F.col("_band").isNotNull())
+    counted = counted.withColumn("_band", magnitude_band(F.col("_v")))
 
     def small(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if few_groups or not by else table

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.numeric import all_present
 from panelcast.functions.quantiles import quantiles
 from panelcast.operators.quality import column_stats
 
@@ -31,10 +32,12 @@ def fit_scaler_long(train: DataFrame, by: Sequence[str], columns: Sequence[str],
         table = column_stats(train, by, columns, stats)
     else:
         table = column_stats(train, by, columns, stats)
-        long = train.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        # the NULL-key filter goes below the unpivot, where both readers of the value counts share it
+        keyed = train.where(all_present([F.col(c) for c in by]))
+        long = keyed.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
             list(by), list(columns), "feature", "_v"
         )
-        medians = quantiles(long, [*by, "feature"], "_v", [0.5]).select(*by, "feature", F.col("q0_5").alias("median"))
+        medians = quantiles(long, [*by, "feature"], "_v", [0.5], keys_present=True).select(*by, "feature", F.col("q0_5").alias("median"))
         table = table.join(medians, [*by, "feature"], "left")
     n, k = F.col("n_rows"), F.col("n_rows") - F.col("present")
     median = F.coalesce(F.col("median"), F.lit(0.0))

@@ -259,7 +259,7 @@ def profile(df: DataFrame, columns: Sequence[str], approximate: bool = False) ->
         )
     else:
         long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "_v")
-        rest = quantiles(long, ["column_name"], "_v", [0.5], few_groups=True, distinct=True)
+        rest = quantiles(long, ["column_name"], "_v", [0.5], few_groups=True, distinct=True, keys_present=True)
         rest = rest.select("column_name", "nunique", F.col("q0_5").alias("median"))
     out = moments.join(rest, "column_name", "left").fillna(0, ["nunique"])
     return out.select(
