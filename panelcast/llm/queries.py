@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, exact_dedup, html_text, language, near_dedup, sharding, token_files
+from panelcast.llm import bpe, decontaminate, exact_dedup, html_text, language, near_dedup, sharding, token_files
 from panelcast.llm.common import table
 from panelcast.session import prepare
 
@@ -20,6 +20,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(docs, public_tokenizers.path(WORD_TOKENIZER), END_ID)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents with the item, the longest run of windows and how it was re-used."""
+    spark = prepare(spark)
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "kind")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     pieces = public_tokenizers.path(BYTE_RANKS)
@@ -62,6 +69,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op4_language, op5_exact_dedup, op6_near_dedup, op8_html_text, op9_byte_bpe, op10_sharding,
+    op2_token_files, op3_decontaminate, op4_language, op5_exact_dedup, op6_near_dedup, op8_html_text, op9_byte_bpe, op10_sharding,
 )}
 ORACLE = {"op5_exact_dedup": OP5_SQL}
