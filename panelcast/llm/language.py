@@ -18,10 +18,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain, count
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +65,17 @@ class Pieces:
         self.of = {p: i + 1 for i, p in enumerate(pieces)}
         self.lengths = np.array([0] + [len(p) for p in pieces])
         self.size = len(pieces) + 1
+        self.taken = np.zeros(1 << 20, dtype=bool)  # leading bits of the hashes: rules out most of what is no piece
+        self.taken[(hashes >> np.uint64(44)).astype(np.int64)] = True
         self.longest = max(len(p) for p in pieces)
 
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, wanted)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == wanted, self.numbers[at], 0)
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, piece numbers) of the hashes that are a piece's."""
+        where = np.flatnonzero(self.taken[(wanted >> np.uint64(44)).astype(np.int64)])
+        some = wanted[where]
+        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        right = self.hashes[at] == some
+        return where[right], self.numbers[at[right]]
 
 
 def hash_bytes(piece: bytes) -> int:
@@ -92,14 +96,13 @@ def same_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield where, np.frombuffer(b"".join([words[i] for i in where]), dtype=np.uint8).reshape(-1, n)
 
 
-def found_pieces(vocabulary: Pieces, data: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """(begin, end) → piece number of every row's bytes [begin, end)."""
+def found_pieces(vocabulary: Pieces, data: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """(begin, end), ascending end → rows whose bytes [begin, end) are a piece, and which."""
     n = data.shape[1]
     sums = np.zeros((n + 1, len(data)), dtype=np.uint64)
-    powers = np.ones(n + 1, dtype=np.uint64)
+    powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(n + 1)], dtype=np.uint64)
     for j in range(n):
         sums[j + 1] = sums[j] * BASE + data[:, j].astype(np.uint64) + np.uint64(1)
-        powers[j + 1] = powers[j] * BASE
     return {(i, j): vocabulary.find(sums[j] - sums[i] * powers[j - i]) for j in range(1, n + 1) for i in range(max(0, j - vocabulary.longest), j)}
 
 
@@ -107,8 +110,8 @@ def forward(found: dict, n: int, rows: int, lifted: np.ndarray) -> np.ndarray:
     """Sums over all segmentations of each prefix: (n + 1, rows, languages)."""
     sums = np.zeros((n + 1, rows, lifted.shape[1]))
     sums[0] = 1.0
-    for (i, j), number in found.items():  # ascending end
-        sums[j] += sums[i] * lifted[number]
+    for (i, j), (at, number) in found.items():
+        sums[j][at] += sums[i][at] * lifted[number]
     return sums
 
 
@@ -179,11 +182,10 @@ def expected_counts(words: list[bytes], times: np.ndarray, vocabulary: Pieces, p
         ahead = forward(found, n, rows, lifted)[:, :, 0]
         behind = np.zeros((n + 1, rows))
         behind[n] = times[where] / ahead[n]
-        for (i, j), number in sorted(found.items(), key=lambda x: -x[0][1]):
-            behind[i] += behind[j] * lifted[number, 0]
-        for (i, j), number in found.items():
-            out += np.bincount(number, ahead[i] * lifted[number, 0] * behind[j], vocabulary.size)
-    out[0] = 0.0
+        for (i, j), (at, number) in sorted(found.items(), key=lambda x: -x[0][1]):
+            behind[i][at] += behind[j][at] * lifted[number, 0]
+        for (i, j), (at, number) in found.items():
+            out += np.bincount(number, ahead[i][at] * lifted[number, 0] * behind[j][at], vocabulary.size)
     return out
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, decontaminate, exact_dedup, html_text, language, near_dedup, sharding, token_files
+from panelcast.llm import bpe, decontaminate, exact_dedup, html_text, language, license_scan, near_dedup, sharding, token_files, url_filter
 from panelcast.llm.common import table
 from panelcast.session import prepare
 
@@ -15,6 +15,12 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence passages: document, number of the passage, family or unknown, probability, similarity to the best template."""
+    found = license_scan.scan(table(prepare(spark), sf_dir, "documents"))
+    return found.select("doc_id", "passage", "family", "predicted", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return token_files.round_trip(docs, public_tokenizers.path(WORD_TOKENIZER), END_ID)
@@ -54,6 +60,14 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(docs).select("doc_id", "fingerprint", "component_id")
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(prepare(spark), sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(prepare(spark), sf_dir, "pages"))
 
@@ -69,6 +83,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op3_decontaminate, op4_language, op5_exact_dedup, op6_near_dedup, op8_html_text, op9_byte_bpe, op10_sharding,
+    op1_license_scan, op2_token_files, op3_decontaminate, op4_language, op5_exact_dedup, op6_near_dedup, op7_url_filter, op8_html_text, op9_byte_bpe, op10_sharding,
 )}
-ORACLE = {"op5_exact_dedup": OP5_SQL}
+ORACLE = {"op5_exact_dedup": OP5_SQL, "op7_url_filter": url_filter.judge_sql(URL_RULES)}
