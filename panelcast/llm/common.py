@@ -37,20 +37,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and the whole row as one column: no name of ``docs`` can clash with another."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), whole.alias("row"))
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (doc_id, text_key), each once; columns unchanged.
 
     One shuffle of the rows: the window uses the partitioning and order of the join.
     """
-    name = "_key_of_text"
-    docs_keyed = docs.withColumn(name, text_key(F.col("text"))).withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(0)))
-    docs_keyed = docs_keyed.withColumn("_no_id", F.col("doc_id").isNull())
-    wanted = kept.select(
-        F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("text_key").alias(name)
-    )
-    keys = ["_id", "_no_id", name]
+    id_, no_id = F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id")
+    keys = ["id", "no_id", "text_key"]
     first = Window.partitionBy(*keys).orderBy(*keys)
-    return docs_keyed.join(wanted, keys, "left_semi").withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select(*docs.columns)
+    found = wrapped(docs).select(id_, no_id, "text_key", "row").join(kept.select(id_, no_id, "text_key"), keys, "left_semi")
+    return found.withColumn("copy", F.row_number().over(first)).where("copy = 1").select("row.*")
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` not named by ``dropped`` (doc_id, text_key); columns unchanged."""
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
+    return wrapped(docs).alias("a").join(dropped.select("doc_id", "text_key").alias("b"), same, "left_anti").select("row.*")
 
 
 def text_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import text_key
+from panelcast.llm.common import drop_rows, text_key
 from panelcast.sources.staging import stage
 
 WIDTH = 8
@@ -130,6 +130,4 @@ def reparameterised(matched: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are clean; columns unchanged."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_own_key", text_key(F.col("text")))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_anti").select(*docs.columns)
+    return drop_rows(docs, contaminated(docs, benchmark))

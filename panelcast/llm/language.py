@@ -276,20 +276,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces_path: s
     return rows.mapInArrow(predict_batches(pieces_path, *model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def has_letter(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-
-
-def reject_batches(pieces_path: str, langs: list[str], probabilities: np.ndarray, least: float, names: list[str]):
+def reject_batches(pieces_path: str, langs: list[str], probabilities: np.ndarray, least: float, text_at: int):
     score = predict_batches(pieces_path, langs, probabilities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            only = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("doc_id").is_null(), batch.column("text")], names=["doc_id", "held_out", "text"])
+            text = batch.column(text_at)
+            only = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), pa.nulls(len(text), pa.bool_()), text], names=["doc_id", "held_out", "text"])
             at = 0
             for found in score(iter([only])):
                 good = [p != UNDETERMINED and s >= least for p, s in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist())]
-                yield batch.slice(at, found.num_rows).filter(pa.array(good, pa.bool_())).select(names)
+                yield batch.slice(at, found.num_rows).filter(pa.array(good, pa.bool_()))
                 at += found.num_rows
 
     return run
@@ -297,5 +294,7 @@ def reject_batches(pieces_path: str, langs: list[str], probabilities: np.ndarray
 
 def keep_determined(docs: DataFrame, pieces_path: str, least: float = 0.5, fit_docs: int = FIT_DOCS) -> DataFrame:
     """Rows whose language is determined with a posterior of at least ``least``; columns unchanged, no shuffle."""
-    langs, probabilities = fit(docs, pieces_path, fit_docs)
-    return docs.mapInArrow(reject_batches(pieces_path, langs, probabilities, least, docs.columns), docs.schema)
+    model = fit(docs, pieces_path, fit_docs)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # any column name, also one with a dot
+    kept = plain.mapInArrow(reject_batches(pieces_path, *model, least, docs.columns.index("text")), plain.schema)
+    return kept.toDF(*docs.columns)

@@ -85,7 +85,7 @@ def templates(shapes: DataFrame) -> DataFrame:
         own = (F.col("k") == 1) | (~varies & different(F.col("labelled"), F.col("blocked"), F.col("all_labelled"), F.col("all_blocked")))
         named = children.join(nodes, ["host", "node"]).select("host", "node", seg, F.when(own, F.col(seg)).otherwise("*").alias("name"))
         tree = tree.join(named, ["host", "node", seg]).withColumn("node", F.concat("node", F.lit("/"), "name")).drop("name", seg)
-    return tree.withColumnRenamed("node", "template")
+    return tree.withColumn("template", F.regexp_replace("node", "/+$", "")).drop("node")
 
 
 def purities(tree: DataFrame) -> DataFrame:
@@ -136,9 +136,9 @@ def judge_sql(rules: Sequence[tuple[str, str]]) -> str:
     ctes += [
         f"g AS (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) AS p FROM t{DEPTH})",
         f"h AS (SELECT host, (sum(blocked) + {SMOOTHING} * any_value(p)) / (sum(labelled) + {SMOOTHING}) AS p FROM t{DEPTH}, g GROUP BY host)",
-        f"m AS (SELECT t.host, node, (sum(blocked) + {SMOOTHING} * any_value(p)) / (sum(labelled) + {SMOOTHING}) AS purity FROM t{DEPTH} t JOIN h ON t.host = h.host GROUP BY t.host, node)",
+        f"m AS (SELECT t.host, rtrim(node, '/') AS template, (sum(blocked) + {SMOOTHING} * any_value(p)) / (sum(labelled) + {SMOOTHING}) AS purity FROM t{DEPTH} t JOIN h ON t.host = h.host GROUP BY t.host, rtrim(node, '/'))",
     ]
     return (
         "WITH " + ",\n".join(ctes) + f"\nSELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, CASE WHEN purity >= {REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict "
-        f"FROM judged j JOIN t{DEPTH} t ON j.host = t.host AND j.shape = t.shape JOIN m ON m.host = t.host AND m.node = t.node"
+        f"FROM judged j JOIN t{DEPTH} t ON j.host = t.host AND j.shape = t.shape JOIN m ON m.host = t.host AND m.template = rtrim(t.node, '/')"
     )
