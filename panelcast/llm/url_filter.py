@@ -84,7 +84,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         varies = (F.col("k") >= MANY) & (F.col("all_n") <= F.col("k") * FEW)
         own = (F.col("k") == 1) | (~varies & different(F.col("labelled"), F.col("blocked"), F.col("all_labelled"), F.col("all_blocked")))
         named = children.join(nodes, ["host", "node"]).select("host", "node", seg, F.when(own, F.col(seg)).otherwise("*").alias("name"))
-        tree = tree.join(named, ["host", "node", seg]).withColumn("node", F.concat("node", F.lit("/"), "name")).drop("name", seg)
+        # staged, so that the plan does not grow with the levels
+        tree = stage(tree.join(named, ["host", "node", seg]).withColumn("node", F.concat("node", F.lit("/"), "name")).drop("name", seg))
     return tree.withColumn("template", F.regexp_replace("node", "/+$", "")).drop("node")
 
 
@@ -104,7 +105,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], reject_at: float =
     shapes = rows.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("label").alias("labelled"), F.count(F.when(F.col("label") == BLOCK, 1)).alias("blocked")
     )
-    found = stage(purities(stage(templates(stage(shapes)))))
+    found = stage(purities(templates(stage(shapes))))
     looked_up = found.select(F.concat("host", F.lit("\n"), "shape").alias("key"), "template", "purity")
     out = salted_lookup(rows, looked_up, "key", salt_of("page_id"))
     method = F.when(F.col("purity") >= reject_at, BLOCK).otherwise(ALLOW)
