@@ -20,12 +20,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions.numeric import all_present
+from panelcast.functions.numeric import INF, all_present
 
 BANDS = 65_536
 HOT_ROWS = 1_000_000
 
 
+def finite_rows(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Keys and the value as ``name``, finite values only: the one value rule of every quantile here."""
+    rows = df.select(*keys, F.col(value).cast("double").alias(name))
+    return rows.where(F.abs(F.col(name)) < F.lit(INF))  # NULL and NaN fail this as well
+
+
 def quantile_name(p: float) -> str:
     return f"q{p:g}".replace(".", "_")
 
@@ -72,7 +78,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     """
     by = list(by)
     groups = by or ["_all"]
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = finite_rows(df, by, value, "_v")
     if not by:
         rows = rows.withColumn("_all", F.col("_v").isNotNull())
     if not keys_present:
@@ -116,9 +122,10 @@ def keyed_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Quantiles for very many, mostly tiny groups (duplicate keys): ``percentile`` for those, the
-    distributed walk for the groups above ``hot_rows``.  There are at most rows / hot_rows hot groups."""
+    distributed walk for the groups above ``hot_rows``.  Both see finite values only, so the limit never
+    changes a result.  There are at most rows / hot_rows hot groups."""
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    rows = finite_rows(df, keys, value, value)
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
     cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.percentile(value, F.lit(float(p))).alias(quantile_name(p)) for p in probs]

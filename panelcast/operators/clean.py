@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.contract import ContractError, PanelSpec, require_unique_names
 from panelcast.functions.chunks import CHUNK, chunk_of, chunk_window, chunked, home_rows
-from panelcast.functions.numeric import circular_mean
+from panelcast.functions.numeric import all_present, circular_mean
 from panelcast.functions.quantiles import keyed_quantiles
 from panelcast.operators.grid import INDEX, LENGTH, POSITION
 from panelcast.operators.quality import key_overlap
@@ -40,6 +40,9 @@ def collapse(df: DataFrame, keys: Sequence[str], rules: Mapping[str, str]) -> Da
     unknown = {r for r in rules.values()} - set(ONE_PASS_RULES) - {"median", "mode"}
     if unknown:
         raise ContractError(f"unknown collapse rules: {sorted(unknown)}")
+    # a NULL key names no row to collapse into: it fails the job rather than losing columns in the joins below
+    named = all_present([F.col(k) for k in keys])
+    df = df.where(F.when(named, F.lit(True)).otherwise(F.raise_error(F.lit(f"NULL in the keys {keys} of a collapse")).cast("boolean")))
     quick = [ONE_PASS_RULES[r](F.col(c)).alias(c) for c, r in rules.items() if r in ONE_PASS_RULES]
     parts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *quick)]
     for column, rule in rules.items():
@@ -161,8 +164,8 @@ def clean_measures(
 def one_to_one_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join that fails the job at run time when either side repeats a key (CL-10).
 
-    Each side is reduced to one row per key with its count; ``raise_error`` fires while the join
-    runs, so the check costs no second pass over the data.
+    Each side is reduced to one row per key with its count; ``raise_error`` fires in filters while the
+    join runs, so the check costs no second pass and does not depend on which columns are read.
     """
     keys = list(keys)
     overlap = (set(left.columns) & set(right.columns)) - set(keys)
@@ -174,11 +177,13 @@ def one_to_one_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
         packed = df.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_c"), F.first(F.struct(*[F.col(c) for c in values])).alias("_row")
         )
-        failed = F.raise_error(F.lit(f"duplicate key on the {side} side of a one-to-one join"))
-        guarded = F.when(F.col("_c") > 1, failed.cast(packed.schema["_row"].dataType)).otherwise(F.col("_row"))
-        return packed.select(*keys, guarded.alias("_row")).select(*keys, "_row.*")
+        failed = F.raise_error(F.lit(f"duplicate key on the {side} side of a one-to-one join")).cast("boolean")
+        once = packed.where(F.when(F.col("_c") > 1, failed).otherwise(F.lit(True)))
+        return once.select(*keys, F.col("_c").alias(f"_c_{side}"), "_row.*")
 
-    return unique(left, "left").join(unique(right, "right"), keys, "left")
+    joined = unique(left, "left").join(unique(right, "right"), keys, "left")
+    # reads the right side's count, so that side stays in the plan when none of its columns is wanted
+    return joined.where(F.coalesce(F.col("_c_right"), F.lit(1)) == 1).drop("_c_left", "_c_right")
 
 
 def assert_same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.contract import PanelSpec
+from panelcast.contract import ContractError, PanelSpec
 from panelcast.operators.features import add_calendar, lookup, shares_at
 from panelcast.operators.grid import future_steps
 from panelcast.operators.linear import score_frozen
@@ -15,7 +15,7 @@ from panelcast.operators.residual import horizon_addend
 
 # Reasons given with a forecast.
 STRICT_REASON = "required UNKNOWN/FORBIDDEN features at forecast origin"
-ASSUMED_REASON = "forecast publication time not verified; not a day-ahead origin"
+ASSUMED_REASON = "inputs assumed published; their publication times are not in the data"
 
 
 def readiness(audit: DataFrame, model: str) -> DataFrame:
@@ -28,9 +28,9 @@ def readiness(audit: DataFrame, model: str) -> DataFrame:
 
 def strict_forecast(origins: DataFrame, spec: PanelSpec, ready: DataFrame, prediction: Column, model: str, horizon: int = 24) -> DataFrame:
     """Rows for h+1 … h+n; the prediction stays NULL while a required feature is not usable (FC-1)."""
-    # a row-dependent model column keeps this an equi-join with the one-row readiness table
-    steps = future_steps(origins, spec, horizon).withColumn("model", F.concat(F.lit(model), F.substring("forecast_horizon", 1, 0)))
-    out = steps.join(ready, "model", "left")
+    # the readiness of one model is one row
+    steps = future_steps(origins, spec, horizon).withColumn("model", F.lit(model))
+    out = steps.join(F.broadcast(ready.where(F.col("model") == model).drop("model")), F.lit(True), "left")
     ok = F.coalesce(F.col("production_ready"), F.lit(False))
     return out.select(
         *spec.keys, spec.ts, "forecast_horizon", F.when(ok, prediction).alias("y_pred"), F.col("origin").alias("forecast_origin"), "model",
@@ -56,9 +56,15 @@ def assumed_inputs(
 
 
 def assumed_forecast(inputs: DataFrame, spec: PanelSpec, model: dict, name: str) -> DataFrame:
-    """Score prepared inputs with the archived model and its decaying residual state (FC-2)."""
+    """Score prepared inputs with the archived model and its decaying residual state (FC-2).
+
+    The archive must hold the addend and the state; a missing one is refused, not taken for zero.
+    """
+    absent = [f for f in ("addend", "phi", "last_error") if model.get(f) is None]
+    if absent:
+        raise ContractError(f"archived model without {absent}")
     scored = score_frozen(inputs, model, "base")
-    add = horizon_addend(F.lit(float(model.get("phi", 0.0))), F.lit(float(model.get("last_error", 0.0))), F.col("h"))
+    add = horizon_addend(F.lit(float(model["phi"])), F.lit(float(model["last_error"])), F.col("h"))
     return scored.select(
         *spec.keys, spec.ts, "forecast_horizon", (F.col("base") + add).alias("y_pred"), F.col("origin").alias("forecast_origin"),
         F.lit(name).alias("model"), F.lit("DATASET_ASSUMED").alias("scenario"), F.lit(False).alias("production_ready"),

@@ -47,13 +47,31 @@ def expected_grid(df: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
+def on_grid(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``df`` itself; the job fails at a row whose time is no step or whose key is NULL.
+
+    The check is part of the key columns, so neither column pruning nor the null filters that a join
+    adds on its keys can come before it.
+    """
+    at = index_instant(step_index(F.col(spec.ts), spec.step_seconds), spec.step_seconds)
+    kinds = dict(df.select(*spec.key).dtypes)
+
+    def checked(name: str, good: Column) -> Column:
+        failed = F.raise_error(F.lit(f"{name} is NULL or off the time grid")).cast(kinds[name])
+        return F.when(F.coalesce(good, F.lit(False)), F.col(name)).otherwise(failed)
+
+    return df.withColumns({spec.ts: checked(spec.ts, F.col(spec.ts) == at), **{k: checked(k, F.col(k).isNotNull()) for k in spec.keys}})
+
+
 def densify(df: DataFrame, spec: PanelSpec, fill: dict[str, float] | None = None, extent: DataFrame | None = None) -> DataFrame:
     """Gap-free panel: missing steps appear as rows whose measures are NULL (or ``fill``).
 
     ``extent`` may name the raw rows behind ``df``: their range per series is a map-side combined
     minimum and maximum, while taking it from an aggregated ``df`` would repeat that aggregation.
+
+    A row off the grid, or with a NULL key or time, has no place in the panel: it fails the job.
     """
-    out = expected_grid(df if extent is None else extent, spec).join(df, spec.key, "left")
+    out = expected_grid(df if extent is None else extent, spec).join(on_grid(df, spec), spec.key, "left")
     return out.fillna(fill) if fill else out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelcast.contract import ContractError, require_columns
 from panelcast.functions.numeric import balanced_sum, strict_mean
 from panelcast.operators.prep import SCALER_FIELDS, fit_scaler, standardised
+from panelcast.operators.splits import MIN_TAIL_ROWS
 from panelcast.sources.staging import stage
 
 # Regularisation grids of the tuning stages.
@@ -246,8 +247,11 @@ def linear_terms(columns: Sequence[str]) -> list[Column]:
 
 
 def score(df: DataFrame, models: DataFrame, by: Sequence[str], columns: Sequence[str], name: str = "pred") -> DataFrame:
-    """Predictions for every model of the row's group; all of them come from one scan (MD-4, EV-18)."""
-    joined = df.join(models, list(by))
+    """Predictions for every model of the row's group; all of them come from one scan (MD-4, EV-18).
+
+    Rows of a group without a model stay, with a NULL prediction.
+    """
+    joined = df.join(models, list(by), "left")
     pred = balanced_sum(linear_terms(columns)) + F.col("intercept")
     return joined.withColumn(name, pred).drop("coef", "intercept", *SCALER_FIELDS)
 
@@ -294,7 +298,8 @@ def choose_weight(df: DataFrame, by: Sequence[str], columns: Sequence[str], thre
     """Weight for rows at or above a threshold, chosen by MAE on the inner tail (MD-6).
 
     ``df`` carries ``inner_role`` (fit / stop).  The scaler comes from the whole train block, as the
-    weighted fit that follows uses it too.  Candidates are rows of one grouped fit, not a loop.
+    weighted fit that follows uses it too.  Candidates are rows of one grouped fit, not a loop.  A
+    group whose tail is shorter than ``MIN_TAIL_ROWS`` cannot choose and keeps weight 1.
     """
     fit = F.col("inner_role") == "fit"
     candidates = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("high_weight")
@@ -307,7 +312,9 @@ def choose_weight(df: DataFrame, by: Sequence[str], columns: Sequence[str], thre
     scored = score(df.where(~fit), models, by, columns)
     maes = scored.groupBy(*by, "high_weight").agg(F.avg(F.abs(F.col("pred") - F.col(y))).alias("mae"))
     # a larger weight must beat a smaller one by more than rounding noise
-    return maes.groupBy(*by).agg(F.min_by("high_weight", F.struct(F.round("mae", 12), "high_weight")).alias("high_weight"))
+    chosen = maes.where("mae IS NOT NULL").groupBy(*by).agg(F.min_by("high_weight", F.struct(F.round("mae", 12), "high_weight")).alias("_best"))
+    tails = df.groupBy(*by).agg(F.count_if(~fit).alias("_tail")).join(chosen, list(by), "left")
+    return tails.select(*by, F.when(F.col("_tail") >= MIN_TAIL_ROWS, F.coalesce("_best", F.lit(1.0))).otherwise(F.lit(1.0)).alias("high_weight"))
 
 
 def _gram_with_scaler(rows: DataFrame, keys: Sequence[str], by: Sequence[str], columns: Sequence[str], y: str, scaler: DataFrame) -> DataFrame:

@@ -101,23 +101,27 @@ def linear_calibration(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def correct(df: DataFrame, by: Sequence[str], method: str, hours: Column | None = None) -> DataFrame:
-    """Add ``corrected`` by one of the correction methods (RC-1 … RC-5)."""
+    """Add ``corrected`` by one of the correction methods (RC-1 … RC-5).
+
+    A group without train rows has nothing to learn from and keeps its predictions.
+    """
     on = list(by)
+    learned = lambda c: F.coalesce(c, F.lit(0.0))
     if method == "no_correction":
         return df.withColumn("corrected", F.col("pred"))
     if method == "fold_train_bias":
-        return df.join(bias_addend(df, by), on).withColumn("corrected", F.col("pred") + F.col("addend")).drop("addend")
+        return df.join(bias_addend(df, by), on, "left").withColumn("corrected", F.col("pred") + learned("addend")).drop("addend")
     if method == "expanding_historical":
-        out = df.join(weighted_addend(df, by, hours), on)
-        return out.withColumn("corrected", F.col("pred") + F.col("addend")).drop("addend")
+        out = df.join(weighted_addend(df, by, hours), on, "left")
+        return out.withColumn("corrected", F.col("pred") + learned("addend")).drop("addend")
     if method == "regime_aware":
-        out = df.join(regime_addends(df, by), on)
+        out = df.join(regime_addends(df, by), on, "left")
         regime = regime_of(F.col("pred"), [F.col("q0_25"), F.col("q0_5"), F.col("q0_75")])
         add = F.element_at(F.array(*[F.col(f"add_{r}") for r in range(4)]), regime + 1)
-        return out.withColumn("corrected", F.col("pred") + add).drop("q0_25", "q0_5", "q0_75", *[f"add_{r}" for r in range(4)])
+        return out.withColumn("corrected", F.col("pred") + learned(add)).drop("q0_25", "q0_5", "q0_75", *[f"add_{r}" for r in range(4)])
     if method == "linear_calibration":
-        out = df.join(linear_calibration(df, by), on)
-        return out.withColumn("corrected", F.col("a") + F.col("b") * F.col("pred")).drop("a", "b")
+        out = df.join(linear_calibration(df, by), on, "left")
+        return out.withColumn("corrected", F.coalesce(F.col("a") + F.col("b") * F.col("pred"), F.col("pred"))).drop("a", "b")
     raise ValueError(f"unknown correction method {method}")
 
 
@@ -135,21 +139,22 @@ def fit_phi(errors: DataFrame, by: Sequence[str], order: str, column: str = "err
     """AR(1) coefficient and last error of the final ``window`` steps of each group (RC-7).
 
     ``order`` is a step position.  The tail is cut by position first, so the window below sees at
-    most ``window`` rows per group; errors that are not finite are dropped before pairing.
+    most ``window`` rows per group; errors that are not finite are dropped before pairing.  A group
+    without a finite error in its tail has phi 0 and last error 0.
     """
     ends = errors.groupBy(*by).agg(F.max(order).alias("_end"))
     tail = errors.join(ends, list(by)).where(F.col(order) > F.col("_end") - window)
     tail = tail.withColumn("_r", finite(F.col(column))).where(F.col("_r").isNotNull())
     w = Window.partitionBy(*by).orderBy(order)
     pairs = tail.withColumn("_prev", F.lag("_r").over(w))
-    sums = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("_r") * F.col("_prev")).alias("_num"),
+    sums = ends.select(*by).join(pairs, list(by), "left").groupBy(*by).agg(
+        F.count("_r").alias("_n"), F.sum(F.col("_r") * F.col("_prev")).alias("_num"),
         F.sum(F.when(F.col("_prev").isNotNull(), F.col("_prev") * F.col("_prev"))).alias("_den"),
         F.max_by("_r", order).alias("last_error"),
     )
     usable = (F.col("_n") >= 3) & (F.col("_den") > 0)
     phi = F.when(usable, clip(F.col("_num") / F.col("_den"), -PHI_LIMIT, PHI_LIMIT)).otherwise(F.lit(0.0))
-    return sums.select(*by, phi.alias("phi"), "last_error")
+    return sums.select(*by, phi.alias("phi"), F.coalesce("last_error", F.lit(0.0)).alias("last_error"))
 
 
 def block_correction(df: DataFrame, by: Sequence[str], state: DataFrame, offset: str, block: int = BLOCK, state_delay: int = 0) -> DataFrame:
@@ -167,10 +172,11 @@ def block_correction(df: DataFrame, by: Sequence[str], state: DataFrame, offset:
     donors = df.where(F.pmod(at, F.lit(block)) == 0).select(
         *by, F.floor(at / block).cast("long").alias("_block"), error().alias("_state")
     )
-    joined = placed.join(donors, [*by, "_block"], "left").join(state, list(by))
-    start = F.when(F.col("_block") == 0, F.col("last_error")).otherwise(F.coalesce(F.col("_state"), F.lit(0.0)))
+    joined = placed.join(donors, [*by, "_block"], "left").join(state, list(by), "left")
+    phi, last_error = (F.coalesce(c, F.lit(0.0)) for c in ("phi", "last_error"))  # no state: no correction
+    start = F.when(F.col("_block") == 0, last_error).otherwise(F.coalesce(F.col("_state"), F.lit(0.0)))
     lead = F.when(F.col("_block") == 0, 0).otherwise(state_delay)
-    out = joined.withColumn("ar_add", F.pow(F.col("phi"), F.col("_k") + lead) * start)
+    out = joined.withColumn("ar_add", F.pow(phi, F.col("_k") + lead) * start)
     return out.withColumn("corrected", F.col("pred") + F.col("ar_add")).drop("_block", "_k", "_state", "phi", "last_error")
 
 
@@ -183,8 +189,8 @@ def one_step(df: DataFrame, spec: PanelSpec, by: Sequence[str], state: DataFrame
     """One-step AR diagnostic: phi · previous error; uses t−1 and is not a day-ahead forecast (RC-10)."""
     staged = chunked(df, INDEX, lookback=1)
     previous = home_rows(staged.withColumn("_prev", value_at(error(), chunk_window(by, INDEX), 1)))
-    joined = previous.join(state, list(by))
-    add = F.col("phi") * F.coalesce(F.col("_prev"), F.col("last_error"))
+    joined = previous.join(state, list(by), "left")
+    add = F.coalesce("phi", F.lit(0.0)) * F.coalesce("_prev", "last_error", F.lit(0.0))
     return joined.withColumn("corrected", F.col("pred") + add).drop("_prev", "phi", "last_error")
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from panelcast.contract import HOURLY
 from panelcast.functions.quantiles import quantiles
-from panelcast.operators import explain, forecast, linear
+from panelcast.operators import explain, forecast, linear, residual
 from panelcast.operators.features import History, add_calendar
+from panelcast.operators.grid import INDEX
 from panelcast.operators.manifest import FeatureSpec, Manifest, availability_audit
 from panelcast.plans import views
 from panelcast.plans.catalogue.models import BASE, FLAG, X, fold_table, lines
 from panelcast.plans.registry import query
+from panelcast.sources.staging import stage
 
 # A fixed linear model per return flag with the scaler of the data, so SQL can follow it.
 WEIGHTS = {"l_quantity": 25.0, "l_discount": -0.5}
@@ -146,7 +148,7 @@ def forecast_strict(spark, sf):
 
 @query("forecast_assumed")
 def forecast_assumed(spark, sf):
-    """FC-2: forecast from 24 hours before the end with stored features and an archived model."""
+    """FC-2: forecast from 24 hours before the end with stored features, an archived model, its addend and its AR state."""
     from panelcast.sources.models import single_model
 
     h = History(HOURLY).lag("y", 24).lag("y", 48)
@@ -159,6 +161,11 @@ def forecast_assumed(spark, sf):
     for name, w in windows.items():
         hs.share_above("y", 60.0, w, 24, name)
     history = features.join(origins, "series_id").where(F.col("ts") <= F.col("origin")).drop("origin")
-    model = single_model(linear.fit_ridge(hs.apply(history).where(F.col("y").isNotNull()), ["series_id"], columns))
+    by, known = ["series_id"], stage(hs.apply(history).where(F.col("y").isNotNull()))
+    fitted = stage(linear.fit_ridge(known, by, columns))
+    past = linear.score(known, fitted, by, columns).withColumn("role", F.lit("train"))
+    addend = residual.weighted_addend(past, by, F.col(INDEX).cast("double"))
+    left = past.join(addend, by).withColumn("error", F.col("y") - F.col("pred") - F.col("addend"))
+    model = single_model(fitted.join(addend, by).join(residual.fit_phi(left, by, INDEX), by))
     inputs = forecast.assumed_inputs(origins, history, features, HOURLY, columns, "y", 60.0, windows, 24)
     return forecast.assumed_forecast(inputs, HOURLY, model, "ridge")

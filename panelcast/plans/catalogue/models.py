@@ -299,7 +299,7 @@ QUERY_ROUNDS = 10
 
 
 def tree_rows(spark, sf):
-    return splits.chronological_split(stage(model_table(spark, sf))).where(F.col("y_lag_14").isNotNull())
+    return splits.chronological_split(stage(model_table(spark, sf)))
 
 
 @query("model_boosted_trees")

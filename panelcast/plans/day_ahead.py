@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,10 +65,7 @@ ROLE_RULES = {
 
 def plain(name: str) -> str:
     """Column name without blanks, slashes and hyphens."""
-    out = name.strip().lower()
-    for ch in "/- ":
-        out = out.replace(ch, "_")
-    return out
+    return re.sub(r"[\s/-]", "_", name.strip()).lower()
 
 
 def energy_schema(columns: Sequence[str] = (*GENERATION, *ZERO_ONLY_GENERATION, *EMPTY_COLUMNS, *FORECASTS, *OTHER_MEASURES, TARGET)) -> StructType:
@@ -108,9 +106,15 @@ def weather_long(weather: DataFrame) -> DataFrame:
 
 
 def merge(energy: DataFrame, weather: DataFrame) -> DataFrame:
-    """Energy left-joined one-to-one with the wide weather of the same hours."""
-    wide = clean.pivot_entities(weather_long(weather), ["series_id", "ts"], "city_name", CITIES, list(WEATHER_RULES))
-    return clean.one_to_one_left(clean_energy(energy), wide, ["series_id", "ts"])
+    """Energy joined one-to-one with the wide weather of the same hours.
+
+    Action: refuses key sets that differ; an hour without weather, or the other way round, is a fault of the inputs.
+    """
+    keys = ["series_id", "ts"]
+    wide = clean.pivot_entities(weather_long(weather), keys, "city_name", CITIES, list(WEATHER_RULES))
+    panel = clean_energy(energy)
+    clean.assert_same_keys(panel, wide, keys)
+    return clean.one_to_one_left(panel, wide, keys)
 
 
 class _Plan:

@@ -51,10 +51,10 @@ def user_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events by hour as one dense series."""
     ev = table(spark, sf_dir, "events")
-    grouped = ev.groupBy(F.upper(F.lit("all")).alias("series_id"), truncate(F.col("ts"), "hour").alias("ts")).agg(
+    grouped = ev.groupBy(F.lit("ALL").alias("series_id"), truncate(F.col("ts"), "hour").alias("ts")).agg(
         F.avg("value").alias("y")
     )
-    return densify(grouped, HOURLY, extent=extent(ev, F.upper(F.lit("all")), "ts"))
+    return densify(grouped, HOURLY, extent=extent(ev, F.lit("ALL"), "ts"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def strategies(
     train = F.col("role") == "train"
     fold_rows = stage(fold_rows)
     thresholds = stage(quantiles(fold_rows.where(train), by, "y", [0.75]).select(*on, F.col("q0_75").alias("p75")))
-    rows = add_levels(fold_rows.join(thresholds, on), fold_spec, levels, delay)
+    rows = add_levels(fold_rows.join(thresholds, on, "left"), fold_spec, levels, delay)
     rows = add_shares(rows, fold_spec, shares, delay, F.col("p75"), history=history)
     # read by the scaler, two Gram passes, the weight search and the scoring scan
     rows = stage(rows.withColumns(interactions(pairs)))
@@ -76,7 +76,7 @@ def strategies(
     weighted = rows.where(train)
     tail = splits.inner_tail(weighted, F.col("cut"))
     inner = stage(quantiles(tail.where(F.col("inner_role") == "fit"), by, "y", [0.75]).select(*on, F.col("q0_75").alias("inner_p75")))
-    weight = stage(linear.choose_weight(tail.join(inner, on), by, base, "inner_p75", alpha=alpha))
+    weight = stage(linear.choose_weight(tail.join(inner, on, "left"), by, base, "inner_p75", alpha=alpha))
     weighted = weighted.join(weight, on).withColumn("_w", F.when(F.col("y") >= F.col("p75"), F.col("high_weight")).otherwise(1.0))
     heavy = linear.solve_ridge(linear.gram(weighted, by, columns, weight="_w", scaler=scaler), by, len(columns), [alpha], {"METHOD_E": index(base)})
 
@@ -120,11 +120,11 @@ def frozen_pipeline(
     model = linear.fit_ridge(full.where(dev), by, columns, alphas=[alpha])
     scored = stage(linear.score(full, model, by, columns))
     addend = residual.weighted_addend(scored, by, hours)
-    shifted = scored.join(addend, by).withColumn("pred", F.col("pred") + F.col("addend")).drop("addend")
+    shifted = scored.join(addend, by, "left").withColumn("pred", F.col("pred") + F.coalesce("addend", F.lit(0.0))).drop("addend")
     state = residual.fit_phi(shifted.where(dev).withColumn("error", F.col("y") - F.col("pred")), by, "pos")
     test = shifted.where(~dev).withColumn("offset", F.col("pos") - splits.cut_at(F.col("n_steps"), splits.VALIDATION_END))
     corrected = residual.block_correction(test, by, state, "offset", block)
-    archive = model.join(addend, by).join(state, by)
+    archive = model.join(addend, by, "left").join(state, by, "left").fillna(0.0, ["addend", "phi", "last_error"])
     return {"model": archive, "thresholds": thresholds, "test": corrected.withColumn("raw_pred", F.col("pred")).withColumn("pred", F.col("corrected"))}
 
 

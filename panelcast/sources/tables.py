@@ -12,21 +12,25 @@ from panelcast.contract import ContractError, LockedSplitError, forbid_columns,
 from panelcast.session import prepare
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """The one rule for missing numbers at every scan."""
+    floats = {f.name: F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)) for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    return df.withColumns(floats) if floats else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Typed CSV with a header; empty fields and NaN are missing values (IO-1).
 
     The header must name the schema's columns in order; text that does not parse becomes NULL.
     """
     prepare(spark)
-    out = spark.read.csv(path, schema=schema, header=True, enforceSchema=False, nullValue="", mode="PERMISSIVE", nanValue="NaN")
-    floats = {f.name: F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)) for f in out.schema if f.dataType.typeName() in ("double", "float")}
-    return out.withColumns(floats)
+    return nan_as_null(spark.read.csv(path, schema=schema, header=True, enforceSchema=False, nullValue="", mode="PERMISSIVE", nanValue="NaN"))
 
 
 def read_parquet(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
-    """Parquet scan with a column contract; row order is never relied on (IO-2)."""
+    """Parquet scan with a column contract; row order is never relied on, NaN becomes NULL (IO-2)."""
     prepare(spark)
-    return require_columns(spark.read.parquet(path), required)
+    return nan_as_null(require_columns(spark.read.parquet(path), required))
 
 
 def preview(df: DataFrame, columns: Mapping[str, str], rows: int = 6, order: Sequence[str] = ()) -> DataFrame:
