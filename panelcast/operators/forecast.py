@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.contract import ContractError, PanelSpec
+from panelcast.functions.numeric import all_present
 from panelcast.operators.features import add_calendar, lookup, shares_at
 from panelcast.operators.grid import future_steps
-from panelcast.operators.linear import score_frozen
+from panelcast.operators.linear import score, score_frozen
 from panelcast.operators.residual import horizon_addend
 
 # Reasons given with a forecast.
@@ -64,9 +65,25 @@ def assumed_forecast(inputs: DataFrame, spec: PanelSpec, model: dict, name: str)
     if absent:
         raise ContractError(f"archived model without {absent}")
     scored = score_frozen(inputs, model, "base")
-    add = horizon_addend(F.lit(float(model["phi"])), F.lit(float(model["last_error"])), F.col("h"))
+    return _assumed(scored, spec, F.col("base"), F.lit(float(model["phi"])), F.lit(float(model["last_error"])), name)
+
+
+def assumed_forecasts(inputs: DataFrame, spec: PanelSpec, archive: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """As ``assumed_forecast`` for every series of a panel: model rows are joined by series.
+
+    A series without a whole archive row (model, addend, state) fails the job.
+    """
+    state = ["addend", "phi", "last_error"]
+    keys = list(spec.keys)
+    scored = score(inputs, archive.drop(*state), keys, columns, "base").join(archive.select(*keys, *state), keys, "left")
+    whole = all_present([F.col(c) for c in ("base", *state)])
+    scored = scored.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("series without a whole archive row")).cast("boolean")))
+    return _assumed(scored, spec, F.col("base") + F.col("addend"), F.col("phi"), F.col("last_error"), name)
+
+
+def _assumed(scored: DataFrame, spec: PanelSpec, base: Column, phi: Column, last_error: Column, name: str) -> DataFrame:
     return scored.select(
-        *spec.keys, spec.ts, "forecast_horizon", (F.col("base") + add).alias("y_pred"), F.col("origin").alias("forecast_origin"),
+        *spec.keys, spec.ts, "forecast_horizon", (base + horizon_addend(phi, last_error, F.col("h"))).alias("y_pred"), F.col("origin").alias("forecast_origin"),
         F.lit(name).alias("model"), F.lit("DATASET_ASSUMED").alias("scenario"), F.lit(False).alias("production_ready"),
         F.lit(ASSUMED_REASON).alias("blocking_reason"),
     )

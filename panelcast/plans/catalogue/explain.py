@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.contract import HOURLY
+from panelcast.contract import DAILY, HOURLY
 from panelcast.functions.quantiles import quantiles
 from panelcast.operators import explain, forecast, linear, residual
 from panelcast.operators.features import History, add_calendar
@@ -169,3 +169,20 @@ def forecast_assumed(spark, sf):
     model = single_model(fitted.join(addend, by).join(residual.fit_phi(left, by, INDEX), by))
     inputs = forecast.assumed_inputs(origins, history, features, HOURLY, columns, "y", 60.0, windows, 24)
     return forecast.assumed_forecast(inputs, HOURLY, model, "ridge")
+
+
+@query("forecast_assumed_panel")
+def forecast_assumed_panel(spark, sf):
+    """FC-2 for a panel: every series with its own archived model, addend and AR state, a week ahead."""
+    by, columns, horizon = ["series_id"], ["y_lag_7", "y_lag_14"], 7
+    features = stage(History(DAILY).lag("y", 7).lag("y", 14).apply(views.daily(spark, sf)))
+    origin = F.timestamp_add("DAY", F.lit(-horizon), F.max("ts")).cast("timestamp_ntz")
+    origins = stage(features.groupBy(*by).agg(origin.alias("origin")))
+    known = stage(features.join(origins, by).where((F.col("ts") <= F.col("origin")) & F.col("y").isNotNull()).drop("origin"))
+    fitted = stage(linear.fit_ridge(known, by, columns))
+    past = linear.score(known, fitted, by, columns).withColumn("role", F.lit("train"))
+    addend = residual.weighted_addend(past, by, F.col(INDEX) * 24.0)
+    left = past.join(addend, by).withColumn("error", F.col("y") - F.col("pred") - F.col("addend"))
+    archive = stage(fitted.join(addend, by).join(residual.fit_phi(left, by, INDEX), by))
+    inputs = forecast.assumed_inputs(origins, known, features, DAILY, columns, "y", 0.0, {}, horizon, horizon)
+    return forecast.assumed_forecasts(inputs, DAILY, archive, columns, "ridge")

@@ -96,3 +96,17 @@ def test_forecast_refuses_an_incomplete_archive(spark):
     model = {"names": ["x"], "medians": [0.0], "means": [0.0], "scales": [1.0], "coef": [1.0], "intercept": 0.0, "addend": 1.0, "phi": 0.5}
     with pytest.raises(ContractError):
         forecast.assumed_forecast(panel(spark, [0]), HOURLY, model, "m")
+
+
+def test_forecasts_of_a_panel_equal_single_models(spark):
+    rows = [(s, AT + dt.timedelta(hours=h), f"h+{h}", h, AT, float(h), 2.0 - h) for s in ("a", "b") for h in (1, 2, 3)]
+    inputs = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, forecast_horizon string, h int, origin timestamp_ntz, x1 double, x2 double")
+    past = spark.createDataFrame([(s, float(i % 5), float(i % 3), k * (i % 5) - (i % 3) + k) for s, k in (("a", 1.0), ("b", 3.0)) for i in range(40)], "series_id string, x1 double, x2 double, y double")
+    models = linear.fit_ridge(past, ["series_id"], ["x1", "x2"])
+    archive = models.withColumns({"addend": F.lit(0.5), "phi": F.when(F.col("series_id") == "a", 0.5).otherwise(-0.5), "last_error": F.lit(2.0)})
+    got = {(r.series_id, r.forecast_horizon): r.y_pred for r in forecast.assumed_forecasts(inputs, HOURLY, archive, ["x1", "x2"], "m").collect()}
+    for row in archive.collect():
+        one = forecast.assumed_forecast(inputs.where(F.col("series_id") == row.series_id), HOURLY, row.asDict(), "m").collect()
+        assert {(r.series_id, r.forecast_horizon): pytest.approx(r.y_pred) for r in one} == {k: v for k, v in got.items() if k[0] == row.series_id}
+    with pytest.raises(PySparkException):
+        forecast.assumed_forecasts(inputs, HOURLY, archive.where("series_id = 'a'"), ["x1", "x2"], "m").collect()
