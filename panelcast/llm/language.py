@@ -155,7 +155,9 @@ def log_probabilities(words: list[bytes], vocabulary: Pieces, lifted: np.ndarray
 
 
 def words_of(text: bytes) -> list[str]:
-    return LETTERS.findall(text.decode("utf-8", "replace").lower())
+    """Lower-cased runs of letters (signs like ² may stand in one); none if the text has no letter at all."""
+    words = LETTERS.findall(text.decode("utf-8", "replace").lower())
+    return words if any(any(map(str.isalpha, w)) for w in words) else []
 
 
 # --- learning -------------------------------------------------------------------------------------------------------

@@ -81,6 +81,11 @@ def corpus(spark, n=150):
     return docs(spark, [" ".join(rng.choices(WORDS[langs[i]], k=rng.randrange(3, 40))).capitalize() for i in range(n)], langs=langs)
 
 
+def test_texts_without_a_letter():
+    assert lg.words_of("½ ² 12 _ %".encode()) == []
+    assert lg.words_of("² x1 Ünd".encode()) == ["²", "x", "ünd"]
+
+
 def test_held_out_accuracy(spark):
     df = corpus(spark)
     got = lg.predict(df, lg.fit(df, PIECES), PIECES).join(df.select("doc_id", "lang"), "doc_id").collect()
