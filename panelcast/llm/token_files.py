@@ -8,8 +8,9 @@ checkpoints and many stretches are decoded in step through one 2^16-entry table.
 Layout of a file set (Parquet as the container, written by Spark into one folder):
 
 * ``codes``  id, n_bits: the code book.
-* ``blocks`` part, block, start (ids of all documents before the block), n_ids, doc_ids, doc_tokens,
+* ``blocks`` part, block, local_start (ids of the part before the block), n_ids, doc_ids, doc_tokens,
   checkpoints (bit offset of every 256th id), bits.  Ascending (part, block) is ascending doc_id.
+* ``parts``  part, before (ids of all documents before the part).
 
 Defined cases: null or empty text is the end id alone.  Null doc_ids come first.  Repeated rows are
 encoded like others.  An empty table gives empty files and an empty result.
@@ -17,15 +18,19 @@ encoded like others.  An empty table gives empty files and an empty result.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import text_batches
@@ -41,34 +46,105 @@ STAGED = "doc_id long, n_tokens long, ids binary"
 
 # --- ids of texts ---------------------------------------------------------------------------------------------------
 
-def encode_words(encoder, texts: list[bytes], known: dict[bytes, list[int]]) -> list[np.ndarray]:
-    """Ids of each text; words between spaces and line ends are encoded once and looked up after that.
+# Fixed value: the split pattern under which words may be encoded by their runs of letters, digits and signs.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin words whose runs split and lower-case one way only: no apostrophe, no special token, no fraction or raised digit.
+PLAIN_WORD = re.compile("[!-&(-;=-~¡-±´-¸º»¿-įı-ɏ]+")
+RUNS = re.compile(r"[^\W\d_]+|\d|(?:\W|_)+")
 
-    Right for tokenizers whose normaliser and pre-tokeniser never join or look across white space.
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class WordEncoder:
+    """Ids of texts through the library; words between ASCII white space are encoded once and then remembered.
+
+    Right for tokenizers whose normaliser and pre-tokeniser never join or look across white space.  For
+    the split pattern above, plain Latin words go to the library's model run by run, which spares most of the work: the
+    same run stands in many words.
     """
-    split = [t.split() for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list(set(chain.from_iterable(split)).difference(known))
-    for word, coded in zip(new, encoder.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-        known[word] = coded.ids
-    return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.uint32) for words in split]
 
+    def __init__(self, path: str, width: int = 4):
+        from tokenizers import Tokenizer
 
-def id_batches(tokenizer: str, end_id: int):
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.by_runs = runs_apply(path)
+        self.code = {2: "H", 4: "I"}[width]
+        # ids as little-endian bytes: joined without making a number of any of them
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.letters = byte_letters()
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            spelled = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
+            ids = self.runs[run] = self.packed([t.id for t in self.model.tokenize(spelled)])
+        return ids
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        other = []
+        for word in words:
+            text = word.decode()
+            if self.by_runs and PLAIN_WORD.fullmatch(text):
+                lower = text.lower()
+                self.words[word] = self.run(lower) if lower.isalpha() else b"".join(map(self.run, RUNS.findall(lower)))
+            else:
+                other.append(word)
+        for word, coded in zip(other, self.whole.encode_batch([w.decode() for w in other], add_special_tokens=False)):
+            self.words[word] = self.packed(coded.ids)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian integers."""
+        split = [t.split() for t in texts]
+        every = set(chain.from_iterable(split))
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        self.learn(list(every.difference(self.words)))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+
+def runs_apply(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        pipeline = json.load(f)
+    steps = [(x["type"], x.get("pattern")) for x in (pipeline.get("normalizer") or {}).get("normalizers", [])]
+    splits = (pipeline.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return steps == [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)] and splits[0].get("pattern") == {"Regex": SPLIT} and splits[-1].get("type") == "ByteLevel"
+
+
+def id_bytes(tokenizer: str) -> int:
+    """Bytes an id needs: 2 for vocabularies of up to 65,536 ids, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
+def id_batches(tokenizer: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        encoder, known = Tokenizer.from_file(tokenizer), {}
+        encoder = WordEncoder(tokenizer, width)
+        end = encoder.packed([end_id])
         for batch in batches:
             for first, texts in text_batches(batch, "text"):
-                ids = [np.append(x, np.uint32(end_id)) for x in encode_words(encoder, texts, known)]
+                ids = [x + end for x in encoder.encode(texts)]
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    [part.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "n_tokens", "ids"],
                 )
 
@@ -163,25 +239,32 @@ def unpack(blocks: list[bytes], checkpoints: list[np.ndarray], sizes: list[int],
 
 # --- files ----------------------------------------------------------------------------------------------------------
 
-def encode_texts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Lazy: (doc_id, n_tokens, ids as little-endian 32-bit), the end id behind each document's ids."""
+def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, width: int = 4) -> DataFrame:
+    """Lazy: (doc_id, n_tokens, ids as little-endian integers of ``width`` bytes), the end id behind each document's ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(id_batches(tokenizer, end_id), STAGED)
+    return rows.mapInArrow(id_batches(tokenizer, end_id, width), STAGED)
+
+
+def count_batches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield counted(batches, width)
+
+    return run
 
 
-def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted(batches: Iterator[pa.RecordBatch], width: int) -> pa.RecordBatch:
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for ids in batch.column("ids"):
-            got = np.bincount(np.frombuffer(ids.as_py(), dtype="<u4"))
+            got = np.bincount(np.frombuffer(ids.as_py(), dtype=f"<u{width}"))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[: len(got)] += got
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
-def block_batches(lengths: bytes):
+def block_batches(lengths: bytes, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(lengths, dtype=np.uint8)
         codes, _ = canonical(bits)
@@ -189,7 +272,7 @@ def block_batches(lengths: bytes):
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, block, start
-            ids = np.concatenate([np.frombuffer(x, dtype="<u4") for _, _, x in held])
+            ids = np.concatenate([np.frombuffer(x, dtype=f"<u{width}") for _, _, x in held])
             data, marks = pack(ids, codes, bits)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([held[0][0][1]], pa.int32()), pa.array([block], pa.int64()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()),
@@ -216,25 +299,26 @@ BLOCK_COLUMNS = ["part", "block", "local_start", "n_ids", "doc_ids", "doc_tokens
 BLOCKS = "part int, block long, local_start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, checkpoints array<long>, bits binary"
 
 
-def write(tokens: DataFrame, path: str, parts: int | None = None) -> None:
+def write(tokens: DataFrame, path: str, parts: int | None = None, width: int = 4) -> None:
     """Action: write the file set of ``tokens`` (as of ``encode_texts``, staged) to ``path`` in ascending doc_id order."""
     spark = tokens.sparkSession
-    counts = tokens.select("ids").mapInArrow(count_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary entry
+    counts = tokens.select("ids").mapInArrow(count_batches(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary entry
     total = np.zeros(max((r.id for r in counts), default=-1) + 1, dtype=np.int64)
     for r in counts:
         total[r.id] = r.n
     lengths = code_lengths(total)
     book = pd.DataFrame({"id": np.arange(len(lengths)), "n_bits": lengths.astype(np.int32)})
     spark.createDataFrame(book, "id long, n_bits int").coalesce(1).write.parquet(f"{path}/codes")
-    width = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tokens.repartitionByRange(width, F.asc_nulls_first("doc_id")).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    local = stage(ranged.mapInArrow(block_batches(lengths.tobytes()), BLOCKS))
+    n_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tokens.repartitionByRange(n_parts, F.asc_nulls_first("doc_id")).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.asc_nulls_first("doc_id"))
+    ranged.mapInArrow(block_batches(lengths.tobytes(), width), BLOCKS).write.parquet(f"{path}/blocks")
     # ids before each part: the parts are few, one row for each task that wrote blocks
-    sums = local.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sums.alias("p").join(sums.alias("q"), F.col("q.part") < F.col("p.part"), "left").groupBy("p.part").agg(F.coalesce(F.sum("q.n"), F.lit(0)).alias("before"))
-    local.join(F.broadcast(before), "part").select(
-        "part", "block", (F.col("local_start") + F.col("before")).alias("start"), "n_ids", "doc_ids", "doc_tokens", "checkpoints", "bits"
-    ).write.parquet(f"{path}/blocks")
+    sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    before, rows = 0, []
+    for r in sorted(sums, key=lambda r: r.part):
+        rows.append((r.part, before))
+        before += r.n
+    spark.createDataFrame(rows, "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read_batches(lengths: bytes, digest: Callable[[bytes], int] | None):
@@ -270,7 +354,9 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     for r in book:
         lengths[r.id] = r.n_bits
     last = "ids_crc32 long" if digest else "ids binary"
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(read_batches(lengths.tobytes(), zlib.crc32 if digest else None), f"doc_id long, start long, n_tokens long, {last}")
+    parts = F.broadcast(spark.read.parquet(f"{path}/parts"))  # one row for each task that wrote
+    blocks = spark.read.parquet(f"{path}/blocks").join(parts, "part").withColumn("start", F.col("before") + F.col("local_start"))
+    return blocks.select("start", "n_ids", "doc_ids", "doc_tokens", "checkpoints", "bits").mapInArrow(read_batches(lengths.tobytes(), zlib.crc32 if digest else None), f"doc_id long, start long, n_tokens long, {last}")
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -281,5 +367,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Action, stages: encode, write, read back; doc_id, start, n_tokens, ids_crc32 of each document."""
     spark = docs.sparkSession
     path = new_folder(spark)
-    write(stage(encode_texts(docs, tokenizer, end_id)), path)
+    width = id_bytes(tokenizer)
+    write(stage(encode_texts(docs, tokenizer, end_id, width)), path, width=width)
     return read(spark, path, digest=True)
