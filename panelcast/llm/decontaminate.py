@@ -1,17 +1,18 @@
 """Benchmark decontamination by template windows.
 
-Words are lower-cased; numbers, units behind numbers and names (capitalised inside a sentence) become
-typed placeholders.  Every window of eight canonical words of a document is looked up by hash among
-the benchmark's windows; what is found is compared word by word:
+Words are lower-cased; numbers, units behind numbers and names become typed placeholders.  A text has
+three forms: its own words, one with the capitalised words inside sentences as names, one with all
+capitalised words as names (a name may begin a sentence, and so may any other word).  Every window of
+eight words of a document, in each form, is looked up by hash among the windows of every item's forms;
+what is found is compared word by word:
 
-* a window is *verbatim* if its own words, values included, are a benchmark window's;
-* else it is a *re-parameterised* one if at least five of its words are literal and, over all windows
-  of the document at the same place of the same item, equal values of the item always became equal
-  values of the document (slot consistency).
+* a window is *verbatim* if its own words, values included, are the item's;
+* else it is a *re-parameterised* one if, over all windows of one form at the same place of the same
+  item, equal values of the item always became equal values of the document (slot consistency).
 
-A document is contaminated by a run of six good windows at consecutive words (13 words), or of all
-but one windows of an item with fewer.  Items under eight words cannot be told from chance and are not
-searched.  Every canonical window has one representative item, so shared windows do not multiply.
+A document is contaminated by an item if a run of six good windows at consecutive words (13 words), or of
+all but one windows of an item with fewer, has at least half of its words, rounded down, literal.
+Each (document, item) is reported.  Items under eight words cannot be told from chance and are not searched.
 
 Only DataFrame functions.  Defined cases: null or short text is clean; a null ``doc_id`` is a document
 like others; null items and repeated items count once; repeated rows are reported once; other columns
@@ -41,18 +42,21 @@ UNITS = (
 
 
 def spelled(text: Column) -> Column:
-    """Text in which a number is one word and a unit is a word of its own."""
+    """Text in which a number is one word, and a unit is a word of its own."""
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{POINT}]", " ")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{NAME}-{POINT}]", " ")
     text = F.regexp_replace(text, r"(?<=\p{N})[.,](?=\p{N})", POINT)
     return F.regexp_replace(text, rf"(?i)(?<=\p{{N}})(?=(?:{units})(?![\p{{L}}\p{{N}}]))", " ")
 
 
-def canonical(spelled_text: Column) -> Column:
+def forms(spelled_text: Column) -> list[Column]:
+    """The text itself; with placeholders for values and names inside sentences; with one for every capitalised word."""
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
-    text = F.regexp_replace(spelled_text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
-    text = F.regexp_replace(text, rf"\p{{N}}+(?:{POINT}\p{{N}}+)*", NUMBER)
-    return F.regexp_replace(text, rf"(?i)(?<={NUMBER} )(?:{units})(?![\p{{L}}\p{{N}}])", UNIT)
+    text = F.regexp_replace(spelled_text, rf"\p{{N}}+(?:{POINT}\p{{N}}+)*", NUMBER)
+    text = F.regexp_replace(text, rf"(?i)(?<={NUMBER} )(?:{units})(?![\p{{L}}{NUMBER}])", UNIT)
+    name = rf"\p{{Lu}}\p{{Ll}}+(?![\p{{L}}{NUMBER}])"
+    inside = F.regexp_replace(text, rf"(?<=[\p{{Ll}}{NUMBER}{UNIT},;:] ){name}", NAME)
+    return [spelled_text, inside, F.regexp_replace(inside, rf"(?<![\p{{L}}{NUMBER}]){name}", NAME)]
 
 
 def words(text: Column) -> Column:
@@ -60,39 +64,52 @@ def words(text: Column) -> Column:
 
 
 def window_hashes(canon: Column) -> Column:
-    """Hash of every window of eight words; empty for fewer words."""
+    """Hash of every window of eight words; null for fewer words."""
     return F.when(F.size(canon) >= WIDTH, F.transform(F.sequence(F.lit(1), F.size(canon) - WIDTH + 1), lambda i: F.xxhash64(F.slice(canon, i, WIDTH))))
 
 
 def windows(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos, hash, canon and raw (eight words each, joined by blanks) of every window of ``rows``' text."""
-    parts = rows.select(*keys, spelled(F.col("text")).alias("_s")).select(*keys, words(canonical(F.col("_s"))).alias("_c"), words(F.col("_s")).alias("_r"))
-    each = F.transform(
-        F.sequence(F.lit(1), F.size("_c") - WIDTH + 1),
-        lambda i: F.struct(
-            F.xxhash64(F.slice("_c", i, WIDTH)).alias("hash"), F.array_join(F.slice("_c", i, WIDTH), " ").alias("canon"), F.array_join(F.slice("_r", i, WIDTH), " ").alias("raw")
-        ),
-    )
-    long = parts.where(F.size("_c") >= WIDTH).select(*keys, F.size("_c").alias("n_words"), F.posexplode(each).alias("pos", "w"))
-    return long.select(*keys, "n_words", "pos", "w.hash", "w.canon", "w.raw")
+    """keys, n_words, pos, raw, form, hash, canon (eight words each, joined by blanks) of every window of ``rows``' text in each form."""
+    parts = rows.select(*keys, spelled(F.col("text")).alias("_s")).select(*keys, *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
+    joined = lambda k, i: F.array_join(F.slice(f"_{k}", i, WIDTH), " ")
+    each = F.transform(F.sequence(F.lit(1), F.size("_0") - WIDTH + 1), lambda i: F.array(*(joined(k, i) for k in range(3))))
+    long = parts.where(F.size("_0") >= WIDTH).select(*keys, F.size("_0").alias("n_words"), F.posexplode(each).alias("pos", "w"))
+    long = long.select(*keys, "n_words", "pos", F.col("w")[0].alias("raw"), F.posexplode("w").alias("form", "canon"))
+    return long.withColumn("hash", F.xxhash64(F.split("canon", " ")))
 
 
 def hits(docs: DataFrame, benchmark_hashes: DataFrame) -> DataFrame:
     """doc_id, text_key of documents with a window among the benchmark's, once each."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), words(canonical(spelled(F.col("text")))).alias("canon"))
-    found = rows.select("doc_id", "text_key", F.explode(window_hashes(F.col("canon"))).alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), spelled(F.col("text")).alias("_s"))
+    rows = rows.select("doc_id", "text_key", *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
+    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*(window_hashes(F.col(f"_{k}")) for k in (1,))))).alias("hash"))
     return found.join(benchmark_hashes, "hash", "left_semi").select("doc_id", "text_key").distinct()
 
 
+def is_slot(word: Column) -> Column:
+    return word.rlike(f"[{NAME}-{UNIT}]")
+
+
+def templates_of(items: DataFrame) -> DataFrame:
+    """item_id, need, form, hash, canon, item_pos, item_raw of the items' windows.
+
+    A window that an item repeats word by word counts once, and one of placeholders only once for
+    each way in which its values are equal: an item of numbers meets a table of numbers in few rows.
+    """
+    known = windows(items, "item_id").where("form = 1")
+    need = F.greatest(F.lit(1), F.least(F.lit(RUN), F.col("n_words") - WIDTH))  # n_words - WIDTH is one window less than all
+    values = F.split("raw", " ")
+    equal = F.array_join(F.transform(values, lambda w: F.array_position(values, w).cast("string")), " ")
+    alike = F.when(F.forall(F.split("canon", " "), is_slot), equal).otherwise(F.col("raw"))
+    first = F.min(F.struct("pos", "raw")).alias("first")
+    once = known.groupBy("item_id", "form", "hash", "canon", alike.alias("alike")).agg(first, F.min(need).alias("need"))
+    return once.select("item_id", "need", "form", "hash", "canon", F.col("first.pos").alias("item_pos"), F.col("first.raw").alias("item_raw"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Action, stages: doc_id, text_key, item_id, n_windows (longest run), kind of every contaminated document."""
+    """Action, stages: doc_id, text_key, item_id, n_windows (longest run), kind of every contaminated document and item."""
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    known = stage(windows(items, "item_id"))
-    need = F.greatest(F.lit(1), F.least(F.lit(RUN), F.col("n_words") - WIDTH))  # n_words - WIDTH is one window less than all
-    first = F.min(F.struct("item_id", "pos", "raw"))
-    templates = stage(known.groupBy("hash", "canon").agg(first.alias("first"), F.min(need).alias("need")))
-    template_rows = templates.select("hash", "canon", "need", F.col("first.item_id").alias("item_id"), F.col("first.pos").alias("item_pos"), F.col("first.raw").alias("item_raw"))
-    verbatim = known.select("hash", "raw").distinct().withColumn("verbatim", F.lit(True))
+    templates = stage(templates_of(items))
     hashes = templates.select("hash").distinct()
     if hashes.count() <= BROADCAST_WINDOWS:
         hashes = F.broadcast(hashes)
@@ -100,32 +117,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
     texts = keyed.alias("d").join(found_docs.alias("f"), same, "left_semi").select("d.doc_id", "d.text_key", "d.text")
-    of_docs = windows(texts, "doc_id", "text_key").drop("n_words")
-    matched = stage(of_docs.join(template_rows, ["hash", "canon"]).join(verbatim, ["hash", "raw"], "left").dropDuplicates(["doc_id", "text_key", "pos"]))
-    good = matched.where("verbatim").select("doc_id", "text_key", "pos", "item_id", "need", F.lit(True).alias("verbatim")).unionByName(reparameterised(matched))
-    run = Window.partitionBy("doc_id", "text_key").orderBy("pos")
-    runs = good.withColumn("run", F.col("pos") - F.row_number().over(run)).groupBy("doc_id", "text_key", "run").agg(
-        F.count("*").alias("n_windows"), F.min("need").alias("need"), F.min("item_id").alias("item_id"), F.bool_and("verbatim").alias("verbatim")
-    )
-    kind = F.when(F.bool_or("verbatim"), "verbatim").otherwise("reparameterised")
-    return runs.where("n_windows >= need").groupBy("doc_id", "text_key").agg(F.min("item_id").alias("item_id"), F.max("n_windows").alias("n_windows"), kind.alias("kind"))
+    of_docs = windows(texts, "doc_id", "text_key").where("form = 1").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
+    matched = stage(of_docs.join(hashes, "hash", "left_semi").distinct().join(templates, ["hash", "canon"]))
+    return runs(good_windows(matched))
 
 
-def reparameterised(matched: DataFrame) -> DataFrame:
-    """Windows that differ from the item's in slot values only, consistently over the item's place in the document."""
-    place = ["doc_id", "text_key", "item_id", "shift"]
+def good_windows(matched: DataFrame) -> DataFrame:
+    """doc_id, text_key, item_id, pos, need, verbatim, literals and last (is the last word literal) of windows that hold."""
+    keys = ["doc_id", "text_key", "item_id", "pos"]
     canon = F.split("canon", " ")
-    is_slot = lambda w: w.rlike(f"[{NAME}-{UNIT}]")
-    other = matched.where("verbatim IS NULL").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    other = other.where(F.size(F.filter(canon, lambda w: ~is_slot(w))) >= LITERALS)
-    slots = other.select(*place, F.explode(F.arrays_zip(canon.alias("c"), F.split("item_raw", " ").alias("i"), F.split("raw", " ").alias("d"))).alias("w"))
+    verbatim = matched.where("raw = item_raw").select(*keys, "need", F.struct(F.lit(True).alias("verbatim"), F.lit(WIDTH).alias("literals"), F.lit(1).alias("last")).alias("how"))
+    literals = F.size(F.filter(canon, lambda w: ~is_slot(w))).alias("literals")
+    last = F.when(is_slot(F.element_at(canon, -1)), 0).otherwise(1).alias("last")
+    other = reparameterised(matched).select(*keys, "need", F.struct(F.lit(False).alias("verbatim"), literals, last).alias("how"))
+    return verbatim.unionByName(other).groupBy(*keys).agg(F.min("need").alias("need"), F.max("how").alias("how")).select(*keys, "need", "how.*")
+
+
+def reparameterised(matched: DataFrame) -> DataFrame:
+    """Windows that differ from the item's in slot values only, consistently over the item's place in the document in one form."""
+    place = ["doc_id", "text_key", "item_id", "form", "shift"]
+    other = matched.where("raw <> item_raw").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    other = other.where(F.size(F.filter(F.split("canon", " "), lambda w: ~is_slot(w))) >= LITERALS)
+    slots = other.select(*place, F.explode(F.arrays_zip(F.split("canon", " ").alias("c"), F.split("item_raw", " ").alias("i"), F.split("raw", " ").alias("d"))).alias("w"))
     slots = slots.where(is_slot(F.col("w.c"))).select(*place, F.col("w.i").alias("of_item"), F.col("w.d").alias("of_doc"))
     broken = slots.groupBy(*place, "of_item").agg(F.min("of_doc").alias("a"), F.max("of_doc").alias("b")).where("a <> b").select(*place).distinct()
-    same = F.col("o.doc_id").eqNullSafe(F.col("b.doc_id"))
-    for c in place[1:]:
-        same = same & (F.col(f"o.{c}") == F.col(f"b.{c}"))
-    whole = other.alias("o").join(broken.alias("b"), same, "left_anti")
-    return whole.select("doc_id", "text_key", "pos", "item_id", "need", F.lit(False).alias("verbatim"))
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return other.alias("o").join(broken.alias("b"), same, "left_anti")
+
+
+def runs(good: DataFrame) -> DataFrame:
+    """doc_id, text_key, item_id, n_windows, kind of runs of ``need`` windows of which half of the words are literal."""
+    keys = ["doc_id", "text_key", "item_id"]
+    numbered = good.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
+    in_run = Window.partitionBy(*keys, "run").orderBy("pos")
+    counted = numbered.withColumn("upto", F.sum("last").over(in_run.rowsBetween(Window.unboundedPreceding, 0)))
+    # windows s..p span p - s + 8 words, of which literals(s) - upto(s) + upto(p) are literal; twice that is at least the span, rounded down
+    counted = counted.withColumn("begin", 2 * F.col("literals") - 2 * F.col("upto") + F.col("pos")).withColumn("v", F.col("verbatim").cast("int"))
+    needs = range(1, RUN + 1)
+    best = F.coalesce(*(F.when(F.col("need") == k, F.max("begin").over(in_run.rowsBetween(Window.unboundedPreceding, 1 - k))) for k in needs))
+    copied = F.coalesce(*(F.when(F.col("need") == k, F.sum("v").over(in_run.rowsBetween(1 - k, 0))) for k in needs)) >= F.col("need")
+    judged = counted.withColumn("enough", F.coalesce(best + 2 * F.col("upto") - F.col("pos") >= WIDTH - 1, F.lit(False))).withColumn("copied", copied)
+    whole = judged.groupBy(*keys, "run").agg(F.count("*").alias("n_windows"), F.bool_or("enough").alias("enough"), F.bool_or("copied").alias("copied")).where("enough")
+    kind = F.when(F.bool_or("copied"), "verbatim").otherwise("reparameterised")
+    return whole.groupBy(*keys).agg(F.max("n_windows").alias("n_windows"), kind.alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -63,6 +63,15 @@ def test_verbatim_equals_brute_force(spark):
     assert set(found(spark, texts, bench)) == brute(texts, bench)
 
 
+def test_items_of_one_template(spark):
+    """Each item's own equal values count, and every item of a document is reported."""
+    one = "a farmer has 3 cows in the barn and there are 3 more on the hill so how many cows are there"
+    two = one.replace("3 more", "5 more")
+    texts = [one.replace("3", "4"), two.replace("3", "4").replace("5", "6"), OTHER + ". " + ITEM]
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs(spark, texts), items(spark, [one, two, ITEM, OTHER])).collect()}
+    assert got >= {(0, 0), (1, 1), (2, 2), (2, 3)} and (1, 0) not in got
+
+
 def test_decontaminate_awkward(spark):
     df = awkward(spark)
     bench = items(spark, [PLAIN, None, "", PLAIN])
