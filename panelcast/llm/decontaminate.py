@@ -29,7 +29,6 @@ from panelcast.sources.staging import stage
 
 WIDTH = 8
 RUN = 6
-LITERALS = 5
 NAME, NUMBER, UNIT, POINT = "", "", "", ""
 #: Benchmark windows up to this many are broadcast (eight bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -82,7 +81,7 @@ def hits(docs: DataFrame, benchmark_hashes: DataFrame) -> DataFrame:
     """doc_id, text_key of documents with a window among the benchmark's, once each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), spelled(F.col("text")).alias("_s"))
     rows = rows.select("doc_id", "text_key", *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
-    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*(window_hashes(F.col(f"_{k}")) for k in (1,))))).alias("hash"))
+    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*(window_hashes(F.col(f"_{k}")) for k in (1, 2))))).alias("hash"))
     return found.join(benchmark_hashes, "hash", "left_semi").select("doc_id", "text_key").distinct()
 
 
@@ -96,7 +95,7 @@ def templates_of(items: DataFrame) -> DataFrame:
     A window that an item repeats word by word counts once, and one of placeholders only once for
     each way in which its values are equal: an item of numbers meets a table of numbers in few rows.
     """
-    known = windows(items, "item_id").where("form = 1")
+    known = windows(items, "item_id").where("form > 0")
     need = F.greatest(F.lit(1), F.least(F.lit(RUN), F.col("n_words") - WIDTH))  # n_words - WIDTH is one window less than all
     values = F.split("raw", " ")
     equal = F.array_join(F.transform(values, lambda w: F.array_position(values, w).cast("string")), " ")
@@ -117,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
     texts = keyed.alias("d").join(found_docs.alias("f"), same, "left_semi").select("d.doc_id", "d.text_key", "d.text")
-    of_docs = windows(texts, "doc_id", "text_key").where("form = 1").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
+    of_docs = windows(texts, "doc_id", "text_key").where("form > 0").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
     matched = stage(of_docs.join(hashes, "hash", "left_semi").distinct().join(templates, ["hash", "canon"]))
     return runs(good_windows(matched))
 
@@ -137,7 +136,6 @@ def reparameterised(matched: DataFrame) -> DataFrame:
     """Windows that differ from the item's in slot values only, consistently over the item's place in the document in one form."""
     place = ["doc_id", "text_key", "item_id", "form", "shift"]
     other = matched.where("raw <> item_raw").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    other = other.where(F.size(F.filter(F.split("canon", " "), lambda w: ~is_slot(w))) >= LITERALS)
     slots = other.select(*place, F.explode(F.arrays_zip(F.split("canon", " ").alias("c"), F.split("item_raw", " ").alias("i"), F.split("raw", " ").alias("d"))).alias("w"))
     slots = slots.where(is_slot(F.col("w.c"))).select(*place, F.col("w.i").alias("of_item"), F.col("w.d").alias("of_doc"))
     broken = slots.groupBy(*place, "of_item").agg(F.min("of_doc").alias("a"), F.max("of_doc").alias("b")).where("a <> b").select(*place).distinct()

@@ -63,6 +63,17 @@ def test_verbatim_equals_brute_force(spark):
     assert set(found(spark, texts, bench)) == brute(texts, bench)
 
 
+def test_names_at_sentence_starts(spark):
+    """Renamed subjects that begin the text, a sentence or a line, and windows full of slots."""
+    item = "Anna buys 3 kg of apples at the market. Peter carries them home and eats 2 of them. Anna bakes a cake with 1 kg. How many are left for Peter?"
+    other = "Laura buys 7 kg of apples at the market. Oscar carries them home and eats 4 of them. Laura bakes a cake with 2 kg. How many are left for Oscar?"
+    mixed = other.replace("Laura bakes", "Nora bakes")
+    dense = "then Anna gives 3 kg to Peter and Peter gives 5 kg to Laura while all of them wait for the train"
+    swapped = "then Erik gives 4 kg to Simon and Simon gives 9 kg to Maria while all of them wait for the train"
+    got = found(spark, [other, other.replace(". ", ".\n"), mixed, swapped], (item, dense))
+    assert {i: (r.item_id, r.kind) for i, r in got.items()} == {0: (0, "reparameterised"), 1: (0, "reparameterised"), 3: (1, "reparameterised")}
+
+
 def test_items_of_one_template(spark):
     """Each item's own equal values count, and every item of a document is reported."""
     one = "a farmer has 3 cows in the barn and there are 3 more on the hill so how many cows are there"
