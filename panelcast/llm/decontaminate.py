@@ -6,7 +6,8 @@ capitalised words as names (a name may begin a sentence, and so may any other wo
 eight words of a document, in each form, is looked up by hash among the windows of every item's forms;
 what is found is compared word by word:
 
-* a window is *verbatim* if its own words, values included, are the item's;
+* a window is *verbatim* if its own words, values included, are the item's; letter case, white space
+  and line breaks do not matter;
 * else it is a *re-parameterised* one if, over all windows of one form at the same place of the same
   item, equal values of the item always became equal values of the document (slot consistency).
 
@@ -41,9 +42,9 @@ UNITS = (
 
 
 def spelled(text: Column) -> Column:
-    """Text in which a number is one word, and a unit is a word of its own."""
+    """Text in which a number is one word, a unit is a word of its own and white space is one blank."""
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{NAME}-{POINT}]", " ")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{NAME}-{POINT}\s\p{{Z}}]+", " ")
     text = F.regexp_replace(text, r"(?<=\p{N})[.,](?=\p{N})", POINT)
     return F.regexp_replace(text, rf"(?i)(?<=\p{{N}})(?=(?:{units})(?![\p{{L}}\p{{N}}]))", " ")
 
@@ -81,7 +82,7 @@ def hits(docs: DataFrame, benchmark_hashes: DataFrame) -> DataFrame:
     """doc_id, text_key of documents with a window among the benchmark's, once each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), spelled(F.col("text")).alias("_s"))
     rows = rows.select("doc_id", "text_key", *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
-    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*(window_hashes(F.col(f"_{k}")) for k in (1, 2))))).alias("hash"))
+    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*(window_hashes(F.col(f"_{k}")) for k in range(3))))).alias("hash"))
     return found.join(benchmark_hashes, "hash", "left_semi").select("doc_id", "text_key").distinct()
 
 
@@ -95,7 +96,7 @@ def templates_of(items: DataFrame) -> DataFrame:
     A window that an item repeats word by word counts once, and one of placeholders only once for
     each way in which its values are equal: an item of numbers meets a table of numbers in few rows.
     """
-    known = windows(items, "item_id").where("form > 0")
+    known = windows(items, "item_id").where("form = 0 OR canon <> raw")  # without a placeholder the forms are the same
     need = F.greatest(F.lit(1), F.least(F.lit(RUN), F.col("n_words") - WIDTH))  # n_words - WIDTH is one window less than all
     values = F.split("raw", " ")
     equal = F.array_join(F.transform(values, lambda w: F.array_position(values, w).cast("string")), " ")
@@ -116,7 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
     texts = keyed.alias("d").join(found_docs.alias("f"), same, "left_semi").select("d.doc_id", "d.text_key", "d.text")
-    of_docs = windows(texts, "doc_id", "text_key").where("form > 0").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
+    of_docs = windows(texts, "doc_id", "text_key").where("form = 0 OR canon <> raw").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
     matched = stage(of_docs.join(hashes, "hash", "left_semi").distinct().join(templates, ["hash", "canon"]))
     return runs(good_windows(matched))
 

@@ -83,6 +83,16 @@ def test_items_of_one_template(spark):
     assert got >= {(0, 0), (1, 1), (2, 2), (2, 3)} and (1, 0) not in got
 
 
+def test_copies_in_other_case_and_wrapping(spark):
+    """Items with a name every few words, copied in capitals, in lower case and wrapped anew."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(150)]
+    bench = [" ".join(w.capitalize() if k % 5 == 4 else w for k, w in enumerate(rng.choices(vocabulary, k=30))) for _ in range(8)]
+    texts = [form(" ".join(b.split()[2:20])) for b in bench for form in (str.upper, str.lower, str.title, lambda t: t.replace(" ", "\n"), lambda t: t.replace(" ", "  "))]
+    texts += [" ".join(rng.choices(vocabulary, k=30)).title() for _ in range(10)]
+    assert set(found(spark, texts, bench)) == brute(texts, bench) == set(range(40))
+
+
 def test_decontaminate_awkward(spark):
     df = awkward(spark)
     bench = items(spark, [PLAIN, None, "", PLAIN])
