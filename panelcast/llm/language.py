@@ -37,6 +37,8 @@ LONGEST_PIECE = 16
 #: Words up to this many bytes are scored in step, longer ones one by one.
 LONGEST_TOGETHER = 64
 BYTE_SHARE = 0.04
+#: Bytes of a long word between two rescalings.
+RESCALED = 8
 #: Probabilities are multiplied by this per byte while summing, so that long words stay in range.
 LIFT = 8.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -125,8 +127,9 @@ def log_of_long(word: bytes, vocabulary: Pieces, lifted: np.ndarray) -> np.ndarr
             if number:
                 total += recent[-k] * lifted[number]
         recent = [*recent[-vocabulary.longest :], total]
-        if total.max() < 1e-100:
-            factor = total.copy()
+        if j % RESCALED == 0:  # each language by its own factor, up or down
+            factor = np.max(recent, axis=0)
+            factor[factor == 0] = 1.0
             recent = [r / factor for r in recent]
             shift += np.log(factor)
     return np.log(recent[-1]) + shift - len(word) * np.log(LIFT)
@@ -188,9 +191,33 @@ def expected_counts(words: list[bytes], times: np.ndarray, vocabulary: Pieces, p
             behind[i][at] += behind[j][at] * lifted[number, 0]
         for (i, j), (at, number) in found.items():
             out += np.bincount(number, ahead[i][at] * lifted[number, 0] * behind[j][at], vocabulary.size)
+    for word, n in zip(words, times):
+        if len(word) > LONGEST_TOGETHER:
+            add_counts_of_long(out, word, n, vocabulary, probabilities)
     return out
 
 
+def add_counts_of_long(out: np.ndarray, word: bytes, times: float, vocabulary: Pieces, probabilities: np.ndarray) -> None:
+    """As ``expected_counts`` for one word of any length, in logarithms."""
+    n = len(word)
+    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = behind[n] = 0.0
+    ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each end: begins, piece numbers, logarithms
+    for j in range(1, n + 1):
+        found = [(i, number) for i in range(max(0, j - vocabulary.longest), j) if (number := vocabulary.of.get(word[i:j])) and probabilities[number] > 0]
+        begins, numbers = np.array([f[0] for f in found], dtype=np.int64), np.array([f[1] for f in found], dtype=np.int64)
+        logs = np.log(probabilities[numbers])
+        ends.append((begins, numbers, logs))
+        if found:
+            ahead[j] = np.logaddexp.reduce(ahead[begins] + logs)
+    if ahead[n] == -np.inf:
+        return
+    for j in range(n, 0, -1):
+        begins, numbers, logs = ends[j - 1]
+        behind[begins] = np.logaddexp(behind[begins], behind[j] + logs)
+        np.add.at(out, numbers, times * np.exp(ahead[begins] + logs + behind[j] - ahead[n]))
+
+
 def expectation_batches(pieces_path: str, model: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces(load_pieces(pieces_path))

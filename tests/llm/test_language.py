@@ -110,3 +110,38 @@ def test_awkward(spark):
     assert lg.predict(nothing, lg.fit(nothing, PIECES), PIECES).count() == 0 and lg.keep_determined(nothing, PIECES).count() == 0
     unlabelled = docs(spark, ["some words"]).selectExpr("doc_id", "text", "string(NULL) AS lang")
     assert lg.predict(unlabelled, lg.fit(unlabelled, PIECES), PIECES).first().lang_pred == "und"
+
+
+def long_runs():
+    vocabulary = lg.Pieces(sorted({bytes([b]) for b in range(256)} | {b"abc", b"bca", b"xyz"}))
+    single = (vocabulary.lengths == 1) / 256.0
+    one, two = 0.04 * single, 0.04 * single
+    one[vocabulary.of[b"abc"]], one[vocabulary.of[b"bca"]], two[vocabulary.of[b"xyz"]] = 0.86, 0.1, 0.96
+    return vocabulary, np.stack([one, two], axis=1)
+
+
+def test_runs_of_any_length_have_a_probability():
+    """10 KB of learned pieces: sums neither overflow nor vanish, whichever language is ahead."""
+    vocabulary, p = long_runs()
+    word = b"abc" * 1700 + b"xyz" * 1700
+    want = np.full((len(word) + 1, 2), -np.inf)
+    want[0] = 0.0
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    for j in range(1, len(word) + 1):
+        for k in (1, 3):
+            number = vocabulary.of.get(word[max(0, j - k) : j])
+            if number and j >= k:
+                want[j] = np.logaddexp(want[j], want[j - k] + logs[number])
+    got = lg.log_probabilities([word], vocabulary, lg.lift(p, vocabulary))[0]
+    assert np.isfinite(got).all() and np.allclose(got, want[-1], rtol=1e-9)
+
+
+def test_long_runs_are_learned(monkeypatch):
+    vocabulary, p = long_runs()
+    words, times = [b"abc" * 40, b"xabca" * 20, b"abc"], np.array([3.0, 2.0, 1.0])
+    got = lg.expected_counts(words, times, vocabulary, p[:, 0])
+    monkeypatch.setattr(lg, "LONGEST_TOGETHER", 1000)
+    assert got[vocabulary.of[b"abc"]] > 100 and np.allclose(got, lg.expected_counts(words, times, vocabulary, p[:, 0]))
+    monkeypatch.undo()
+    assert lg.expected_counts([b"abc" * 3000], np.array([1.0]), vocabulary, p[:, 0])[vocabulary.of[b"abc"]] > 2900
