@@ -63,27 +63,48 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{NAME}-{POINT}]+"), "")
 
 
-def window_hashes(canon: Column) -> Column:
-    """Hash of every window of eight words; null for fewer words."""
-    return F.when(F.size(canon) >= WIDTH, F.transform(F.sequence(F.lit(1), F.size(canon) - WIDTH + 1), lambda i: F.xxhash64(F.slice(canon, i, WIDTH))))
+def window_hashes(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with each column of words replaced by the hashes of its windows of eight words; null for fewer.
+
+    Each word is hashed once; neighbours are joined to pairs, fours and eights.  Every step is a
+    projection of its own, so that what it uses several times is made once.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    rows = rows.select(*kept, *(F.when(F.size(c) >= WIDTH, F.transform(c, lambda w: F.xxhash64(w))).alias(c) for c in columns))
+    for step in (1, 2, 4):
+        rows = rows.select(*kept, *(F.zip_with(c, F.slice(c, step + 1, F.size(c)), lambda a, b: F.xxhash64(a, b)).alias(c) for c in columns))
+    return rows.select(*kept, *(F.slice(c, 1, F.size(c) - WIDTH + 1).alias(c) for c in columns))
+
+
+def hash_of(canon: Column) -> Column:
+    """The same hash of one window, given as words joined by blanks."""
+    parts = [F.xxhash64(F.split_part(canon, F.lit(" "), F.lit(k + 1))) for k in range(WIDTH)]
+    for step in (1, 2, 4):
+        parts = [F.xxhash64(x, y) for x, y in zip(parts[::2], parts[1::2])]
+    return parts[0]
+
+
+def words_of_forms(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and the words of ``rows``' text in each form: _0, _1, _2."""
+    return rows.select(*keys, spelled(F.col("text")).alias("_s")).select(*keys, *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
 
 
-def windows(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, n_words, pos, raw, form, hash, canon (eight words each, joined by blanks) of every window of ``rows``' text in each form."""
-    parts = rows.select(*keys, spelled(F.col("text")).alias("_s")).select(*keys, *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
+def windows(rows: DataFrame, *keys: str, at: str | None = None) -> DataFrame:
+    """keys, n_words, pos, raw, form, hash, canon (eight words each, joined by blanks) of windows of ``rows``' text in each form: all, or those at the positions ``at``."""
+    parts = words_of_forms(rows, *keys, *([at] if at else []))
     joined = lambda k, i: F.array_join(F.slice(f"_{k}", i, WIDTH), " ")
-    each = F.transform(F.sequence(F.lit(1), F.size("_0") - WIDTH + 1), lambda i: F.array(*(joined(k, i) for k in range(3))))
-    long = parts.where(F.size("_0") >= WIDTH).select(*keys, F.size("_0").alias("n_words"), F.posexplode(each).alias("pos", "w"))
-    long = long.select(*keys, "n_words", "pos", F.col("w")[0].alias("raw"), F.posexplode("w").alias("form", "canon"))
-    return long.withColumn("hash", F.xxhash64(F.split("canon", " ")))
+    each = F.transform(F.col(at) if at else F.sequence(F.lit(1), F.size("_0") - WIDTH + 1), lambda i: F.struct(i.alias("pos"), F.array(*(joined(k, i) for k in range(3))).alias("forms")))
+    long = parts.where(F.size("_0") >= WIDTH).select(*keys, F.size("_0").alias("n_words"), F.explode(each).alias("w"))
+    long = long.select(*keys, "n_words", "w.pos", F.col("w.forms")[0].alias("raw"), F.posexplode("w.forms").alias("form", "canon"))
+    return long.withColumn("hash", hash_of(F.col("canon")))
 
 
 def hits(docs: DataFrame, benchmark_hashes: DataFrame) -> DataFrame:
-    """doc_id, text_key of documents with a window among the benchmark's, once each."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), spelled(F.col("text")).alias("_s"))
-    rows = rows.select("doc_id", "text_key", *(words(f).alias(f"_{k}") for k, f in enumerate(forms(F.col("_s")))))
-    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(F.concat(*(window_hashes(F.col(f"_{k}")) for k in range(3))))).alias("hash"))
-    return found.join(benchmark_hashes, "hash", "left_semi").select("doc_id", "text_key").distinct()
+    """doc_id, text_key, at (positions of windows among the benchmark's in some form) of documents with any."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    rows = window_hashes(words_of_forms(rows, "doc_id", "text_key"), "_0", "_1", "_2")
+    each = rows.select("doc_id", "text_key", F.size("_0").alias("n"), F.posexplode(F.concat("_0", "_1", "_2")).alias("k", "hash"))
+    return each.join(benchmark_hashes, "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("k") % F.col("n") + 1).alias("at"))
 
 
 def is_slot(word: Column) -> Column:
@@ -116,8 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found_docs = stage(hits(docs, hashes))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
-    texts = keyed.alias("d").join(found_docs.alias("f"), same, "left_semi").select("d.doc_id", "d.text_key", "d.text")
-    of_docs = windows(texts, "doc_id", "text_key").where("form = 0 OR canon <> raw").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
+    texts = keyed.alias("d").join(found_docs.alias("f"), same, "inner").select("d.doc_id", "d.text_key", "d.text", "f.at")
+    of_docs = windows(texts, "doc_id", "text_key", at="at").where("form = 0 OR canon <> raw").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
     matched = stage(of_docs.join(hashes, "hash", "left_semi").distinct().join(templates, ["hash", "canon"]))
     return runs(good_windows(matched))
 
