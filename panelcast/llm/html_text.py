@@ -25,6 +25,8 @@ from panelcast.llm.common import text_batches
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|['"][^>]*(?:>|\Z)|\Z)""", re.S)
 CLASSES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: The last attribute's value is unquoted: a slash at its end belongs to it.
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]*\Z""")
 WORD = re.compile(r"[^\W\d_]+")
 
 # Names of HTML elements.
@@ -34,6 +36,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template iframe svg math object audio video canvas xmp noembed noframes".split())
+FOREIGN = frozenset(("svg", "math"))
+MEDIA = frozenset(("audio", "video", "canvas"))
 NEVER_TEXT = frozenset("head title nav footer aside form button select menu dialog fieldset label option header".split())
 ARTICLES = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -100,6 +104,10 @@ class Reader:
                 name = tag.group(2).lower()
                 if tag.group(1):
                     self.close(name)
+                elif name in FOREIGN and tag.group(3).endswith("/") and not UNQUOTED.search(tag.group(3)):
+                    continue
+                elif name in MEDIA:
+                    at = self.media_end(page, at, name)
                 elif name in RAW:
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
                     at = end.end() if end else size
@@ -108,6 +116,27 @@ class Reader:
         self.flush()
         return self.blocks
 
+    def media_end(self, page: str, at: int, name: str) -> int:
+        """End of a media element that begins before ``at``: its closing tag, or else where its parent ends."""
+        above, inner = {e.name for e in self.open}, []
+        for tag in TAG.finditer(page, at):
+            if not tag.group(2):
+                continue
+            found = tag.group(2).lower()
+            if tag.group(1):
+                if found in inner:
+                    while inner.pop() != found:
+                        pass
+                elif found == name:
+                    return tag.end()
+                elif found in above:
+                    return tag.start()
+            elif found in BLOCKS and self.open and self.open[-1].name == "p" and not inner:
+                return tag.start()  # a block ends an open paragraph and what is open in it
+            elif found not in VOID:
+                inner.append(found)
+        return len(page)
+
     def text(self, raw: str) -> None:
         if raw:
             self.parts.append(raw)

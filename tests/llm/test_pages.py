@@ -78,3 +78,13 @@ def test_bad_branch_is_rejected(spark):
     out = uf.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
     verdicts = {r.path: (r.verdict, r.template) for r in out.collect()}
     assert verdicts["/x/bb"] == ("block", "/x/*") and verdicts["/y/3"][0] == "allow"
+
+
+@pytest.mark.parametrize("inside", [
+    '<svg class="i" viewBox="0 0 1 1"/>', "<math/>", '<svg><path d="M0"/></svg>', '<video src="a.mp4">', "<p>Look: <audio src=a.mp3>", "<div><canvas></div>", '<video src="a"><source src="b"/>old browser</video>',
+])
+def test_embedded_elements_do_not_swallow_the_page(inside):
+    first, second = (f"{w} is the text of the article and it is as long as it has to be for the first of the two passes." for w in ("This", "That"))
+    page = f"<html><body><article><div><p>{first}</p>{inside}</div><p>{second}</p></article><video src=x></video></body></html>"
+    got = ht.extract(page)
+    assert first in got and second in got and "old browser" not in got
