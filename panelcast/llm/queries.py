@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, decontaminate, exact_dedup, html_text, language, license_scan, near_dedup, period_runs, sharding, token_files, url_filter
+from panelcast.llm import bpe, centroid_search, decontaminate, exact_dedup, html_text, language, license_scan, near_dedup, period_runs, sharding, token_files, url_filter
 from panelcast.llm.common import table
 from panelcast.session import prepare
 
@@ -100,8 +100,13 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs.digests(period_runs.find_runs(docs, rewrite=planted_period))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_search.cluster(table(prepare(spark), sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_files, op3_decontaminate, op4_language, op5_exact_dedup, op6_near_dedup, op7_url_filter, op8_html_text, op9_byte_bpe, op10_sharding,
-    op12_period_runs,
+    op12_period_runs, op13_centroids,
 )}
-ORACLE = {"op5_exact_dedup": OP5_SQL, "op7_url_filter": url_filter.judge_sql(URL_RULES)}
+ORACLE = {"op5_exact_dedup": OP5_SQL, "op7_url_filter": url_filter.judge_sql(URL_RULES), "op13_centroids": centroid_search.cluster_sql()}
