@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe, centroid_search, decontaminate, exact_dedup, html_text, language, license_scan, near_dedup, period_runs, sharding, token_files, url_filter
+from panelcast.llm import bpe, centroid_search, decontaminate, exact_dedup, html_text, language, license_scan, near_dedup, period_runs, secret_novelty, sharding, token_files, url_filter
 from panelcast.llm.common import table
 from panelcast.session import prepare
 
@@ -84,6 +84,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return secret_novelty.digests(secret_novelty.scan(docs, secret_novelty.identifiers(docs)))
+
+
 def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The query's own rule: every tenth document, by the CRC-32 of its id, repeats a stretch of itself to its end."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
@@ -107,6 +112,6 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_token_files, op3_decontaminate, op4_language, op5_exact_dedup, op6_near_dedup, op7_url_filter, op8_html_text, op9_byte_bpe, op10_sharding,
-    op12_period_runs, op13_centroids,
+    op11_secrets, op12_period_runs, op13_centroids,
 )}
 ORACLE = {"op5_exact_dedup": OP5_SQL, "op7_url_filter": url_filter.judge_sql(URL_RULES), "op13_centroids": centroid_search.cluster_sql()}
