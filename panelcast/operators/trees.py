@@ -23,6 +23,7 @@ BOOST_ROUNDS, BOOST_RATE, BOOST_DEPTH = 200, 0.05, 5
 FOREST_TREES, FOREST_DEPTH, FOREST_LEAF = 80, 12, 5
 SEARCH_ROUNDS, PATIENCE, MIN_ROUNDS = 500, 40, 20
 DEPTH_GRID, LEAF_GRID, RATE_GRID, SUBSAMPLE_GRID = (4, 6, 8), (15, 31, 63), (0.05, 0.1), (0.8, 1.0)
+COLUMN_SHARE = 0.8
 
 
 def boosted(rounds: int = BOOST_ROUNDS, rate: float = BOOST_RATE, depth: int = BOOST_DEPTH, subsample: float = 1.0, min_rows: int = 1) -> GBTRegressor:
@@ -87,6 +88,6 @@ def depth_grid() -> list[dict]:
 def leaf_grid() -> list[dict]:
     """Leaf-wise configurations, expressed as the depth that holds that many leaves."""
     return [
-        {"name": f"leaves_{n}_rate_{r}_sub_{s}", "depth": (n + 1).bit_length() - 1, "rate": r, "subsample": s, "min_rows": 20}
+        {"name": f"leaves_{n}_rate_{r}_sub_{s}", "leaves": n, "depth": (n + 1).bit_length() - 1, "rate": r, "subsample": s, "min_rows": 20}
         for n, r, s in product(LEAF_GRID, RATE_GRID, SUBSAMPLE_GRID)
     ]
