@@ -54,14 +54,16 @@ class Config:
     subsample: float = 1.0
     min_rows: int = 1
     colsample: float = 1.0
+    columns: tuple[int, ...] = ()  # features it may use at all; none named: all
 
     def __post_init__(self):
         if not self.depth and not self.leaves:
             raise ContractError(f"{self.name} limits neither depth nor leaves")
 
     def features(self, p: int, round_: int) -> np.ndarray:
-        """Features a round may cut at: a seeded draw of ``colsample`` of them."""
-        return np.random.default_rng([grids.SEED, round_]).permutation(p)[: max(1, int(self.colsample * p))]
+        """Features a round may cut at: a seeded draw of ``colsample`` of those it may use."""
+        own = np.array(self.columns, dtype=np.int64) if self.columns else np.arange(p)
+        return own[np.random.default_rng([grids.SEED, round_]).permutation(len(own))[: max(1, int(self.colsample * len(own)))]]
 
 
 def search_grid() -> list[Config]:
@@ -112,7 +114,8 @@ class Ensemble:
     config: Config
     limit: int
     scale: float
-    base: float
+    n_features: int
+    patience: int | None = None
     rounds: int = 0
     tree: Tree | None = None
     pending: list[tuple[np.ndarray, ...]] = field(default_factory=list)  # finished since the last staging
@@ -121,15 +124,16 @@ class Ensemble:
     done: bool = False
 
     def ask(self) -> tuple:
-        """What tasks need to know: trees to follow, the tree being grown, its open nodes, and the round (for the sample)."""
-        return self.fold, self.slot, self.pending, None if self.tree is None else self.tree.arrays(), [0] if self.tree is None else self.tree.open, self.rounds, self.config
+        """What tasks need to know: trees to follow, the tree being grown, its open nodes, and how rows and features are drawn."""
+        tree, open_ = (None, [0]) if self.tree is None else (self.tree.arrays(), self.tree.open)
+        return self.fold, self.slot, self.patience is not None, self.pending, tree, open_, self.rounds, self.config.subsample, max(self.config.min_rows, 1), self.config.features(self.n_features, self.rounds)
 
-    def take(self, cuts: list[tuple], loss: float | None, patience: int | None) -> None:
+    def take(self, cuts: list[tuple], loss: float | None) -> None:
         """Use a level's cuts; ``loss`` is that of the rounds finished so far, given with a new tree only."""
         if self.tree is None:
             if loss is not None and self.rounds and loss < self.best:
                 self.best, self.best_round = loss, self.rounds
-            if self.rounds >= self.limit or (patience is not None and self.rounds - self.best_round >= patience):
+            if self.rounds >= self.limit or (self.patience is not None and self.rounds - self.best_round >= self.patience):
                 self.done = True
                 return
         rows = {r[0]: r for r in cuts}
@@ -241,9 +245,10 @@ def running(f: np.ndarray, slot: int, pending: list[tuple[np.ndarray, ...]], bin
     return out
 
 
-def level(data: Binned, asked: list[tuple], parts: Sequence[int], watch: bool) -> dict[int, tuple[list[tuple], float | None]]:
-    """Action: for every ensemble asked about, the best cut of each open node and the loss on the stopping rows.
+def level(data: Binned, asked: list[tuple]) -> dict[int, tuple[list[tuple], float | None]]:
+    """Action: for every ensemble asked about, the best cut of each open node and, if it watches them, the loss on the stopping rows.
 
+    Ensembles that watch the stopping rows learn from fit rows only, the others from both.
     A cut is (node, rows, gradient sum, feature or -1, cut, gain, rows and gradient sum to the left).
     """
     p, targets = data.n_features, data.targets
@@ -257,13 +262,13 @@ def level(data: Binned, asked: list[tuple], parts: Sequence[int], watch: bool) -
         f = np.concatenate([fixed_width(b.column("_f"), np.float64) for b in held])
         for k in np.unique(column["_fold"]):
             here = np.flatnonzero(column["_fold"] == k)
-            fit = here[np.isin(column["_part"][here], parts)]
             stop = here[column["_part"][here] == STOP]
-            fit_bins = bins[fit]
-            cells = fit_bins.astype(np.int64) + np.arange(p) * BINS
-            for number, (fold, slot, pending, tree, open_, round_, config) in enumerate(asked):
+            learning = {True: here[column["_part"][here] == FIT], False: here[column["_part"][here] != OTHER]}
+            for number, (fold, slot, watch, pending, tree, open_, round_, share, _, _) in enumerate(asked):
                 if fold != k:
                     continue
+                fit = learning[watch]
+                fit_bins = bins[fit]
                 loss, seen = 0.0, 0
                 if watch and tree is None and len(stop):
                     off = column["y"][stop] - running(f[stop], slot, pending, bins[stop])
@@ -274,10 +279,10 @@ def level(data: Binned, asked: list[tuple], parts: Sequence[int], watch: bool) -
                 local[open_] = np.arange(len(open_))
                 node = local[leaves_of(tree, fit_bins) if tree is not None else np.zeros(len(fit), dtype=np.int64)]
                 use = node >= 0
-                if config.subsample < 1.0:
-                    use &= sampled(column["_id"][fit], round_, config.subsample)
+                if share < 1.0:
+                    use &= sampled(column["_id"][fit], round_, share)
                 use = np.flatnonzero(use)
-                at = (node[use, None] * (p * BINS) + cells[use]).ravel()
+                at = (node[use, None] * (p * BINS) + np.arange(p) * BINS + fit_bins[use]).ravel()
                 size = len(open_) * p * BINS
                 sums = np.empty((2, size))
                 sums[0] = np.bincount(at, minlength=size)
@@ -302,15 +307,16 @@ def level(data: Binned, asked: list[tuple], parts: Sequence[int], watch: bool) -
             yield found(model, total, loss, seen)
 
     def found(model: int, total: np.ndarray, loss: float, seen: int) -> pa.RecordBatch:
-        open_, least = asked[model][4], asked[model][6].min_rows
+        *_, least, features = asked[model]
+        open_ = asked[model][5]
         n, g = total.reshape(2, len(open_), p, BINS)
         all_n, all_g = n[:, 0].sum(axis=1), g[:, 0].sum(axis=1)
         left_n, left_g = np.cumsum(n, axis=2)[:, :, :-1], np.cumsum(g, axis=2)[:, :, :-1]
         right_n, right_g = all_n[:, None, None] - left_n, all_g[:, None, None] - left_g
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = left_g**2 / left_n + right_g**2 / right_n - (all_g**2 / all_n)[:, None, None]
-        allowed = np.isin(np.arange(p), asked[model][6].features(p, asked[model][5]))[None, :, None]
-        gain = np.where(allowed & (left_n >= max(least, 1)) & (right_n >= max(least, 1)), gain, -1.0).reshape(len(open_), -1)
+        allowed = np.isin(np.arange(p), features)[None, :, None]
+        gain = np.where(allowed & (left_n >= least) & (right_n >= least), gain, -1.0).reshape(len(open_), -1)
         best = gain.argmax(axis=1)  # ties: smaller feature, then smaller cut
         rows = np.arange(len(open_))
         good = gain[rows, best] > 1e-9 * np.maximum(all_g**2, 1.0)
@@ -354,23 +360,23 @@ def caught_up(data: Binned, ensembles: list[Ensemble]) -> Binned:
     return Binned(rows, data.keys, data.n_features, data.n_slots, data.targets)
 
 
-def grow(data: Binned, configs: Sequence[Config], rounds: int | Mapping[tuple[int, int], int], patience: int | None = None) -> tuple[Binned, list[Ensemble]]:
+def grow(data: Binned, configs: Sequence[Config], rounds: int | Mapping[tuple[int, int], int], patience: int | Sequence[int | None] | None = None) -> tuple[Binned, list[Ensemble]]:
     """Actions, stages: grow every (fold, configuration).
 
-    With ``patience`` trees learn from FIT rows and stop by the loss on STOP rows; without it they learn from both for
-    ``rounds`` rounds (one number, or one for each (fold, slot)).
+    An ensemble with ``patience`` learns from FIT rows and stops by the loss on STOP rows; one without it learns from
+    both for ``rounds`` rounds.  Both may be given once or for each (fold, slot) and slot.
     """
-    parts = [FIT, STOP] if patience is None else [FIT]
+    waits = list(patience) if isinstance(patience, Sequence) else [patience] * len(configs)
     ensembles = [
-        Ensemble(fold, slot, config, rounds if isinstance(rounds, int) else rounds[fold, slot], FIXED_POINT / max(spread, 1e-300), mean)
-        for fold, (mean, spread) in sorted(data.targets.items()) for slot, config in enumerate(configs)
+        Ensemble(fold, slot, config, rounds if isinstance(rounds, int) else rounds[fold, slot], FIXED_POINT / max(spread, 1e-300), data.n_features, waits[slot])
+        for fold, (_, spread) in sorted(data.targets.items()) for slot, config in enumerate(configs)
     ]
     for e in ensembles:
         e.done = e.limit <= 0
     while active := [e for e in ensembles if not e.done]:
-        answers = level(data, [e.ask() for e in active], parts, patience is not None)
+        answers = level(data, [e.ask() for e in active])
         for k, e in enumerate(active):
-            e.take(*answers[k], patience)
+            e.take(*answers[k])
         if max(len(e.pending) for e in ensembles) >= STAGED_ROUNDS:
             data = caught_up(data, ensembles)
     return (caught_up(data, ensembles) if any(e.pending for e in ensembles) else data), ensembles
@@ -399,23 +405,30 @@ def fit_predict(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], co
 
 
 def search(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], configs: Sequence[Config] | None = None, rounds: int = grids.SEARCH_ROUNDS,
-           patience: int = grids.PATIENCE, least: int = grids.MIN_ROUNDS, fold: str = "fold", role: str = "inner_role") -> tuple[DataFrame, list[dict]]:
+           patience: int = grids.PATIENCE, least: int = grids.MIN_ROUNDS, fold: str = "fold", role: str = "inner_role", plain: Sequence[Config] = (), plain_rounds: int = grids.BOOST_ROUNDS) -> tuple[DataFrame, list[dict]]:
     """Actions, stages: early stopping of every configuration on every fold, refit on the whole train block (MD-10).
 
-    ``role`` holds fit, stop and other values (rows to predict).  Returns predictions as ``predictions`` does and one
-    dict for each (fold, configuration): rounds of the refit, the best loss on the stopping rows and rounds tried.
+    ``role`` holds fit, stop and other values (rows to predict).  ``plain`` configurations grow beside them on the whole
+    train block for ``plain_rounds`` rounds.  Returns predictions as ``predictions`` does and one dict for each searched (fold,
+    configuration): rounds of the refit, the best loss on the stopping rows and rounds tried.
     """
     configs = search_grid() if configs is None else list(configs)
-    data = prepared(rows, keys, columns, {"fit": FIT, "stop": STOP}, len(configs), fold, role)
-    _, probed = grow(data, configs, rounds, patience)
-    counts = {(e.fold, e.slot): max(e.best_round, least) for e in probed}
+    both, n = [*configs, *plain], len(configs)
+    data = prepared(rows, keys, columns, {"fit": FIT, "stop": STOP}, len(both), fold, role)
+    limits = {(k, slot): rounds if slot < n else plain_rounds for k in data.targets for slot in range(len(both))}
+    grown, probed = grow(data, both, limits, [patience] * n + [None] * len(plain))
+    counts = {(e.fold, e.slot): max(e.best_round, least) if e.slot < n else 0 for e in probed}
     # the refit starts again from the mean: the rows as they were first staged
-    refitted, _ = grow(data, configs, counts)
+    refitted, _ = grow(data, both, counts)
+    names = [c.name for c in configs]
+    pred = predictions(refitted, both).where(F.col("config").isin(names))
+    if plain:
+        pred = pred.unionByName(predictions(grown, both).where(~F.col("config").isin(names)))
     report = [
         {"fold": e.fold, "config": e.config.name, "rounds": counts[e.fold, e.slot], "stop_mae": None if e.best == float("inf") else e.best, "tried": e.rounds}
-        for e in probed
+        for e in probed if e.slot < n
     ]
-    return predictions(refitted, configs), report
+    return pred, report
 
 
 def choose(scores: DataFrame, report: list[dict]) -> DataFrame:

@@ -1,20 +1,26 @@
 """Feature columns over a dense panel (FE-1 … FE-15, FE-17, FE-19, FE-22 … FE-24).
 
 All history features of a panel share one shuffle: rows are chunked once with the longest
-look-back, and every lag and rolling frame is a RANGE frame over the step index inside
-``(series, chunk)``.  A RANGE frame looks back in time, so a missing step gives NULL rather than
-silently moving to another row.
+look-back, and every lag is a RANGE frame over the step index inside ``(series, chunk)``.  A RANGE
+frame looks back in time, so a missing step gives NULL rather than silently moving to another row.
+
+No rolling frame is read row by row, so the time does not depend on the window:
+
+* shares are differences of two running counts (whole numbers, exact),
+* means and deviations never subtract running sums, which would lose the digits of small values behind a large one.
+  The axis is cut into blocks as long as the window; a window is the end of one block and the start of the next, whose running
+  moments (from the front and from the back of the block) are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.contract import ContractError, LeakageError, PanelSpec, require_unique_names
-from panelcast.functions.chunks import chunk_window, chunked, home_rows, value_at
+from panelcast.functions.chunks import CHUNK, chunk_window, chunked, home_rows, value_at
 from panelcast.functions.numeric import strict_max, strict_mean, strict_min, strict_std
 from panelcast.functions.timefn import CIVIL_ZONE, calendar_fields, civil, cyclic_fields
 from panelcast.operators.grid import INDEX, future_steps, with_index
@@ -37,25 +43,37 @@ class History:
     """Collects history columns and evaluates all of them in one chunked pass.
 
     >>> History(spec).lag("y", 24).rolling("y", 168, delay=24, mean="m", std="s").apply(panel)
+
+    ``lineage`` says for every column which source it reads and the least and greatest number of steps back.
     """
 
     def __init__(self, spec: PanelSpec):
         self.spec = spec
+        self.lineage: dict[str, tuple[str, int, int]] = {}
         self._columns: dict[str, callable] = {}
+        self._states: dict[str, callable] = {}
+        self._state_names: dict[tuple, str] = {}
         self._reach = 0
 
-    def _add(self, name: str, reach: int, build: callable) -> History:
+    def _add(self, name: str, source: str, least: int, reach: int, build: callable) -> History:
         if name in self._columns:
             raise ContractError(f"duplicate column names: ['{name}']")
         self._columns[name] = build
+        self.lineage[name] = (source, least, reach)
         self._reach = max(self._reach, reach)
         return self
 
+    def _state(self, kind: str, *of: object, build: callable) -> str:
+        """Name of a running column that several features may share."""
+        name = self._state_names.setdefault((kind, *map(str, of)), f"_run_{len(self._state_names)}")
+        self._states.setdefault(name, build)
+        return name
+
     def lag(self, source: str | Column, steps: int, name: str | None = None) -> History:
         """Value exactly ``steps`` earlier (FE-5)."""
         check_lag(steps)
         column = F.col(source) if isinstance(source, str) else source
-        return self._add(name or f"{source}_lag_{steps}", steps, lambda w: value_at(column, w, steps))
+        return self._add(name or f"{source}_lag_{steps}", str(source), steps, steps, lambda w: value_at(column, w, steps))
 
     def rolling(
         self, source: str, window: int, delay: int, mean: str | None = None, std: str | None = None
@@ -64,16 +82,33 @@ class History:
         unless all of them are present (FE-13)."""
         check_lag(delay)
         reach = delay + window - 1
-        column = F.col(source)
-
-        def frame(w, fn):
-            over = w.rangeBetween(-reach, -delay)
-            return F.when(F.count(column).over(over) == window, fn(column).over(over))
+        x = F.col(source).cast("double")
+
+        def moments(w, descending: bool) -> Column:
+            """Moments of the block up to this row, from its front or its back."""
+            index = F.col(INDEX)
+            order = index.desc() if descending else index
+            over = Window.partitionBy(*self.spec.keys, CHUNK, F.floor(index / F.lit(window))).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+            return F.struct(F.count(x).over(over).alias("n"), F.avg(x).over(over).alias("m"), F.var_pop(x).over(over).alias("v"))
+
+        front = self._state("front", source, window, build=lambda w: moments(w, False))
+        back = self._state("back", source, window, build=lambda w: moments(w, True))
+        # the whole window is one block where its first step starts one
+        one = F.pmod(F.col(INDEX) - F.lit(reach), F.lit(window)) == 0
+
+        def merged(w, deviation: bool) -> Column:
+            end, start = value_at(F.col(front), w, delay), value_at(F.col(back), w, reach)
+            n, m = end["n"] + start["n"], F.lit(float(window))
+            apart = end["m"] - start["m"]
+            both = (end["v"] * end["n"] + start["v"] * start["n"]) / m + end["n"] * start["n"] / (m * m) * apart * apart
+            if deviation:
+                return F.when(one, F.when(end["n"] == window, F.sqrt(end["v"]))).when(n == window, F.sqrt(both))
+            return F.when(one, F.when(end["n"] == window, end["m"])).when(n == window, (end["m"] * end["n"] + start["m"] * start["n"]) / m)
 
         if mean:
-            self._add(mean, reach, lambda w: frame(w, F.avg))
+            self._add(mean, source, delay, reach, lambda w: merged(w, False))
         if std:
-            self._add(std, reach, lambda w: frame(w, F.stddev_pop))
+            self._add(std, source, delay, reach, lambda w: merged(w, True))
         return self
 
     def share_above(self, source: str, threshold: Column | float, window: int, delay: int, name: str) -> History:
@@ -81,22 +116,30 @@ class History:
         check_lag(delay)
         reach = delay + window - 1
         level = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+        flag = F.when(F.col(source).isNotNull() & level.isNotNull(), (F.col(source) > level).cast("long"))
+
+        def counts(w, upto: int) -> Column:
+            over = w.rangeBetween(Window.unboundedPreceding, upto)
+            return F.struct(F.count(flag).over(over).alias("n"), F.coalesce(F.sum(flag).over(over), F.lit(0)).alias("high"))
+
+        upto = self._state("upto", source, threshold, build=lambda w: counts(w, 0))
+        before = self._state("before", source, threshold, build=lambda w: counts(w, -1))
 
         def build(w):
-            over = w.rangeBetween(-reach, -delay)
-            flag = F.when(F.col(source).isNotNull(), (F.col(source) > level).cast("double"))
-            return F.when(F.count(flag).over(over) == window, F.avg(flag).over(over))
+            end, start = value_at(F.col(upto), w, delay), value_at(F.col(before), w, reach)
+            return F.when(end["n"] - start["n"] == window, (end["high"] - start["high"]) / F.lit(float(window)))
 
-        return self._add(name, reach, build)
+        return self._add(name, source, delay, reach, build)
 
     def apply(self, df: DataFrame, chunk: int | None = None) -> DataFrame:
         if not self._columns:
             return df
-        require_unique_names([*df.columns, *self._columns])
+        require_unique_names([*df.columns, *self._columns, *self._states])
         indexed = df if INDEX in df.columns else with_index(df, self.spec)
         staged = chunked(indexed, INDEX, lookback=self._reach, size=chunk)
         w = chunk_window(self.spec.keys, INDEX)
-        out = home_rows(staged.withColumns({n: build(w) for n, build in self._columns.items()}))
+        staged = staged.withColumns({n: build(w) for n, build in self._states.items()}) if self._states else staged
+        out = home_rows(staged.withColumns({n: build(w) for n, build in self._columns.items()}).drop(*self._states))
         return out if INDEX in df.columns else out.drop(INDEX)
 
 

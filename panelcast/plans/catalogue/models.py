@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelcast.contract import DAILY
-from panelcast.operators import evaluate, linear, splits, trees
+from panelcast.operators import boosting, evaluate, linear, splits, trees
 from panelcast.operators.features import History, add_calendar
 from panelcast.plans import views, walk_forward
 from panelcast.plans.registry import query
@@ -272,75 +272,96 @@ def model_frozen_pipeline_small(spark, sf):
     return scores.join(out["model"].select("series_id", "phi", "addend"), "series_id")
 
 
+META_ROWS = """meta_rows AS (SELECT * FROM (SELECT f.series_id, f.fold AS outer_fold, i.k AS inner_fold, f.pred, f.naive, f.y,
+    CASE WHEN f.pos < floor(f.cut * i.lo) THEN 'train' WHEN f.pos < floor(f.cut * i.hi) THEN 'validation' END AS part
+    FROM folds f, (VALUES (1, 0.5::DOUBLE, 0.65::DOUBLE), (2, 0.65::DOUBLE, 0.8::DOUBLE), (3, 0.8::DOUBLE, 1.0::DOUBLE)) i(k, lo, hi) WHERE f.role = 'train') WHERE part = 'validation'),
+meta AS (SELECT series_id, outer_fold, count(*) AS n, avg(pred) AS m1, avg(naive) AS m2, stddev_pop(pred) AS s1, stddev_pop(naive) AS s2, avg(y) AS my, corr(pred, naive) AS r,
+    covar_pop(pred, y) / stddev_pop(pred) AS c1, covar_pop(naive, y) / stddev_pop(naive) AS c2 FROM meta_rows GROUP BY 1, 2)"""
+views.CTES["meta"], views.DEPENDS["meta"] = META_ROWS, ["folds"]
+
+
+@query("model_stacking_meta", ["meta"], sql=f"""SELECT f.series_id, CAST(f.fold AS BIGINT) AS fold, count(*) AS n, max(w.n) AS n_oof, max(w1) AS w1, max(w2) AS w2,
+    avg(abs(my + w1 * (f.pred - m1) / s1 + w2 * (f.naive - m2) / s2 - f.y)) AS stacked_mae, avg(abs((f.pred + f.naive) / 2 - f.y)) AS averaged_mae
+    FROM folds f JOIN (SELECT *, {CRAMER.format(a='0.001')} FROM meta) w ON w.series_id = f.series_id AND w.outer_fold = f.fold WHERE f.role = 'validation' GROUP BY 1, 2
+""", doubles=["w1", "w2", "stacked_mae", "averaged_mae"])
+def model_stacking_meta(spark, sf):
+    """MD-13, the meta step alone: ridge over two given bases' predictions on the inner folds of every outer fold."""
+    nested = walk_forward.nested_folds(views.scored(spark, sf)).where(F.col("role") == "validation")
+    by, bases = ["series_id", "outer"], ["pred", "naive"]
+    nested = stage(nested.select("series_id", "outer", "nest", "pred", "naive", "y"))
+    oof, fresh = nested.where("nest % 10 > 0"), nested.where("nest % 10 = 0")
+    meta = linear.fit_ridge(oof, by, bases, alphas=[linear.META_ALPHA])
+    out = walk_forward.apply_meta(fresh, meta, by, bases).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("stacked") - F.col("y"))).alias("stacked_mae"), F.avg(F.abs(F.col("averaged") - F.col("y"))).alias("averaged_mae")
+    )
+    weights = meta.select(*by, F.col("coef")[0].alias("w1"), F.col("coef")[1].alias("w2")).join(oof.groupBy(*by).agg(F.count(F.lit(1)).alias("n_oof")), by)
+    return out.join(weights, by).withColumnRenamed("outer", "fold")
+
+
 @query("model_stacking")
 def model_stacking(spark, sf):
-    """MD-13: ridge meta-model over two bases' out-of-fold predictions."""
-    s = splits.chronological_split(stage(model_table(spark, sf)))
-    train, fresh = s.where(F.col("split") == "train"), s.where(F.col("split") == "validation")
-    length = splits.cut_at(F.col("n_steps"), splits.TRAIN_FRACTION)
-    inner = splits.expanding_folds(train, splits.INNER_FOLD_CUTS, length)
-    fit_rows = inner.where(F.col("role") == "train")
-    one = linear.fit_ridge(fit_rows, views.FOLD, BASE)
-    two = linear.fit_elastic_net(fit_rows, views.FOLD, BASE[:5], alphas=[0.01], l1_ratios=[0.5]).drop("alpha", "l1_ratio")
-    oof = inner.where(F.col("role") == "validation")
-    oof = linear.score(linear.score(oof, one, views.FOLD, BASE, "base_one").drop("alpha"), two, views.FOLD, BASE[:5], "base_two")
-    by = ["series_id"]
-    one_full = linear.fit_ridge(train, by, BASE)
-    two_full = linear.fit_elastic_net(train, by, BASE[:5], alphas=[0.01], l1_ratios=[0.5]).drop("alpha", "l1_ratio")
-    new = linear.score(linear.score(fresh, one_full, by, BASE, "base_one").drop("alpha"), two_full, by, BASE[:5], "base_two")
-    out = walk_forward.stacked(oof, new, by, ["base_one", "base_two"])
+    """MD-13: ridge with shares and boosted trees over four folds, stacked; scores of all four and the meta weights of every fold."""
+    out, meta = walk_forward.stacking(stage(model_table(spark, sf)), DAILY, BASE, SHARES, 1, QUERY_ROUNDS)
     mae = lambda c: F.avg(F.abs(F.col(c) - F.col("y"))).alias(f"{c}_mae")
-    return out.groupBy("series_id").agg(*[mae(c) for c in ("base_one", "base_two", "stacked", "averaged")], F.count(F.lit(1)).alias("n"))
+    scores = out.groupBy("series_id", "outer").agg(*[mae(c) for c in ("ridge_shares", "trees", "stacked", "averaged")], F.count(F.lit(1)).alias("n"))
+    weights = meta.select("series_id", "outer", F.col("coef")[0].alias("w_ridge_shares"), F.col("coef")[1].alias("w_trees"), "intercept", "n_oof")
+    return scores.join(weights, ["series_id", "outer"]).withColumnRenamed("outer", "fold")
 
 
-# --- trees: numbers follow MLlib, so there is no SQL to compare with -------------------------------
+# --- trees: no SQL to compare with; tests/test_boosting.py replays ensembles one by one --------------
 
-QUERY_ROUNDS = 10
+#: Rounds of the ensembles that early stopping does not end (library: 200); README gives the time of the full size.
+QUERY_ROUNDS = 20
+#: Leaf-wise and depth-wise boosting with fixed rounds.
+BOOSTERS = [boosting.Config("leaves_31", 0.05, leaves=31, min_rows=20), boosting.Config("depth_6", 0.05, depth=6)]
 
 
-def tree_rows(spark, sf):
-    return splits.chronological_split(stage(model_table(spark, sf)))
+def validation_metrics(predicted, by):
+    return evaluate.metrics(predicted.where(F.col("part") == boosting.OTHER), by)
 
 
 @query("model_boosted_trees")
 def model_boosted_trees(spark, sf):
-    """MD-8: gradient boosting on pooled series (a short ensemble)."""
-    rows = tree_rows(spark, sf)
-    _, va = trees.fit_predict(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "validation"), BASE, trees.boosted(QUERY_ROUNDS, 0.1))
-    return evaluate.metrics(va, ["series_id"])
+    """MD-8: leaf-wise and depth-wise boosting on pooled series over four folds."""
+    data = boosting.prepared(fold_table(spark, sf), DAILY.key, BASE, {"train": boosting.FIT}, len(BOOSTERS))
+    grown, _ = boosting.grow(data, BOOSTERS, QUERY_ROUNDS)
+    return validation_metrics(boosting.predictions(grown, BOOSTERS), ["config", "fold"])
 
 
 @query("model_random_forest")
 def model_random_forest(spark, sf):
-    """MD-9: random forest on pooled series (a small forest)."""
-    rows = tree_rows(spark, sf)
-    _, va = trees.fit_predict(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "validation"), BASE, trees.forest(QUERY_ROUNDS, 6))
-    return evaluate.metrics(va, ["series_id"])
+    """MD-9: random forest (80 trees of depth 12) on pooled series over four folds."""
+    rows, out = stage(fold_table(spark, sf)), None
+    for fold in range(1, len(splits.FOLD_CUTS) + 1):
+        part = rows.where(F.col("fold") == fold)
+        _, va = trees.fit_predict(part.where(F.col("role") == "train"), part.where(F.col("role") == "validation"), BASE, trees.forest())
+        out = va if out is None else out.unionByName(va)
+    return evaluate.metrics(out, ["series_id", "fold"])
 
 
 @query("model_boosted_shares")
 def model_boosted_shares(spark, sf):
-    """MD-12: boosting on base and share columns, with and without the addend."""
-    from panelcast.functions.quantiles import quantiles
-
-    rows = stage(model_table(spark, sf))
-    rows = splits.development(splits.chronological_split(rows)).withColumn("role", F.col("split"))
-    p75 = quantiles(rows.where(F.col("role") == "train"), ["series_id"], "y", [0.75]).select("series_id", F.col("q0_75").alias("p75"))
-    rows = stage(walk_forward.add_shares(rows.join(p75, "series_id"), DAILY, SHARES, 1, F.col("p75")))
-    columns = [*BASE, *[f"share_high_{n}" for n in SHARES]]
-    out = walk_forward.boosting_with_shares(rows, ["series_id"], columns, hours(), trees.boosted(QUERY_ROUNDS, 0.1))
+    """MD-12: boosting with and without share columns, plain and tuned, with and without the addend, over four folds."""
+    rows = walk_forward.with_shares(model_table_folds(spark, sf), views.FOLD, DAILY, SHARES, 1)
+    out = walk_forward.boosting_with_shares(rows, DAILY, BASE, [f"share_high_{n}" for n in SHARES], hours(), QUERY_ROUNDS, search_rounds=QUERY_ROUNDS)
     out = out.where(F.col("role") == "validation")
-    raw = evaluate.metrics(out, ["series_id"]).withColumn("model", F.lit("boosting_shares"))
-    added = evaluate.metrics(out, ["series_id"], pred="corrected").withColumn("model", F.lit("boosting_shares_addend"))
-    return raw.unionByName(added)
+    high = out.groupBy("model", "fold").agg(F.avg(F.when(F.col("y") >= F.col("p75"), F.col("pred") - F.col("y"))).alias("p75_bias"))
+    return evaluate.metrics(out, ["model", "fold"]).join(high, ["model", "fold"])
+
+
+def model_table_folds(spark, sf):
+    return splits.expanding_folds(stage(model_table(spark, sf)))
+
+
+def searched(spark, sf, configs, rounds=trees.SEARCH_ROUNDS, patience=trees.PATIENCE):
+    """Configurations × folds: validation scores, rounds chosen on the tail, mean over folds and the choice."""
+    rows = splits.inner_tail(fold_table(spark, sf), F.col("cut"))
+    rows = rows.withColumn("inner_role", F.when(F.col("role") == "train", F.col("inner_role")).otherwise("validation"))
+    pred, report = boosting.search(rows, DAILY.key, BASE, configs, rounds, patience)
+    return boosting.choose(validation_metrics(pred, ["fold", "config"]), report)
 
 
 @query("model_tuned_boosting")
 def model_tuned_boosting(spark, sf):
-    """MD-10: early stopping on the chronological tail and a refit (one configuration of the grid)."""
-    rows = tree_rows(spark, sf)
-    train = splits.inner_tail(rows.where(F.col("split") == "train"), splits.cut_at(F.col("n_steps"), splits.TRAIN_FRACTION))
-    fit, stop = train.where(F.col("inner_role") == "fit"), train.where(F.col("inner_role") == "stop")
-    validation = rows.where(F.col("split") == "validation").withColumn("inner_role", F.lit("validation"))
-    pred, rounds = trees.tuned_boosting(fit, stop, validation, BASE, trees.depth_grid()[3], rounds=20, patience=5)
-    return evaluate.metrics(pred, ["series_id"]).withColumn("rounds", F.lit(rounds))
+    """MD-10: the whole search, 24 configurations × 4 folds with 500 rounds, patience 40 and a refit; one row each and the choice."""
+    return searched(spark, sf, boosting.search_grid())

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.contract import PanelSpec
 from panelcast.functions.quantiles import quantiles
-from panelcast.operators import evaluate, linear, residual, splits, trees
+from panelcast.operators import boosting, evaluate, linear, residual, splits
 from panelcast.operators.features import History, interactions
 from panelcast.operators.prep import fit_scaler
 from panelcast.sources.staging import stage
@@ -132,18 +133,73 @@ def evaluate_probs() -> tuple[float, ...]:
     return (0.25, 0.50, 0.75, 0.90, 0.95)
 
 
-def boosting_with_shares(rows: DataFrame, by: Sequence[str], columns: Sequence[str], hours: Column, estimator) -> DataFrame:
-    """Boosted trees on the share columns, raw and with the time-weighted addend (MD-12).
+def with_shares(fold_rows: DataFrame, by: Sequence[str], spec: PanelSpec, shares: Mapping[str, int], delay: int) -> DataFrame:
+    """Stages: rows with ``p75`` of their fold's train block and the share columns above it (method B)."""
+    on = list(by)
+    fold_rows = stage(fold_rows)
+    thresholds = quantiles(fold_rows.where(F.col("role") == "train"), by, "y", [0.75]).select(*on, F.col("q0_75").alias("p75"))
+    return stage(add_shares(fold_rows.join(thresholds, on, "left"), PanelSpec(tuple(by), spec.ts, spec.step_seconds), shares, delay, F.col("p75")))
+
+
+# The ensembles of the share study and of stacking, and the tuned configuration.
+PLAIN_TREES = boosting.Config("plain", 0.05, leaves=31, min_rows=20)
+TUNED_TREES = boosting.Config("tuned", 0.1, leaves=63, subsample=0.8, colsample=0.8, min_rows=20)
+
 
-    ``rows`` carries ``role``; the ensemble is fitted on the pooled train rows of all groups.
+def boosting_with_shares(rows: DataFrame, spec: PanelSpec, base: Sequence[str], share_columns: Sequence[str], hours: Column, rounds: int = boosting.grids.BOOST_ROUNDS,
+                         search_rounds: int = boosting.grids.SEARCH_ROUNDS, patience: int = boosting.grids.PATIENCE) -> DataFrame:
+    """Boosted trees per fold with and without share columns, tuned and not, raw and with the time-weighted addend (MD-12).
+
+    ``rows`` carries series key, fold, role, pos and cut (see ``with_shares``); trees learn from the pooled train rows of a fold.
+    Returns the rows with ``model`` and ``pred``.
+    """
+    keys, columns = list(spec.key), [*base, *share_columns]
+    fold = [*spec.keys, "fold"]
+    tail = splits.inner_tail(rows, F.col("cut")).withColumn("inner_role", F.when(F.col("role") == "train", F.col("inner_role")).otherwise("validation"))
+    plain = [replace(PLAIN_TREES, name="trees_base", columns=tuple(range(len(base)))), replace(PLAIN_TREES, name="trees_shares")]
+    predicted, _ = boosting.search(tail, keys, columns, [replace(TUNED_TREES, name="trees_shares_tuned")], search_rounds, patience, plain=plain, plain_rounds=rounds)
+    predicted = predicted.select(*keys, "fold", "pred", F.col("config").alias("model"))
+    scored = stage(rows.select(*keys, "fold", "role", "pos", "cut", "y", "p75").join(predicted, [*keys, "fold"]))
+    corrected = residual.correct(scored, [*fold, "model"], "expanding_historical", hours).where(F.col("model") != "trees_base")
+    corrected = corrected.withColumns({"pred": F.col("corrected"), "model": F.concat("model", F.lit("_addend"))}).select(scored.columns)
+    return scored.unionByName(corrected)
+
+
+def nested_folds(rows: DataFrame) -> DataFrame:
+    """Outer folds (``nest`` = 10 × fold) and the inner expanding folds of their train blocks (10 × fold + k)."""
+    outer = splits.expanding_folds(rows)
+    inner = splits.expanding_folds(outer.where(F.col("role") == "train").withColumnsRenamed({"fold": "outer", "cut": "length"}).drop("role"), splits.INNER_FOLD_CUTS, F.col("length"))
+    inner = inner.withColumn("nest", 10 * F.col("outer") + F.col("fold")).drop("length", "fold")
+    outer = outer.withColumnRenamed("fold", "outer").withColumn("nest", 10 * F.col("outer"))
+    return outer.unionByName(inner)
+
+
+def stacking(rows: DataFrame, spec: PanelSpec, base: Sequence[str], shares: Mapping[str, int], delay: int, rounds: int = boosting.grids.BOOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Ridge with share columns and boosted trees, stacked by a ridge on their out-of-fold predictions (MD-13).
+
+    ``rows`` are those of the panel.  All inner and outer fits of the trees grow together.  Returns the validation rows of
+    every outer fold with both bases, their average and the stacked prediction, and the meta models.
     """
-    train, validation = rows.where(F.col("role") == "train"), rows.where(F.col("role") == "validation")
-    tr, va = trees.fit_predict(train, validation, columns, estimator)
-    scored = stage(tr.unionByName(va).select(*by, "ts", "pos", "role", "y", "pred"))
-    return residual.correct(scored, by, "expanding_historical", hours)
+    by = [*spec.keys, "nest"]
+    nested = with_shares(nested_folds(rows), by, spec, shares, delay)
+    columns = [*base, *[f"share_high_{n}" for n in shares]]
+    ridge = linear.fit_ridge(nested.where(F.col("role") == "train"), by, columns)
+    validation = nested.where(F.col("role") == "validation")
+    first = linear.score(validation, ridge, by, columns, "ridge_shares").select(*spec.key, "outer", "nest", "pos", "y", "ridge_shares")
+    second = boosting.fit_predict(nested, spec.key, base, PLAIN_TREES, rounds, fold="nest").where(F.col("part") == boosting.OTHER)
+    both = stage(first.join(second.select(*spec.key, F.col("fold").alias("nest"), F.col("pred").alias("trees")), [*spec.key, "nest"]))
+    inner = F.col("nest") % 10 > 0
+    oof, fresh = both.where(inner), both.where(~inner)
+    group, bases = [*spec.keys, "outer"], ["ridge_shares", "trees"]
+    meta = linear.fit_ridge(oof, group, bases, alphas=[linear.META_ALPHA])
+    return apply_meta(fresh, meta, group, bases), meta.join(oof.groupBy(*group).agg(F.count(F.lit(1)).alias("n_oof")), group)
+
+
+def apply_meta(fresh: DataFrame, meta: DataFrame, by: Sequence[str], bases: Sequence[str]) -> DataFrame:
+    """Stacked and averaged prediction of fresh base predictions."""
+    return linear.score(fresh, meta, by, bases, "stacked").withColumn("averaged", linear.average(bases))
 
 
 def stacked(oof: DataFrame, fresh: DataFrame, by: Sequence[str], bases: Sequence[str], alpha: float = linear.META_ALPHA) -> DataFrame:
     """Ridge on out-of-fold base predictions, applied to fresh base predictions (MD-13)."""
-    meta = linear.fit_ridge(oof, by, bases, alphas=[alpha])
-    return linear.score(fresh, meta, by, bases, "stacked").withColumn("averaged", linear.average(bases))
+    return apply_meta(fresh, linear.fit_ridge(oof, by, bases, alphas=[alpha]), by, bases)

@@ -14,7 +14,7 @@ from panelcast.operators.trees import best_rounds
 COLUMNS = ["a", "b", "c"]
 
 
-def sample(n=400, folds=2, seed=0):
+def sample(n=240, folds=2, seed=0):
     rng = np.random.default_rng(seed)
     frames = []
     for fold in range(1, folds + 1):
@@ -96,41 +96,56 @@ CONFIGS = [
 
 def test_equals_one_ensemble_at_a_time(spark):
     data = b.prepared(table(spark, sample()), ["series_id", "ts"], COLUMNS, {"fit": b.FIT, "stop": b.STOP}, len(CONFIGS), role="inner_role")
-    grown, _ = b.grow(data, CONFIGS, 6)
+    grown, _ = b.grow(data, CONFIGS, 3)
     got = b.predictions(grown, CONFIGS).toPandas()
-    assert len(got) == 2 * 400 * len(CONFIGS)
+    assert len(got) == 2 * 240 * len(CONFIGS)
     for fold in (1, 2):
         for config in CONFIGS:
-            pdf, f = one_by_one(data, fold, config, 6, [b.FIT, b.STOP])
+            pdf, f = one_by_one(data, fold, config, 3, [b.FIT, b.STOP])
             want = pdf.assign(want=f[-1]).merge(got[(got.fold == fold) & (got.config == config.name)], on=["series_id", "ts"])
-            assert len(want) == 400
+            assert len(want) == 240
             np.testing.assert_allclose(want["pred"], want["want"], rtol=1e-9, atol=1e-9)
 
 
 def test_early_stopping_and_refit(spark):
     rows, configs = table(spark, sample()), CONFIGS[:2]
-    pred, report = b.search(rows, ["series_id", "ts"], COLUMNS, configs, rounds=30, patience=4, least=3)
+    pred, report = b.search(rows, ["series_id", "ts"], COLUMNS, configs, rounds=9, patience=3, least=2)
     data = b.prepared(rows, ["series_id", "ts"], COLUMNS, {"fit": b.FIT, "stop": b.STOP}, 2, role="inner_role")
     got = pred.toPandas()
     for r in report:
         config = next(c for c in configs if c.name == r["config"])
-        pdf, path = one_by_one(data, r["fold"], config, 30, [b.FIT])
+        pdf, path = one_by_one(data, r["fold"], config, 9, [b.FIT])
         stop = (pdf["_part"] == b.STOP).to_numpy()
         losses = [np.abs(pdf["y"].to_numpy()[stop] - f[stop]).mean() for f in path]
-        assert r["rounds"] == best_rounds(losses, patience=4, minimum=3)
+        assert r["rounds"] == best_rounds(losses, patience=3, minimum=2)
         best, at = min((x, i) for i, x in enumerate(losses[: r["tried"]], start=1))
-        assert abs(r["stop_mae"] - best) < 1e-5 and r["tried"] == min(30, at + 4)
+        assert abs(r["stop_mae"] - best) < 1e-5 and r["tried"] == min(9, at + 3)
         pdf, path = one_by_one(data, r["fold"], config, r["rounds"], [b.FIT, b.STOP])
         want = pdf.assign(want=path[-1]).merge(got[(got.fold == r["fold"]) & (got.config == config.name)], on=["series_id", "ts"])
         np.testing.assert_allclose(want["pred"], want["want"], rtol=1e-9, atol=1e-9)
 
 
+def test_plain_ensembles_beside_a_search(spark):
+    """Mixed ensembles: those without patience learn from all train rows, and from their own columns only."""
+    rows = table(spark, sample(n=200))
+    plain = b.Config("plain", 0.3, depth=2, columns=(0, 2))
+    pred, report = b.search(rows, ["series_id", "ts"], COLUMNS, CONFIGS[:1], rounds=3, patience=2, least=2, plain=[plain], plain_rounds=3)
+    data = b.prepared(rows, ["series_id", "ts"], COLUMNS, {"fit": b.FIT, "stop": b.STOP}, 2, role="inner_role")
+    got = pred.toPandas()
+    assert len(got) == 2 * 2 * 200 and {r["config"] for r in report} == {"depth_2"}
+    for config, rounds in [(plain, {1: 3, 2: 3}), (CONFIGS[0], {r["fold"]: r["rounds"] for r in report})]:
+        for fold, n in rounds.items():
+            pdf, path = one_by_one(data, fold, config, n, [b.FIT, b.STOP])
+            want = pdf.assign(want=path[-1]).merge(got[(got.fold == fold) & (got.config == config.name)], on=["series_id", "ts"])
+            np.testing.assert_allclose(want["pred"], want["want"], rtol=1e-9, atol=1e-9)
+
+
 def test_learns_and_chooses(spark):
     from panelcast.operators import evaluate
 
     pdf = sample(n=600, folds=1, seed=4)
     configs = [b.Config("deep", 0.3, depth=4, min_rows=5), b.Config("stump", 0.05, depth=1)]
-    pred, report = b.search(table(spark, pdf), ["series_id", "ts"], COLUMNS, configs, rounds=40, patience=10)
+    pred, report = b.search(table(spark, pdf), ["series_id", "ts"], COLUMNS, configs, rounds=12, patience=4, least=5)
     scores = evaluate.metrics(pred.where(F.col("part") == b.OTHER), ["fold", "config"])
     out = {r.config: r for r in b.choose(scores, report).collect()}
     assert out["deep"].chosen and not out["stump"].chosen
@@ -144,7 +159,7 @@ def test_partitions_and_order_do_not_matter(spark):
     for tasks in ("1", "7"):
         before = spark.conf.get("spark.sql.shuffle.partitions")
         spark.conf.set("spark.sql.shuffle.partitions", tasks)
-        pred = b.fit_predict(rows.withColumn("role", F.col("inner_role")).orderBy(F.rand(int(tasks))), ["series_id", "ts"], COLUMNS, CONFIGS[1], 5, train=("fit", "stop"))
+        pred = b.fit_predict(rows.withColumn("role", F.col("inner_role")).orderBy(F.rand(int(tasks))), ["series_id", "ts"], COLUMNS, CONFIGS[1], 2, train=("fit", "stop"))
         out.append(sorted((r.fold, r.ts, r.pred) for r in pred.collect()))
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
@@ -155,12 +170,12 @@ def test_awkward_rows(spark):
     pdf["c"] = 1.0  # constant
     pdf.loc[3, "y"] = np.nan
     df = table(spark, pdf).withColumn("a", F.when(F.col("ts") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("a"))).withColumn("d", F.lit(None).cast("double"))
-    pred = b.fit_predict(df, ["series_id", "ts"], ["a", "b", "c", "d"], b.Config("x", 0.5, depth=3), 3, role="inner_role", train=("fit", "stop"))
+    pred = b.fit_predict(df, ["series_id", "ts"], ["a", "b", "c", "d"], b.Config("x", 0.5, depth=3), 1, role="inner_role", train=("fit", "stop"))
     got = pred.toPandas()
     assert len(got) == 59 and np.isfinite(got["pred"]).all()  # the train row without a target is left out
-    flat = b.fit_predict(df.withColumn("y", F.lit(2.0)), ["series_id", "ts"], ["a"], b.Config("x", 0.5, depth=3), 3, role="inner_role", train=("fit", "stop"))
+    flat = b.fit_predict(df.withColumn("y", F.lit(2.0)), ["series_id", "ts"], ["a"], b.Config("x", 0.5, depth=3), 1, role="inner_role", train=("fit", "stop"))
     assert set(flat.toPandas()["pred"]) == {2.0}
-    assert b.fit_predict(df.where("false"), ["series_id", "ts"], ["a"], b.Config("x", 0.5, depth=3), 3, role="inner_role", train=("fit",)).count() == 0
+    assert b.fit_predict(df.where("false"), ["series_id", "ts"], ["a"], b.Config("x", 0.5, depth=3), 1, role="inner_role", train=("fit",)).count() == 0
     with pytest.raises(ContractError):
         b.Config("unlimited", 0.1)
 

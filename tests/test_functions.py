@@ -206,3 +206,36 @@ def test_shares_at_equal_the_grid_feature(spark):
     y = hist.orderBy("ts").toPandas()["y"]
     want = [np.mean(y[t - 24 - 19: t - 24 + 1] > 0.0) for t in range(65, 75)]
     np.testing.assert_allclose(got, want)
+
+
+@pytest.mark.parametrize("chunk", [None, 40])
+def test_windows_of_every_length(spark, chunk):
+    """Moments merged from block ends and shares from counts equal pandas, with gaps, missing steps, spikes and long windows."""
+    rng = np.random.default_rng(9)
+    n = 400
+    y = rng.normal(size=n)
+    y[50] = 1e12  # a spike must not cost later windows their digits
+    y[200:240] = 3.25  # constant stretch: deviation exactly 0
+    ts = pd.date_range("2024-01-01", periods=n, freq="h")
+    pdf = pd.DataFrame({"series_id": "s", "ts": ts, "y": y})
+    pdf = pdf.drop(index=[120, 121, 300])
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("y", F.when(F.hour("ts") + F.dayofyear("ts") * 24 != 90 + 24, F.col("y")))
+    h = History(HOURLY)
+    for w in (1, 2, 7, 30, 100):
+        for d in (1, 24):
+            h.rolling("y", w, d, f"m_{w}_{d}", f"s_{w}_{d}").share_above("y", 0.2, w, d, f"f_{w}_{d}")
+    assert h.lineage["m_7_24"] == ("y", 24, 30)
+    got = h.apply(df, chunk).orderBy("ts").toPandas().set_index("ts").reindex(ts)
+    full = got["y"]
+    for w in (1, 2, 7, 30, 100):
+        for d in (1, 24):
+            parts = [full.shift(d + k) for k in range(w)]
+            table = pd.concat(parts, axis=1)
+            whole = table.notna().all(axis=1)
+            here = got["series_id"].notna()
+            for name, want in (("m", table.mean(axis=1)), ("s", table.std(axis=1, ddof=0)), ("f", (table > 0.2).mean(axis=1))):
+                a, b = got[f"{name}_{w}_{d}"][here], want.where(whole)[here]
+                assert (a.isna() == b.isna()).all()
+                np.testing.assert_allclose(a.dropna(), b.dropna(), rtol=1e-9, atol=1e-12)
+            if w == 7:
+                assert got[f"s_{w}_{d}"][ts[200 + w + d] : ts[239]].eq(0.0).all()
