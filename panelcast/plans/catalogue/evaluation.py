@@ -12,6 +12,7 @@ from panelcast.operators.features import History
 from panelcast.operators.splits import chronological_split
 from panelcast.plans import views
 from panelcast.plans.registry import query
+from panelcast.sources.staging import stage
 
 LOCAL = "timezone('Europe/Madrid', timezone('UTC', ts))"
 METRICS = ["mae", "rmse", "r2", "smape", "bias", "residual_std"]
@@ -134,7 +135,7 @@ SLICE_SQL = """CASE WHEN v.y <= q1 THEN 'P25_below' WHEN v.y <= q2 THEN 'P25_P50
 """, doubles=SLICES, whole=["fold"])
 def eval_error_by_level(spark, sf):
     """EV-7: error per level slice with train edges."""
-    f = views.folds(spark, sf)
+    f = stage(views.folds(spark, sf))  # read three times
     edges = quantiles(f.where(F.col("role") == "train"), views.FOLD, "y", [0.25, 0.5, 0.75])
     return evaluate.error_by_level(f.where(F.col("role") == "validation"), edges, views.FOLD)
 
@@ -160,7 +161,7 @@ REGIME_AGG = "count(*) AS n, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (p
        doubles=REGIME)
 def eval_regimes_pooled(spark, sf):
     """EV-9: test metrics at or above development thresholds."""
-    s = chronological_split(views.scored(spark, sf))
+    s = stage(chronological_split(views.scored(spark, sf)))  # read three times
     thresholds = quantiles(s.where(F.col("split") != "test"), ["series_id"], "y", list(PROBS.values()))
     return evaluate.regime_metrics(s.where(F.col("split") == "test"), thresholds, ["series_id"], list(PROBS.values()))
 
@@ -171,7 +172,7 @@ def eval_regimes_pooled(spark, sf):
     for i, n in [*enumerate(PROBS), (None, "ALL")]), doubles=REGIME, whole=["fold"])
 def eval_regimes_by_fold(spark, sf):
     """EV-10: regimes per fold with thresholds of the fold's own train rows."""
-    f = views.folds(spark, sf)
+    f = stage(views.folds(spark, sf))  # read three times
     thresholds = quantiles(f.where(F.col("role") == "train"), views.FOLD, "y", list(PROBS.values()))
     return evaluate.regime_metrics(f.where(F.col("role") == "validation"), thresholds, views.FOLD, list(PROBS.values()), with_all=True)
 
@@ -187,7 +188,7 @@ PLACES = {"train": "role = 'train'", "val": "role = 'validation'", "val_high": "
 """, doubles=[f"{p}_{d}" for d in DRIVERS for p in PLACES], whole=["fold"])
 def eval_association(spark, sf):
     """EV-11: driver means in train, validation, high and remaining rows."""
-    f = views.folds(spark, sf)
+    f = stage(views.folds(spark, sf))  # read three times
     thresholds = quantiles(f.where(F.col("role") == "train"), views.FOLD, "y", [0.75])
     return evaluate.association(f, thresholds, views.FOLD, DRIVERS)
 
