@@ -24,6 +24,7 @@ from panelcast.functions.chunks import CHUNK, chunk_window, chunked, home_rows,
 from panelcast.functions.numeric import strict_max, strict_mean, strict_min, strict_std
 from panelcast.functions.timefn import CIVIL_ZONE, calendar_fields, civil, cyclic_fields
 from panelcast.operators.grid import INDEX, future_steps, with_index
+from panelcast.operators.lineage import stamped
 
 
 def add_calendar(df: DataFrame, ts: str = "ts", zone: str = CIVIL_ZONE, cyclic: bool = True) -> DataFrame:
@@ -44,7 +45,8 @@ class History:
 
     >>> History(spec).lag("y", 24).rolling("y", 168, delay=24, mean="m", std="s").apply(panel)
 
-    ``lineage`` says for every column which source it reads and the least and greatest number of steps back.
+    ``lineage`` says for every column which source it reads and the least and greatest number of steps back; the
+    columns carry it (see ``lineage.py``).
     """
 
     def __init__(self, spec: PanelSpec):
@@ -140,6 +142,7 @@ class History:
         w = chunk_window(self.spec.keys, INDEX)
         staged = staged.withColumns({n: build(w) for n, build in self._states.items()}) if self._states else staged
         out = home_rows(staged.withColumns({n: build(w) for n, build in self._columns.items()}).drop(*self._states))
+        out = stamped(out, {n: {source: least} for n, (source, least, _) in self.lineage.items()})
         return out if INDEX in df.columns else out.drop(INDEX)
 
 

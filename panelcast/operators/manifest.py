@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from panelcast.contract import LeakageError, require_unique_names
 from panelcast.functions.timefn import CIVIL_ZONE, civil, from_civil, truncate
+from panelcast.operators import lineage
 
 SAFE, CONDITIONAL, UNKNOWN, FORBIDDEN = "SAFE", "CONDITIONAL", "UNKNOWN", "FORBIDDEN"
 
 # Groups whose members are realised measurements.
 OBSERVED_GROUPS = ("historical_load", "historical_generation", "historical_weather", "weather_aggregate")
+# Groups whose members are known before the step they belong to.
+KNOWN_GROUPS = ("calendar", "day_ahead_forecast")
 # Names that may never enter a feature matrix.
 FORBIDDEN_NAMES = ("price day ahead", "price actual", "price_actual", "total load actual", "total_load_actual", "time")
 # Fixed value: name shape of a one-step lag, which the audit classes as forbidden.
@@ -82,16 +85,30 @@ def fault(spec: FeatureSpec, sources: Iterable[str]) -> str | None:
     return None
 
 
+def untrue(df: DataFrame, spec: FeatureSpec) -> str | None:
+    """Why the lineage of a declared column contradicts its declaration; None if it does not."""
+    read = lineage.of(df, spec.feature_name)
+    if not read:
+        return None if spec.feature_group in KNOWN_GROUPS else "has no lineage"
+    source, steps = min(read.items(), key=lambda r: (r[1], r[0]))
+    if steps < spec.lag_steps or (spec.feature_group in KNOWN_GROUPS and steps <= 0):
+        return f"reads {source} {steps} steps back, declared are {spec.lag_steps}"
+    return None
+
+
 def guard_features(df: DataFrame, manifest: Manifest, identifiers: Sequence[str], raw: Sequence[str] = ()) -> list[str]:
     """Raise unless the feature columns are exactly the declared ones and no declaration leaks (FE-18).
 
-    A column nobody declared has no lineage and is refused whatever its name.
+    Declarations are compared with the lineage that the columns carry: a column built with a shorter lag than
+    declared is refused, so is a historical feature without lineage, or a copy of a measurement declared as known in
+    advance.  A column nobody declared is refused whatever its name.
     """
     columns = [c for c in df.columns if c not in identifiers]
     declared = {s.feature_name: s for s in manifest.specs}
     faults = {c: "is not declared" for c in columns if c not in declared}
     faults |= {c: "is declared but absent" for c in declared if c not in columns}
     sources = {*raw, *FORBIDDEN_NAMES}
+    faults |= {c: why for c, s in declared.items() if c in columns and (why := untrue(df, s))}
     faults |= {c: why for c, s in declared.items() if (why := fault(s, sources))}
     if faults:
         raise LeakageError("; ".join(f"{c} {why}" for c, why in sorted(faults.items())))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from panelcast.contract import HOURLY
 from panelcast.functions.numeric import safe_ratio
 from panelcast.operators import evaluate, linear, splits
+from panelcast.operators.declared import Declared
 from panelcast.operators.features import History, add_calendar
-from panelcast.operators.manifest import FeatureSpec, Manifest, guard_features
+from panelcast.operators.lineage import observed
+from panelcast.operators.manifest import guard_features
 from panelcast.operators.prep import fit_scaler
 from panelcast.plans import views
 from panelcast.plans.catalogue.features import ASSEMBLED, LOCAL
@@ -77,15 +79,16 @@ def model_archive(spark, sf):
     )
 
 
-SPECS = Manifest([
-    FeatureSpec("hour", "ts", "calendar", "0", "calendar_field", "known_in_advance", "Local hour"),
-    FeatureSpec("day_of_week", "ts", "calendar", "0", "calendar_field", "known_in_advance", "Local weekday"),
-    FeatureSpec("month", "ts", "calendar", "0", "calendar_field", "known_in_advance", "Local month"),
-    FeatureSpec("y_lag_24", "y", "historical_target", "24", "shift(+24)", "prior_auction_only", "Value a day ago", 24),
-    FeatureSpec("total_lag_24", "total", "historical_load", "24", "shift(+24)", "historical_actual_only", "Total a day ago", 24),
-    FeatureSpec("ratio_lag_24", "total / n", "historical_load", "24", "ratio then shift(+24)", "historical_actual_only", "Ratio a day ago", 24),
-    FeatureSpec("mean_24h", "y", "historical_target", "24", "rolling mean", "prior_auction_only", "Mean of the day before", 24),
-])
+def declared_features() -> Declared:
+    """Every feature once: what computes it and what the manifest says of it come from the same call."""
+    plan = Declared(HOURLY)
+    for name, text in (("hour", "Local hour"), ("day_of_week", "Local weekday"), ("month", "Local month")):
+        plan.known(name, "ts", "calendar", "calendar_field", "known_in_advance", text)
+    plan.lags("y", "y", (24,), "y", "historical_target", "shift", "prior_auction_only", "value")
+    plan.lags("total", "total", (24,), "total", "historical_load", "shift", "historical_actual_only", "total")
+    plan.lags("ratio", safe_ratio(F.col("total"), F.col("n")), (24,), "total / n", "historical_load", "ratio then shift", "historical_actual_only", "ratio")
+    plan.rolling("mean_24h", "y", 24, 24, "historical_target", "prior_auction_only", "Mean of the day before")
+    return plan
 
 
 @query("feature_guarded_matrix", ["panel"], sql=f"""
@@ -96,10 +99,10 @@ SPECS = Manifest([
 """, doubles=ASSEMBLED[3:], whole=ASSEMBLED[:3], stamps=["ts"], places=8)
 def feature_guarded_matrix(spark, sf):
     """FE-16 and FE-18: the matrix must equal its manifest and hold nothing that can leak."""
-    h = History(HOURLY).lag("y", 24).lag("total", 24).rolling("y", 24, 24, "mean_24h")
-    h.lag(safe_ratio(F.col("total"), F.col("n")), 24, "ratio_lag_24")
-    out = add_calendar(h.apply(views.panel(spark, sf)), cyclic=False).select("series_id", "ts", *SPECS.names)
-    guard_features(out, SPECS, ["series_id", "ts"], raw=["y", "total", "n"])
+    plan = declared_features()
+    rows = observed(views.panel(spark, sf), ["y", "total", "n"])
+    out = add_calendar(plan.history.apply(rows), cyclic=False).select("series_id", "ts", *plan.manifest.names)
+    guard_features(out, plan.manifest, ["series_id", "ts"], raw=["y", "total", "n"])
     return out
 
 
@@ -117,7 +120,7 @@ def feature_availability_classes(spark, sf):
     out = History(HOURLY).lag("y", 24).lag("total", 24).apply(views.panel(spark, sf)).withColumn("hour", F.hour("ts"))
     counts = out.groupBy("series_id").agg(*[F.count(c).alias(c) for c in ("hour", "y_lag_24", "total_lag_24")])
     long = melt(counts, ["series_id"], ["hour", "y_lag_24", "total_lag_24"], "feature", "present")
-    audit = availability_audit(SPECS.to_frame(spark)).select("feature", "classification_strict", "classification_assumed")
+    audit = availability_audit(declared_features().manifest.to_frame(spark)).select("feature", "classification_strict", "classification_assumed")
     return long.join(audit, "feature")
 
 

@@ -13,8 +13,10 @@ from panelcast.contract import HOURLY
 from panelcast.functions.numeric import safe_ratio, strict_mean, total, total_skip_null
 from panelcast.functions.timefn import parse_instant
 from panelcast.operators import clean
-from panelcast.operators.features import History, add_calendar, direction_parts, lag_summary
+from panelcast.operators.declared import Declared
+from panelcast.operators.features import add_calendar, direction_parts, lag_summary
 from panelcast.operators.grid import INDEX, LENGTH, POSITION, densify
+from panelcast.operators.lineage import derived, observed
 from panelcast.operators.manifest import FeatureSpec, Manifest, guard_features
 from panelcast.sources.tables import read_csv
 
@@ -117,26 +119,14 @@ def merge(energy: DataFrame, weather: DataFrame) -> DataFrame:
     return clean.one_to_one_left(panel, wide, keys)
 
 
-class _Plan:
-    """History columns and manifest entries declared together."""
-
-    def __init__(self):
-        self.history, self.manifest = History(HOURLY), Manifest()
-
-    def known(self, name: str, source: str, group: str, how: str, availability: str, text: str) -> None:
-        self.manifest.add(FeatureSpec(name, source, group, "0", how, availability, text))
-
-    def lags(self, base: str, column, lags: Sequence[int], source: str, group: str, how: str, availability: str, text: str) -> list[str]:
-        names = [f"{base}_lag_{k}" for k in lags]
-        for name, k in zip(names, lags):
-            self.history.lag(column, k, name)
-            self.manifest.add(FeatureSpec(name, source, group, str(k), f"{how}(+{k})", availability, f"{text} at t-{k}", k))
-        return names
+def raw_columns(merged: DataFrame) -> list[str]:
+    """Realised measurements: everything but keys, positions and published forecasts."""
+    return [c for c in merged.columns if c not in ("series_id", "ts", INDEX, POSITION, LENGTH, *[plain(c) for c in FORECASTS])]
 
 
 def build_features(merged: DataFrame) -> tuple[DataFrame, Manifest]:
     """Identifier, 184 features and nothing else, together with the manifest they were declared in."""
-    plan = _Plan()
+    plan = Declared(HOURLY)
     calendar = [c for c in add_calendar(merged.select("ts")).columns if c != "ts"]
     for c in calendar:
         cyclic = c.endswith(("_sin", "_cos"))
@@ -181,7 +171,7 @@ def build_features(merged: DataFrame) -> tuple[DataFrame, Manifest]:
         for field in WEATHER_LAG_FIELDS:
             plan.lags(f"{field}_{city.lower()}", f"{field}_{city}", OTHER_LAGS, f"{field}_{city}", "historical_weather", "shift", "historical_observation_only", f"{city} {field}")
 
-    wide = merged
+    wide = observed(merged, raw_columns(merged))
     for name, (field, how) in SPATIAL.items():
         cells = [F.col(f"{field}_{city}").cast("double") for city in CITIES]
         count = total([c.isNotNull().cast("int") for c in cells])
@@ -191,7 +181,7 @@ def build_features(merged: DataFrame) -> tuple[DataFrame, Manifest]:
 
     # position columns come along so that splits need no second pass
     out = add_calendar(plan.history.apply(wide.withColumns({f"_known_{c}": e for c, e in same_time.items()})))
-    out = out.withColumns(summaries)
+    out = derived(out, summaries)
     known = [F.col(f"_known_{c}").alias(c) for c in same_time]
     rest = [c for c in plan.manifest.names if c not in same_time]
     features = out.select("series_id", "ts", INDEX, POSITION, LENGTH, *rest, *known)
@@ -209,7 +199,6 @@ def model_manifest(manifest: Manifest) -> Manifest:
 
 def model_table(features: DataFrame, merged: DataFrame, manifest: Manifest) -> DataFrame:
     """Guarded features joined with the target as ``y``."""
-    raw = [c for c in merged.columns if c not in ("series_id", "ts", INDEX, POSITION, LENGTH, *[plain(c) for c in FORECASTS])]
-    guard_features(features, manifest, ["series_id", "ts", INDEX, POSITION, LENGTH], raw)
+    guard_features(features, manifest, ["series_id", "ts", INDEX, POSITION, LENGTH], raw_columns(merged))
     target = merged.select("series_id", "ts", F.col(plain(TARGET)).alias("y"))
     return clean.one_to_one_left(features, target, ["series_id", "ts"])
