@@ -1,8 +1,8 @@
 """Linear models from one distributed Gram matrix (MD-1 … MD-7, MD-11, MD-13 … MD-16).
 
 Rows meet only in partial sums: each task turns its Arrow batches into (p+2)² cross products per
-group, the upper triangles are added up by Spark keyed on (group, cell), and the p × p systems are
-solved inside tasks, one group per row.  The driver sees no data row, no matrix and no coefficient.
+group, the upper triangles are added up as whole arrays keyed on (group, salt), then on the group, and the p × p
+systems are solved inside tasks, one group per row.  The driver sees no data row, no matrix and no coefficient.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ META_ALPHA = 0.001
 
 # Cross products held per task before they are handed on (doubles).
 HELD_CELLS = 4_000_000
+#: Tasks in which the partial sums of one group first meet.
+SALTS = 16
 
 
 def naive_prediction(lag: str) -> Column:
@@ -49,15 +51,17 @@ def _keys_schema(df: DataFrame, by: Sequence[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
 
 
-def gram(df: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", weight: str | None = None, scaler: DataFrame | None = None) -> DataFrame:
+def gram(df: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", weight: str | None = None, scaler: DataFrame | None = None,
+         scaler_by: Sequence[str] | None = None) -> DataFrame:
     """Per group the cross products of (x₁ … x_p, y, 1): one row with ``n`` and the flat upper triangle.
 
-    With a ``scaler`` the columns are imputed and standardised inside the same stage.
+    With a ``scaler`` (of ``scaler_by``, else of the same groups) the columns are imputed and standardised inside the
+    same stage.  A task holds at most ``HELD_CELLS`` numbers and the matrix of one group, whatever the number of groups.
     """
     by, p = list(by), len(columns)
     rows = df.where(F.col(y).isNotNull())
     if scaler is not None:
-        rows = rows.join(scaler, by)
+        rows = rows.join(scaler, list(scaler_by or by))
         x = standardised(columns)
     else:
         x = [F.col(c).cast("double") for c in columns]
@@ -66,49 +70,87 @@ def gram(df: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y",
     upper = np.triu_indices(p + 2)
 
     def partial(batches):
-        held: dict[tuple, np.ndarray] = {}
-        counts: dict[tuple, int] = {}
-
-        def flush():
-            out = pd.DataFrame(list(held), columns=by)
-            out["_n"] = [counts[k] for k in held]
-            out["_cells"] = [m[upper] for m in held.values()]
-            held.clear()
-            counts.clear()
-            return pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
-
-        schema = None
+        held: dict[tuple, list] = {}  # group → [rows, cross products]; never more than HELD_CELLS numbers
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if schema is None:
-                fields = [batch.schema.field(k) for k in by]
-                schema = pa.schema([*fields, pa.field("_n", pa.int64()), pa.field("_cells", pa.list_(pa.float64()))])
             n = batch.num_rows
             z = np.empty((n, p + 2))
             z[:, :p] = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(n, p)
             z[:, p] = batch.column("_y").to_numpy(zero_copy_only=False)
             z[:, p + 1] = 1.0
             z *= np.sqrt(batch.column("_w").to_numpy(zero_copy_only=False))[:, None]
-            keys = pa.Table.from_batches([batch.select(by)]).to_pandas()
-            for key, index in keys.groupby(by, sort=False, dropna=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
+            code, first = _codes(batch, by)
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[order])) + 1
+            for index in np.split(order, cuts):
+                key = first[code[index[0]]]
                 part = z[index]
-                product = part.T @ part
-                held[key] = held[key] + product if key in held else product
-                counts[key] = counts.get(key, 0) + len(index)
-            if len(held) * (p + 2) ** 2 > HELD_CELLS:
-                yield flush()
+                product = (part.T @ part)[upper]
+                if key in held:
+                    held[key][0] += len(index)
+                    held[key][1] += product
+                else:
+                    held[key] = [len(index), product]
+                    if len(held) * len(product) > HELD_CELLS:
+                        yield from _partials(held, batch.schema, by)
+                        held.clear()
         if held:
-            yield flush()
-
-    parts = packed.mapInArrow(partial, f"{_keys_schema(packed, by)}, _n long, _cells array<double>")
-    cells = parts.select(*by, "_n", F.posexplode("_cells").alias("_i", "_v"))
-    # keyed on (group, cell): a hot group is spread over its (p+2)(p+3)/2 cells
-    summed = cells.groupBy(*by, "_i").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
-    return summed.groupBy(*by).agg(
-        F.max("_n").alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_v"))).getField("_v").alias("cells")
-    )
+            yield from _partials(held, batch.schema, by)
+
+    keys = _keys_schema(packed, by)
+    parts = packed.mapInArrow(partial, f"{keys}, _n long, _cells array<double>").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    # whole matrices are added up, first per (group, salt), so that a hot group's partial sums meet in several tasks
+    some = added_up(parts, [*by, "_salt"]).drop("_salt")
+    return added_up(some, by).withColumnsRenamed({"_n": "n", "_cells": "cells"})
+
+
+def _codes(batch: pa.RecordBatch, by: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Number of every row's group, and the groups; NULL is a key like any other."""
+    numbers = np.zeros(batch.num_rows, dtype=np.int64)
+    for name in by:
+        column = batch.column(name).dictionary_encode("encode")
+        numbers = numbers * max(len(column.dictionary), 1) + column.indices.to_numpy(zero_copy_only=False)
+        numbers = np.unique(numbers, return_inverse=True)[1]  # small again, whatever the number of key columns
+    _, at, code = np.unique(numbers, return_index=True, return_inverse=True)
+    columns = [batch.column(name).take(pa.array(at)).to_pylist() for name in by]
+    return code, list(zip(*columns)) if by else [()] * len(at)
+
+
+def _partials(held: Mapping[tuple, list], schema: pa.Schema, by: Sequence[str], chunk: int = 256):
+    """Groups with their row counts and cross products, a bounded number of them per batch."""
+    items = list(held.items())
+    for at in range(0, len(items), chunk):
+        some = items[at : at + chunk]
+        columns = [pa.array([k[i] for k, _ in some], type=schema.field(name).type) for i, name in enumerate(by)]
+        cells = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * len(some[0][1][1]), pa.array(np.concatenate([v[1] for _, v in some])))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([v[0] for _, v in some], pa.int64()), cells], names=[*by, "_n", "_cells"])
+
+
+def added_up(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Element-wise sums of ``_cells`` and sums of ``_n`` per group: rows come sorted by key, so a task holds one sum."""
+    keys = list(keys)
+
+    def run(batches):
+        key, n, total, schema = None, 0, None, None
+        for batch in batches:
+            schema = batch.schema
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            counts, cells = batch.column("_n").to_numpy(), batch.column("_cells")
+            for i, name in enumerate(names):
+                row = cells[i].values.to_numpy()
+                if total is not None and name == key:
+                    n, total = n + counts[i], total + row
+                    continue
+                if total is not None:
+                    yield from _partials({key: [n, total]}, schema, keys)
+                key, n, total = name, counts[i], row
+        if total is not None:
+            yield from _partials({key: [n, total]}, schema, keys)
+
+    together = parts.select(*keys, "_n", "_cells").repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(run, f"{_keys_schema(parts, keys)}, _n long, _cells array<double>")
 
 
 def _unpack(cells, p: int) -> np.ndarray:
@@ -162,6 +204,28 @@ def solve_ridge(grams: DataFrame, by: Sequence[str], p: int, alphas: Sequence[fl
     return out if subsets else out.drop("method")
 
 
+def solve_weights(grams: DataFrame, by: Sequence[str], p: int, weights: Sequence[float], alpha: float = FINAL_ALPHA) -> DataFrame:
+    """Ridge for every weight of the high rows from the Grams of low and high rows: G(w) = G(low) + w G(high) (MD-6)."""
+    weights = [float(w) for w in weights]
+    sides = [F.first(F.when(F.col("_high") == flag, F.col(c)), ignorenulls=True).alias(f"{c}{int(flag)}") for flag in (False, True) for c in ("cells", "n")]
+    pairs = grams.groupBy(*by).agg(*sides)  # two rows a group
+    both = pairs.select(*by, F.coalesce("n0", F.lit(0)).alias("n0"), F.coalesce("n1", F.lit(0)).alias("n"), F.col("cells0"), F.col("cells1").alias("cells"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for rec in pdf.to_dict("records"):
+                low, up = (np.zeros((p + 2) * (p + 3) // 2) if c is None else np.asarray(c, dtype=float) for c in (rec["cells0"], rec["cells"]))
+                for w in weights:
+                    xtx, xty, y_mean, _ = _normal_equations(low + w * up, p)
+                    coef = np.linalg.solve(xtx + alpha * np.eye(p), xty)
+                    rows.append({**{k: rec[k] for k in by}, "high_weight": w, "alpha": alpha, "coef": coef.tolist(), "intercept": y_mean})
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return both.mapInPandas(run, f"{_keys_schema(grams, by)}, high_weight double, alpha double, coef array<double>, intercept double")
+
+
 def _soft(rho: float, limit: float) -> float:
     return np.sign(rho) * max(abs(rho) - limit, 0.0)
 
@@ -298,17 +362,14 @@ def choose_weight(df: DataFrame, by: Sequence[str], columns: Sequence[str], thre
     """Weight for rows at or above a threshold, chosen by MAE on the inner tail (MD-6).
 
     ``df`` carries ``inner_role`` (fit / stop).  The scaler comes from the whole train block, as the
-    weighted fit that follows uses it too.  Candidates are rows of one grouped fit, not a loop.  A
-    group whose tail is shorter than ``MIN_TAIL_ROWS`` cannot choose and keeps weight 1.
+    weighted fit that follows uses it too.  One pass makes the Grams of low and of high rows; every candidate's
+    Gram is their weighted sum.  A group whose tail is shorter than ``MIN_TAIL_ROWS`` cannot choose and keeps weight 1.
     """
     fit = F.col("inner_role") == "fit"
-    candidates = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("high_weight")
     scaler = stage(fit_scaler(df, by, columns))
-    rows = df.where(fit).select("*", candidates)
-    rows = rows.withColumn("_sw", F.when(F.col(y) >= F.col(threshold), F.col("high_weight")).otherwise(F.lit(1.0)))
-    keys = [*by, "high_weight"]
-    solved = solve_ridge(_gram_with_scaler(rows, keys, by, columns, y, scaler), keys, len(columns), [alpha])
-    models = stage(solved.join(scaler, list(by)))
+    high = F.coalesce(F.col(y) >= F.col(threshold), F.lit(False)).alias("_high")
+    grams = gram(df.where(fit).select(*by, *columns, y, high), [*by, "_high"], columns, y, scaler=scaler, scaler_by=by)
+    models = stage(solve_weights(grams, by, len(columns), weights, alpha).join(scaler, list(by)))
     scored = score(df.where(~fit), models, by, columns)
     maes = scored.groupBy(*by, "high_weight").agg(F.avg(F.abs(F.col("pred") - F.col(y))).alias("mae"))
     # a larger weight must beat a smaller one by more than rounding noise
@@ -317,13 +378,6 @@ def choose_weight(df: DataFrame, by: Sequence[str], columns: Sequence[str], thre
     return tails.select(*by, F.when(F.col("_tail") >= MIN_TAIL_ROWS, F.coalesce("_best", F.lit(1.0))).otherwise(F.lit(1.0)).alias("high_weight"))
 
 
-def _gram_with_scaler(rows: DataFrame, keys: Sequence[str], by: Sequence[str], columns: Sequence[str], y: str, scaler: DataFrame) -> DataFrame:
-    joined = rows.join(scaler, list(by))
-    z = [f"_z{i}" for i in range(len(columns))]
-    scaled = joined.withColumns(dict(zip(z, standardised(columns)))).drop(*SCALER_FIELDS)
-    return gram(scaled, keys, z, y, "_sw")
-
-
 def fit_booster(train: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", lambdas: Sequence[float] = BOOSTER_LAMBDAS,
                 rates: Sequence[float] = BOOSTER_RATES, rounds: Sequence[int] = BOOSTER_ROUNDS) -> DataFrame:
     """L2 booster per configuration: the number of sweeps is chosen by MAE on the inner tail, then the

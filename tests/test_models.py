@@ -287,3 +287,39 @@ def test_trees_learn(frame):
 
 def test_specs_are_units():
     assert (HOURLY.step_seconds, DAILY.step_seconds) == (3600, 86400)
+
+
+def test_gram_of_many_groups_holds_few(spark, monkeypatch):
+    """10,000 groups in a batch with room for 40 matrices; NULL keys, a hot group and several key columns."""
+    monkeypatch.setattr(linear, "HELD_CELLS", 40 * 10)
+    rng = np.random.default_rng(12)
+    n = 30_000
+    key = np.where(np.arange(n) % 3 == 0, 7, np.arange(n) % 10_000)  # one group holds a third of all rows
+    pdf = pd.DataFrame({"g": key, "side": np.where(key % 2 == 0, "a", None), "x1": rng.normal(size=n), "x2": rng.normal(size=n), "y": rng.normal(size=n)})
+    df = spark.createDataFrame(pdf, "g long, side string, x1 double, x2 double, y double")
+    df = df.coalesce(1)
+    got = {(r.g, r.side): r for r in linear.gram(df, ["g", "side"], ["x1", "x2"]).collect()}
+    want = pdf.groupby(["g", "side"], dropna=False)
+    assert len(got) == want.ngroups
+    for (g, side), rows in [*list(want)[:300], ((7, None), pdf[pdf.g == 7])]:
+        side = side if isinstance(side, str) else None
+        z = np.column_stack([rows[["x1", "x2", "y"]].to_numpy(), np.ones(len(rows))])
+        np.testing.assert_allclose(got[g, side].cells, (z.T @ z)[np.triu_indices(4)], rtol=1e-9, atol=1e-9)
+        assert got[g, side].n == len(rows)
+
+
+def test_weights_from_two_grams_equal_separate_weighted_fits(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b"], 200), "x1": rng.normal(size=400), "x2": rng.normal(size=400)})
+    pdf["y"] = pdf.x1 + rng.normal(size=400) + np.where(pdf.x2 > 1, 4.0, 0.0)
+    df = spark.createDataFrame(pdf).withColumn("_high", F.col("y") >= 1.5)
+    from panelcast.operators.prep import fit_scaler
+
+    scaler = fit_scaler(df, ["k"], ["x1", "x2"])
+    grams = linear.gram(df, ["k", "_high"], ["x1", "x2"], scaler=scaler, scaler_by=["k"])
+    got = {(r.k, r.high_weight): r for r in linear.solve_weights(grams, ["k"], 2, (1.0, 2.0, 3.0)).collect()}
+    for w in (1.0, 2.0, 3.0):
+        one = linear.fit_ridge(df.withColumn("w", F.when(F.col("_high"), w).otherwise(1.0)), ["k"], ["x1", "x2"], weight="w")
+        for r in one.collect():
+            np.testing.assert_allclose(got[r.k, w].coef, r.coef, rtol=1e-9)
+            assert got[r.k, w].intercept == pytest.approx(r.intercept)
