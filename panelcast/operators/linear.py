@@ -28,7 +28,9 @@ ENET_L1_RATIOS = (0.1, 0.5, 0.9)
 SWEEP_LIMIT, SWEEP_TOLERANCE = 250, 1e-4
 BOOSTER_LAMBDAS = (1e-6, 1e-5, 1e-4, 1e-3, 3e-3, 1e-2)
 BOOSTER_RATES = (0.1, 0.3, 1.0)
-BOOSTER_ROUNDS = (10, 20, 40, 80, 160, 320, 500)
+BOOSTER_SELECTORS = ("cyclic", "shuffle")
+BOOSTER_ROUNDS, BOOSTER_PATIENCE, BOOSTER_LEAST = 300, 40, 10
+SEED = 42
 FINAL_ALPHA = 0.001
 META_ALPHA = 0.001
 
@@ -230,13 +232,17 @@ def _soft(rho: float, limit: float) -> float:
     return np.sign(rho) * max(abs(rho) - limit, 0.0)
 
 
-def _coordinate_descent(xtx, xty, l1: float, l2: float, sweeps: int, tolerance: float, rate: float = 1.0, stops=()):
-    """Cyclic descent on the p × p problem, keeping the gradient current; yields (sweep, weights) at ``stops`` and the end."""
+def _coordinate_descent(xtx, xty, l1: float, l2: float, sweeps: int, tolerance: float, rate: float = 1.0, stops=(), shuffled: bool = False):
+    """Coordinate descent on the p × p problem, keeping the gradient current; yields (sweep, weights) at ``stops`` and the end.
+
+    ``shuffled`` visits the coordinates of every sweep in a new seeded order.
+    """
     p = len(xty)
     w, gradient, diag = np.zeros(p), xty.copy(), np.diag(xtx).copy()
+    draw = np.random.default_rng(SEED)
     for sweep in range(1, sweeps + 1):
         largest = 0.0
-        for j in range(p):
+        for j in draw.permutation(p) if shuffled else range(p):
             denominator = diag[j] + l2
             target = _soft(gradient[j] + diag[j] * w[j], l1) / denominator if denominator > 0 else 0.0
             delta = rate * (target - w[j])
@@ -264,21 +270,87 @@ def solve_elastic_net(grams: DataFrame, by: Sequence[str], p: int, alphas: Seque
     return _solve_groups(grams, by, "alpha double, l1_ratio double, coef array<double>, intercept double", solver)
 
 
-def solve_linear_booster(grams: DataFrame, by: Sequence[str], p: int, lambdas: Sequence[float] = BOOSTER_LAMBDAS, rates: Sequence[float] = BOOSTER_RATES,
-                         rounds: Sequence[int] = BOOSTER_ROUNDS) -> DataFrame:
-    """L2 coordinate descent stopped after each of ``rounds`` sweeps, for early stopping on a tail (MD-11)."""
-    grid, stops = [(float(a), float(r)) for a in lambdas for r in rates], sorted(int(r) for r in rounds)
+def booster_grid(lambdas: Sequence[float] = BOOSTER_LAMBDAS, rates: Sequence[float] = BOOSTER_RATES, selectors: Sequence[str] = BOOSTER_SELECTORS) -> list[tuple[float, float, str]]:
+    return [(float(a), float(r), s) for a in lambdas for r in rates for s in selectors]
+
+
+def booster_path(xtx: np.ndarray, xty: np.ndarray, config: tuple[float, float, str], rounds: int) -> np.ndarray:
+    """Weights after every round of L2 coordinate descent (rounds × p)."""
+    lam, rate, selector = config
+    steps = _coordinate_descent(xtx, xty, 0.0, lam, rounds, 0.0, rate, range(1, rounds + 1), selector == "shuffle")
+    out = [w for sweep, w in steps if sweep]
+    return np.array(out + out[-1:] * (rounds - len(out)))  # a descent that came to rest stays there
+
+
+BOOSTER_KEYS = ("reg_lambda", "rate", "selector")
+
+
+def solve_booster_paths(grams: DataFrame, by: Sequence[str], p: int, grid: Sequence[tuple[float, float, str]], rounds: int) -> DataFrame:
+    """One row for each group and configuration with the flat weights of all rounds (MD-11)."""
 
     def solver(cells, n):
         xtx, xty, y_mean, total = _normal_equations(cells, p)
-        for lam, rate in grid:
-            for sweep, w in _coordinate_descent(xtx / total, xty / total, 0.0, lam, stops[-1], 0.0, rate, set(stops)):
-                if sweep:
-                    yield {"reg_lambda": lam, "rate": rate, "rounds": sweep, "coef": w.tolist(), "intercept": y_mean}
+        for config in grid:
+            yield {**dict(zip(BOOSTER_KEYS, config)), "path": booster_path(xtx / total, xty / total, config, rounds).ravel().tolist(), "intercept": y_mean}
 
-    return _solve_groups(
-        grams, by, "reg_lambda double, rate double, rounds int, coef array<double>, intercept double", solver
-    )
+    return _solve_groups(grams, by, "reg_lambda double, rate double, selector string, path array<double>, intercept double", solver)
+
+
+def path_losses(stop: DataFrame, paths: DataFrame, scaler: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y") -> DataFrame:
+    """Sum of absolute errors on the stopping rows after every round: (by, configuration, _n, _cells).
+
+    Rows travel as blocks of a batch's rows of one group, so a path is copied once for a block, not for a row, and a
+    group with a third of all rows is many blocks.
+    """
+    by, p = list(by), len(columns)
+    rows = stop.where(F.col(y).isNotNull()).join(scaler, by)
+    packed = rows.select(*by, F.array(*standardised(columns)).alias("_z"), F.col(y).cast("double").alias("_y"))
+    keys = _keys_schema(packed, by)
+
+    def blocks(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p)
+            target = batch.column("_y").to_numpy(zero_copy_only=False)
+            code, first = _codes(batch, by)
+            order = np.argsort(code, kind="stable")
+            for index in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                held = [pa.array([v], type=batch.schema.field(k).type) for k, v in zip(by, first[code[index[0]]])]
+                yield pa.RecordBatch.from_arrays([*held, pa.array([z[index].ravel()], pa.list_(pa.float64())), pa.array([target[index]], pa.list_(pa.float64()))], names=[*by, "_z", "_y"])
+
+    def losses(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                target = batch.column("_y")[i].values.to_numpy()
+                z = batch.column("_z")[i].values.to_numpy().reshape(len(target), p)
+                path = batch.column("path")[i].values.to_numpy().reshape(-1, p)
+                off = np.abs(z @ path.T + (batch.column("intercept")[i].as_py() - target)[:, None]).sum(axis=0)
+                out.append((len(target), off))
+            if out:
+                kept = [batch.column(c) for c in (*by, *BOOSTER_KEYS)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([n for n, _ in out], pa.int64()), pa.array([c for _, c in out], pa.list_(pa.float64()))], names=[*by, *BOOSTER_KEYS, "_n", "_cells"])
+
+    tail = packed.mapInArrow(blocks, f"{keys}, _z array<double>, _y array<double>").join(paths, by)
+    parts = tail.mapInArrow(losses, f"{keys}, reg_lambda double, rate double, selector string, _n long, _cells array<double>")
+    return added_up(parts, [*by, *BOOSTER_KEYS])
+
+
+def stopping_round(losses: Column, patience: int = BOOSTER_PATIENCE, least: int = BOOSTER_LEAST) -> Column:
+    """Round (from 1) of the least loss that ``patience`` further rounds did not better; ``least`` at least.
+
+    The state runs along the losses in SQL: (best loss, its round, has it stopped).
+    """
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(False).alias("done"))
+
+    def step(state, loss):
+        k = state["k"] + 1
+        better = ~state["done"] & (loss < state["best"])
+        done = state["done"] | (~better & (k - state["at"] >= patience))
+        return F.struct(F.when(better, loss).otherwise(state["best"]).alias("best"), F.when(better, k).otherwise(state["at"]).alias("at"), k.alias("k"), done.alias("done"))
+
+    return F.least(F.greatest(F.aggregate(losses, start, step)["at"], F.lit(least)), F.size(losses)).cast("int")
 
 
 def with_scaler(models: DataFrame, scaler: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -378,16 +450,28 @@ def choose_weight(df: DataFrame, by: Sequence[str], columns: Sequence[str], thre
     return tails.select(*by, F.when(F.col("_tail") >= MIN_TAIL_ROWS, F.coalesce("_best", F.lit(1.0))).otherwise(F.lit(1.0)).alias("high_weight"))
 
 
-def fit_booster(train: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", lambdas: Sequence[float] = BOOSTER_LAMBDAS,
-                rates: Sequence[float] = BOOSTER_RATES, rounds: Sequence[int] = BOOSTER_ROUNDS) -> DataFrame:
-    """L2 booster per configuration: the number of sweeps is chosen by MAE on the inner tail, then the
-    whole train block is fitted with it (MD-11)."""
+def fit_booster(train: DataFrame, by: Sequence[str], columns: Sequence[str], y: str = "y", lambdas: Sequence[float] = BOOSTER_LAMBDAS, rates: Sequence[float] = BOOSTER_RATES,
+                rounds: int | Sequence[int] = BOOSTER_ROUNDS, selectors: Sequence[str] = BOOSTER_SELECTORS, patience: int = BOOSTER_PATIENCE, least: int = BOOSTER_LEAST) -> DataFrame:
+    """L2 booster per configuration: rounds are chosen by MAE on the inner tail, then the whole train block is fitted
+    with as many (MD-11).
+
+    ``rounds`` is a limit, within which ``patience`` stops, or a list of rounds to choose from.  A group without a tail
+    takes ``least`` rounds.
+    """
+    grid = booster_grid(lambdas, rates, selectors)
+    limit = rounds if isinstance(rounds, int) else max(rounds)
     fit, stop = train.where(F.col("inner_role") == "fit"), train.where(F.col("inner_role") == "stop")
-    p, config = len(columns), ["reg_lambda", "rate"]
+    p, by, config = len(columns), list(by), list(BOOSTER_KEYS)
     scaler = stage(fit_scaler(train, by, columns))
-    paths = stage(with_scaler(solve_linear_booster(gram(fit, by, columns, y, scaler=scaler), by, p, lambdas, rates, rounds), scaler, by))
-    tail = score(stop, paths, by, columns)
-    tail = tail.groupBy(*by, *config, "rounds").agg(F.avg(F.abs(F.col("pred") - F.col(y))).alias("mae"))
-    chosen = tail.groupBy(*by, *config).agg(F.min_by("rounds", F.struct("mae", "rounds")).alias("rounds"))
-    full = with_scaler(solve_linear_booster(gram(train, by, columns, y, scaler=scaler), by, p, lambdas, rates, rounds), scaler, by)
-    return stage(full.join(chosen, [*by, *config, "rounds"], "left_semi"))
+    paths = stage(solve_booster_paths(gram(fit, by, columns, y, scaler=scaler), by, p, grid, limit))
+    losses = path_losses(stop, paths, scaler, by, columns, y).withColumn("_mae", F.transform("_cells", lambda c: c / F.col("_n")))
+    if isinstance(rounds, int):
+        at = stopping_round(F.col("_mae"), patience, least)
+    else:
+        listed = F.array(*[F.struct(F.element_at("_mae", r).alias("mae"), F.lit(r).alias("at")) for r in rounds])
+        at = F.array_min(listed)["at"]
+    chosen = losses.select(*by, *config, at.alias("rounds"), F.array_min("_mae").alias("stop_mae"))
+    full = solve_booster_paths(gram(train, by, columns, y, scaler=scaler), by, p, grid, limit)
+    full = full.join(chosen, [*by, *config], "left").withColumn("rounds", F.coalesce("rounds", F.lit(min(least, limit))))
+    full = full.withColumn("coef", F.slice("path", (F.col("rounds") - 1) * p + 1, F.lit(p))).drop("path")
+    return stage(with_scaler(full, scaler, by))

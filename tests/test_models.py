@@ -323,3 +323,46 @@ def test_weights_from_two_grams_equal_separate_weighted_fits(spark):
         for r in one.collect():
             np.testing.assert_allclose(got[r.k, w].coef, r.coef, rtol=1e-9)
             assert got[r.k, w].intercept == pytest.approx(r.intercept)
+
+
+def test_booster_stops_where_a_replay_stops(spark):
+    from panelcast.operators.prep import fit_scaler
+    from panelcast.operators.trees import best_rounds
+
+    rng = np.random.default_rng(21)
+    n = 240
+    pdf = pd.DataFrame({"k": np.repeat(["a", "b"], n // 2), "i": np.tile(np.arange(n // 2), 2), **{f"x{j}": rng.normal(size=n) for j in range(3)}})
+    pdf["y"] = pdf.x0 - 2 * pdf.x1 + np.where(pdf.k == "a", 0.1, 3.0) * rng.normal(size=n)
+    pdf["inner_role"] = np.where(pdf.i < 90, "fit", "stop")
+    pdf.loc[(pdf.k == "a") & (pdf.i >= 90), "y"] *= 0.4  # the tail wants smaller weights: stops early
+    columns, grid = ["x0", "x1", "x2"], linear.booster_grid((1e-6, 1e-2, 0.5), (0.05, 0.3))
+    assert len(linear.booster_grid()) == 36
+    df = spark.createDataFrame(pdf)
+    got = linear.fit_booster(df, ["k"], columns, lambdas=(1e-6, 1e-2, 0.5), rates=(0.05, 0.3), rounds=60, patience=5, least=3).collect()
+    assert len(got) == 2 * len(grid) and len({(r.k, r.reg_lambda, r.rate, r.selector) for r in got}) == len(got)
+    scalers = {r.k: r for r in fit_scaler(df, ["k"], columns).collect()}
+    stopped = set()
+    for r in got:
+        part, s = pdf[pdf.k == r.k], scalers[r.k]
+        z = (part[columns].to_numpy() - np.array(s.means)) / np.array(s.scales)
+        y, fit = part.y.to_numpy(), (part.inner_role == "fit").to_numpy()
+
+        def path(rows):
+            yc = y[rows] - y[rows].mean()
+            return linear.booster_path(z[rows].T @ z[rows] / rows.sum(), z[rows].T @ yc / rows.sum() - z[rows].mean(axis=0) * yc.mean(), (r.reg_lambda, r.rate, r.selector), 60)
+
+        losses = [np.abs(z[~fit] @ w + y[fit].mean() - y[~fit]).mean() for w in path(fit)]
+        assert r.rounds == best_rounds(losses, patience=5, minimum=3)
+        assert r.stop_mae == pytest.approx(min(losses))
+        np.testing.assert_allclose(r.coef, path(np.ones(len(part), bool))[r.rounds - 1], rtol=1e-7, atol=1e-9)
+        stopped.add(r.rounds)
+    assert len(stopped) > 2
+
+
+def test_stopping_round_in_sql(spark):
+    from panelcast.operators.trees import best_rounds
+
+    rng = np.random.default_rng(22)
+    rows = [(i, [float(v) for v in np.round(rng.normal(size=30).cumsum() ** 2, 1)]) for i in range(40)] + [(40, [1.0] * 30), (41, [2.0])]
+    got = spark.createDataFrame(rows, "i int, losses array<double>").select("i", linear.stopping_round(F.col("losses"), 6, 1).alias("at")).collect()
+    assert {r.i: r["at"] for r in got} == {i: best_rounds(v, 6, 1) for i, v in rows}
