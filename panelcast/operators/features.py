@@ -174,26 +174,22 @@ def interactions(pairs: Sequence[tuple[str, str, str]]) -> dict[str, Column]:
 def lag_alignment(df: DataFrame, spec: PanelSpec, target: str, lags: Mapping[str, int], tolerance: float = 1e-9) -> DataFrame:
     """Audit: does each stored lag equal the target that many steps earlier? (FE-19)
 
-    The expected value comes from an independent equi-join on the shifted step index.
+    The expected value comes from an independent equi-join on the shifted step index: one join for all lags.
     """
     base = with_index(df.select(*spec.key, target, *lags), spec, "_i")
-    parts = []
-    source = base.select(*spec.keys, F.col("_i").alias("_si"), F.col(target).alias("_expected"))
-    for column, steps in lags.items():
-        shifted = source.withColumn("_i", F.col("_si") + F.lit(steps)).drop("_si")
-        joined = base.select(*spec.keys, "_i", F.col(column).alias("_stored")).join(shifted, [*spec.keys, "_i"], "left")
-        both = F.col("_stored").isNotNull() & F.col("_expected").isNotNull()
-        worst = F.coalesce(F.max(F.when(both, F.abs(F.col("_stored") - F.col("_expected")))), F.lit(0.0))
-        parts.append(joined.agg(
-            F.lit(column).alias("feature"), F.lit(steps).alias("lag"),
-            F.count_if(both).alias("compared"), worst.alias("max_abs_diff"),
-            F.count_if(F.col("_stored").isNull() & F.col("_expected").isNotNull()).alias("null_mismatch"),
-            (worst <= tolerance).alias("pass"),
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(k).alias("lag")) for c, k in lags.items()])).alias("_l")
+    source = base.select(*spec.keys, "_i", F.col(target).alias("_expected"), steps)
+    source = source.select(*spec.keys, (F.col("_i") + F.col("_l.lag")).alias("_i"), "_l.feature", "_expected")
+    stored = base.select(*spec.keys, "_i", *[F.col(c).cast("double").alias(c) for c in lags]).unpivot([*spec.keys, "_i"], list(lags), "feature", "_stored")
+    joined = stored.join(source, [*spec.keys, "_i", "feature"], "left")
+    both = F.col("_stored").isNotNull() & F.col("_expected").isNotNull()
+    worst = F.coalesce(F.max(F.when(both, F.abs(F.col("_stored") - F.col("_expected")))), F.lit(0.0))
+    lag = F.element_at(F.create_map(*[F.lit(x) for pair in lags.items() for x in pair]), F.col("feature"))
+    return joined.groupBy("feature", lag.alias("lag")).agg(
+        F.count_if(both).alias("compared"), worst.alias("max_abs_diff"),
+        F.count_if(F.col("_stored").isNull() & F.col("_expected").isNotNull()).alias("null_mismatch"),
+        (worst <= tolerance).alias("pass"),
+    )
 
 
 def shares_at(

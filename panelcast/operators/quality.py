@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from panelcast.contract import PanelSpec
 from panelcast.functions.numeric import INF, all_present, any_present
 from panelcast.functions.quantiles import quantiles
-from panelcast.operators.grid import expected_grid, missing_steps, step_report
+from panelcast.functions.timefn import index_instant, step_index
+from panelcast.operators.grid import bounds, step_report
 
 
 def _ratio(num: Column, den: Column, scale: float = 100.0) -> Column:
@@ -39,17 +40,19 @@ def index_checks(df: DataFrame, spec: PanelSpec, expected_rows: int | None = Non
     """Long table ``(keys, check_name, ok, detail)`` about the time index of each series (QC-1)."""
     keys = list(spec.keys)
     ts = F.col(spec.ts)
+    at = step_index(ts, spec.step_seconds)
     # count per key first: a plain count of groups then replaces count(distinct)
     per_key = df.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_c"))
     base = per_key.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(ts.isNull(), F.col("_c"))), F.lit(0)).alias("unparsed"),
         F.coalesce(F.sum(F.when(ts.isNotNull(), F.col("_c") - 1)), F.lit(0)).alias("duplicates"),
         F.count(ts).alias("unique_ts"),
+        # steps from the first to the last observation without a row of their own: arithmetic, no grid
+        (F.max(at) - F.min(at) + 1 - F.count_if(index_instant(at, spec.step_seconds) == ts)).alias("missing"),
     )
     unique = per_key.where(ts.isNotNull()).select(*spec.key)
-    gaps = missing_steps(unique, spec).groupBy(*keys).agg(F.count(F.lit(1)).alias("missing"))
     steps = step_report(unique, spec).select(*keys, "bad_steps")
-    one = base.join(gaps, keys, "left").join(steps, keys, "left").fillna(0, ["missing", "bad_steps"])
+    one = base.join(steps, keys, "left").fillna(0, ["missing", "bad_steps"])
     expected = F.lit(expected_rows) if expected_rows is not None else F.col("unique_ts")
     checks = {
         "unparsed": (F.col("unparsed") == 0, F.col("unparsed")),
@@ -288,4 +291,5 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def grid_size(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    return expected_grid(df, spec).groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("expected_rows"))
+    """Steps from the first to the last observation of each series."""
+    return bounds(df.select(*spec.key), spec).select(*spec.keys, (F.col("last_idx") - F.col("first_idx") + 1).alias("expected_rows"))

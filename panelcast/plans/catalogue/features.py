@@ -255,6 +255,21 @@ def feature_lag_audit(spark, sf):
     return features.lag_alignment(stored, DAILY, "y", {"y_lag_1": 1, "y_lag_2": 2, "y_lag_7": 7})
 
 
+@query("feature_lag_audit_faults", ["daily"], sql="""
+  WITH stored AS (SELECT series_id, ts, y, pos, lag(y, 1) OVER w AS y_lag_1, CASE WHEN pos % 50 = 9 THEN NULL ELSE lag(y, 2) OVER w END AS y_lag_2,
+      CASE WHEN pos % 40 = 3 THEN lag(y, 6) OVER w ELSE lag(y, 7) OVER w END AS y_lag_7 FROM daily WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+    long AS (SELECT series_id, ts, 'y_lag_1' AS feature, 1 AS lag, y_lag_1 AS s FROM stored UNION ALL SELECT series_id, ts, 'y_lag_2', 2, y_lag_2 FROM stored UNION ALL SELECT series_id, ts, 'y_lag_7', 7, y_lag_7 FROM stored)
+  SELECT l.feature, l.lag, count(*) FILTER (WHERE s IS NOT NULL AND e.y IS NOT NULL) AS compared, coalesce(max(abs(s - e.y)), 0) AS max_abs_diff,
+    count(*) FILTER (WHERE s IS NULL AND e.y IS NOT NULL) AS null_mismatch, coalesce(max(abs(s - e.y)), 0) <= 1e-9 AS pass
+  FROM long l LEFT JOIN daily e ON e.series_id = l.series_id AND e.ts = l.ts - INTERVAL 1 DAY * l.lag GROUP BY 1, 2
+""", doubles=["max_abs_diff"], whole=["lag", "null_mismatch"])
+def feature_lag_audit_faults(spark, sf):
+    """FE-19 on a table with a shifted and a lost lag: both faults are found."""
+    d = History(DAILY).lag("y", 1).lag("y", 2).lag("y", 6, "six").lag("y", 7).apply(views.daily(spark, sf))
+    d = d.withColumns({"y_lag_2": F.when(F.col("pos") % 50 != 9, F.col("y_lag_2")), "y_lag_7": F.when(F.col("pos") % 40 == 3, F.col("six")).otherwise(F.col("y_lag_7"))})
+    return features.lag_alignment(d.drop("six"), DAILY, "y", {"y_lag_1": 1, "y_lag_2": 2, "y_lag_7": 7})
+
+
 @query("feature_availability_by_row", ["panel"], sql=f"""
   SELECT lag, delay, hour({LOCAL}) AS local_hour, count(*) AS n, count(*) FILTER (WHERE ts - INTERVAL 1 HOUR * (lag - delay) <=
       timezone('UTC', timezone('Europe/Madrid', date_trunc('day', {LOCAL}) - INTERVAL 12 HOUR))) AS known

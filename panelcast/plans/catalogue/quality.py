@@ -132,6 +132,29 @@ def quality_final_checks(spark, sf):
     return quality.final_checks(views.panel(spark, sf), HOURLY, "y", ["y", "total"], ["total", "n"])
 
 
+DAMAGED = """(SELECT series_id, ts, y, total, n FROM panel WHERE pos % 97 <> 5 UNION ALL SELECT series_id, ts, y, total, n FROM panel WHERE pos % 89 = 7 AND pos % 97 <> 5
+    UNION ALL SELECT series_id, ts, y, total + 1, n FROM panel WHERE pos % 83 = 11 AND pos % 97 <> 5)"""
+
+
+@query("quality_final_checks_faults", ["panel"], sql=f"""
+  WITH d AS {DAMAGED}, copies AS (SELECT series_id, sum(c - 1) AS copies FROM (SELECT series_id, count(*) AS c FROM d GROUP BY series_id, ts, y, total, n) GROUP BY 1),
+    uq AS (SELECT series_id, ts, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS gap FROM (SELECT DISTINCT series_id, ts FROM d)),
+    steps AS (SELECT series_id, count(*) AS uq, date_diff('hour', min(ts), max(ts)) + 1 - count(*) AS gone, count(*) FILTER (WHERE gap <> INTERVAL 1 HOUR) AS bad FROM uq GROUP BY 1)
+  SELECT series_id, u.check_name, u.ok, u.detail FROM (
+    SELECT q.*, copies, q.n - uq AS dup, gone, bad FROM (SELECT series_id, count(*) AS n, count(*) FILTER (WHERE y IS NULL) AS miss, min(y) AS lo, max(y) AS hi,
+      avg(CASE WHEN total IS NOT NULL AND n IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate,
+      count(*) FILTER (WHERE isinf(y) OR isinf(total)) AS inf FROM d GROUP BY 1) q JOIN copies USING (series_id) JOIN steps USING (series_id)),
+  LATERAL (VALUES ('row_count', n > 0, n::DOUBLE), ('duplicate_timestamp', dup = 0, dup), ('missing_timestamp', gone = 0, gone), ('monotonic_timestamp', bad = 0, bad),
+    ('target_missing_count', miss = 0, miss), ('target_min', true, lo), ('target_max', true, hi), ('side_match_rate', rate = 1, rate),
+    ('infinite_values', inf = 0, inf), ('duplicate_rows', copies = 0, copies)) u(check_name, ok, detail)
+""", doubles=["detail"], places=8)
+def quality_final_checks_faults(spark, sf):
+    """QC-8 on a damaged panel: lost steps, exact copies and second rows of a step, so that the checks fail."""
+    rows = views.panel(spark, sf).where("pos % 97 <> 5").select("series_id", "ts", "y", "total", "n", "pos")
+    rows = rows.unionByName(rows.where("pos % 89 = 7")).unionByName(rows.where("pos % 83 = 11").withColumn("total", F.col("total") + 1))
+    return quality.final_checks(rows.drop("pos"), HOURLY, "y", ["y", "total"], ["total", "n"])
+
+
 @query("quality_match_rate", ["panel"], sql="""
   SELECT series_id, avg(CASE WHEN y IS NOT NULL AND total IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS match_rate FROM panel GROUP BY 1
 """, doubles=["match_rate"], places=8)
