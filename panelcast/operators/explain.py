@@ -63,7 +63,9 @@ def permutation_importance(df: DataFrame, models: DataFrame, by: Sequence[str],
     a = F.lit(PRIMES[2])
     for prime in (PRIMES[1], PRIMES[0]):
         a = F.when(n % prime != 0, F.lit(prime)).otherwise(a)
-    b = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), n)
+    # the first 32 bits of a digest of key and seed: any engine can repeat the map
+    named = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    b = F.pmod(F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long"), n)
     placed = rows.join(sizes, keys).withColumn("_p", F.pmod(a * F.col("_i") + b, n))
     donors = rows.select(*keys, F.col("_i").alias("_p"), *[F.col(c).alias(f"{c}s") for c in z])
     paired = placed.join(donors, [*keys, "_p"])

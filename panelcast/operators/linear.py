@@ -45,6 +45,12 @@ def naive_prediction(lag: str) -> Column:
     return F.coalesce(F.col(lag), F.raise_error(F.lit(f"naive prediction: {lag} is NULL")).cast("double"))
 
 
+def naive_forecast(df: DataFrame, lag: str, name: str = "pred") -> DataFrame:
+    """Rows with the naive prediction; a row without it fails the job whatever columns are read afterwards (MD-1)."""
+    known = F.when(F.col(lag).isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit(f"naive prediction: {lag} is NULL")).cast("boolean"))
+    return df.where(known).withColumn(name, F.col(lag))
+
+
 def mean_of_lags(lags: Sequence[str]) -> Column:
     return strict_mean([F.col(c) for c in lags])
 

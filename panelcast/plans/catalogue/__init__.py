@@ -6,7 +6,7 @@ import importlib
 
 from panelcast.plans.registry import ORACLE, QUERIES
 
-FAMILIES = ("time", "quality", "cleaning", "features", "splits", "evaluation", "residuals", "models", "explain", "storage")
+FAMILIES = ("time", "quality", "cleaning", "features", "splits", "evaluation", "residuals", "models", "explain", "storage", "closed")
 
 
 def _load() -> None:

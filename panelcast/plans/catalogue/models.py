@@ -35,7 +35,7 @@ CRAMER = """(n * c1 * (n + {a}) - n * r * n * c2) / ((n + {a}) * (n + {a}) - n *
 @query("model_naive", ["scored"], sql="SELECT series_id, ts, lag_7d AS pred FROM scored", doubles=["pred"], stamps=["ts"])
 def model_naive(spark, sf):
     """MD-1: last known value of the same weekday; NULLs rejected."""
-    return views.scored(spark, sf).select("series_id", "ts", linear.naive_prediction("lag_7d").alias("pred"))
+    return linear.naive_forecast(views.scored(spark, sf).drop("pred"), "lag_7d").select("series_id", "ts", "pred")
 
 
 @query("model_mean_of_lags", ["daily"], sql="""

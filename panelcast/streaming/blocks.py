@@ -20,8 +20,9 @@ def correct_blocks(asked: DataFrame, actuals: DataFrame, state: DataFrame, step_
 
     ``asked``: stream ``(series_id, ts timestamp, step, pred)`` with ``step`` counted from the start
     of the scored range.  ``actuals``: stream ``(series_id, ts timestamp, step, y, pred)``; step −1
-    is the last training step.  ``state``: static ``(series_id, phi)``.  A block whose preceding
-    actual never arrives is emitted uncorrected once the watermark has passed.
+    is the last training step.  ``state``: static ``(series_id, phi)``; a series without one is not
+    corrected (phi 0), as in the batch form.  A block whose preceding actual never arrives is emitted
+    uncorrected once the watermark has passed.
     """
     wanted = asked.withWatermark("ts", late_by).select(
         "series_id", "ts", F.col("step").cast("long").alias("step"), F.col("pred").cast("double").alias("pred"),
@@ -37,7 +38,7 @@ def correct_blocks(asked: DataFrame, actuals: DataFrame, state: DataFrame, step_
         (F.col("series_id") == F.col("d_series")) & (F.col("block") == F.col("d_block"))
         & (F.col("d_ts") < F.col("ts")) & (F.col("d_ts") >= F.col("ts") - reach)
     )
-    paired = wanted.join(donors, on, "left_outer").join(state.select("series_id", "phi"), "series_id")
+    paired = wanted.join(donors, on, "left_outer").join(state.select("series_id", "phi"), "series_id", "left")
     k = F.pmod(F.col("step"), F.lit(block)) + 1
     add = F.coalesce(F.pow(F.col("phi"), k) * F.col("error"), F.lit(0.0))
     return paired.select("series_id", "ts", "step", "pred", add.alias("ar_add"), (F.col("pred") + add).alias("corrected"))
