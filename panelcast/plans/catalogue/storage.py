@@ -23,6 +23,7 @@ from panelcast.sources.models import read_model, write_model
 from panelcast.sources.staging import staging_root
 from panelcast.sources.tables import SplitCatalog, read_csv, write_splits, write_summary
 from panelcast.streaming.blocks import correct_blocks
+from panelcast.streaming.keyed import correct_blocks_keyed
 
 
 def folder(spark, name: str) -> str:
@@ -135,6 +136,16 @@ def prep_scaler_rows(spark, sf):
 @query("residual_stream_blocks")
 def residual_stream_blocks(spark, sf):
     """ST-1: the block correction run as a stream over the same rows; equals the batch result."""
+    return streamed(spark, sf, correct_blocks)
+
+
+@query("residual_stream_keyed")
+def residual_stream_keyed(spark, sf):
+    """ST-1 with keyed state and a timer for every block; equals the batch result."""
+    return streamed(spark, sf, correct_blocks_keyed)
+
+
+def streamed(spark, sf, correct):
     rows = scored_block(spark, sf)
     key = F.concat_ws("|", "series_id", "fold").alias("series_id")
     ts = F.col("ts").cast("timestamp").alias("ts")
@@ -148,7 +159,7 @@ def residual_stream_blocks(spark, sf):
     )
     rows.select(key, ts, step, "y", "pred").unionByName(start).write.parquet(known)
     schema = "series_id string, ts timestamp, step long, {}pred double"
-    stream = correct_blocks(
+    stream = correct(
         spark.readStream.schema(schema.format("")).parquet(asked), spark.readStream.schema(schema.format("y double, ")).parquet(known),
         first.select(key, "phi"), step_seconds=86400, late_by="40 days",
     )
@@ -161,4 +172,4 @@ def residual_stream_blocks(spark, sf):
 
 
 # the stream must give what the batch query gives
-ORACLE["residual_stream_blocks"] = ORACLE["residual_ar1_blocks"]
+ORACLE["residual_stream_blocks"] = ORACLE["residual_stream_keyed"] = ORACLE["residual_ar1_blocks"]
