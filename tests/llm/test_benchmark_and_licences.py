@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate as dc
 from panelcast.llm import license_scan as ls
@@ -139,3 +140,57 @@ def test_licences_awkward(spark, model):
     with_null = docs(spark, ["All rights reserved."] * 2).selectExpr("* EXCEPT (doc_id)", "bigint(NULL) AS doc_id")
     assert {(r.doc_id, r.family) for r in ls.scan(with_null, model).collect()} == {(None, "proprietary")}
     assert ls.fit(empty(spark)).threshold >= ls.LEAST_PROBABILITY
+
+
+PROBES = [
+    "SPDX-License-Identifier: EUPL-1.2", "Licensed under the GNU GPL.", "This file is under the zlib license.", "Alle Rechte vorbehalten.", "Licensed under the GNU General Public License.",
+    "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike licence of 2010.", "This file is licensed under the terms of the FooBar Public License.", "Distributed under the CDDL license, see the LICENSE file.",
+]
+
+
+def test_licences_outside_the_families_are_unknown(spark, model):
+    got = ls.scan(docs(spark, PROBES), model).collect()
+    assert {r.doc_id for r in got} == set(range(len(PROBES)))
+    assert {r.family for r in got} == {ls.UNKNOWN}
+
+
+def test_bars_are_calibrated_on_rows_with_licence_words(spark, model):
+    rows = ls.training_rows(spark, docs(spark, [PLAIN + f" {i}" for i in range(300)]), 100)
+    corpus = rows.where("label = 'none'").where(~F.col("text").isin(list(ls.NEAR_MISSES)))
+    assert rows.where("label <> 'none'").where(F.col("text").contains("river")).count() > 20  # licences among other words
+    assert 100 <= corpus.count() <= 200  # the sample's bound holds whatever the passages of a document
+    held = rows.where("held_out AND label = 'none'")
+    assert held.where(F.col("text").rlike(f"(?i){ls.LICENCE_WORDS}")).count() > 10
+    misses = ls.scan(docs(spark, list(ls.NEAR_MISSES) + [PLAIN[:40] + " license " + PLAIN[40:], "He copyright the conditions of a public garden."]), model)
+    assert misses.count() <= 1
+
+
+def test_first_stage_passes_licences_on(spark, model):
+    """Recall of the cheap stage on templates, their halves and licences outside the families, among other words."""
+    texts = [p for t in ls.TEMPLATES.values() for x in t for p in ls.parts_of(x)] + list(ls.OTHER_LICENCES) + PROBES
+    texts += [f"{PLAIN[:60]} {t} {PLAIN[60:100]}" for t in texts]
+    rows = docs(spark, texts).select("doc_id", "text", ls.words_of(F.col("text")).alias("words"))
+    passed = ls.classify(rows, model.first, model.families).where(F.col("licence") >= model.passed_on).count()
+    assert model.passed_on > 1e-4 and passed >= 0.99 * len(texts)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 16 << 20])
+def test_long_passages_of_licence_words(spark, model, size):
+    """One line of megabytes, all licence words, a real licence far inside: bounded windows, nothing dropped."""
+    words = "license copyright permission reserved warranty of the terms and conditions "
+    noise = words * (size // 2 // len(words))
+    text = noise + " quiet river bank " * 200 + "Licensed under the Apache License, Version 2.0." + " quiet river bank" * 200 + noise
+    got = ls.scan(docs(spark, [text]).coalesce(1), model).collect()
+    assert any(r.family == "Apache-2.0" for r in got) or any(r.predicted == "Apache-2.0" for r in got)
+    widest = ls.passages(docs(spark, [text])).agg(F.max(F.length("text"))).first()[0]
+    assert widest <= ls.WINDOW + ls.OVERLAP
+
+
+def test_windows_cover_everything(spark):
+    texts = ["word " * 2000, "x" * 5000, "a" * 1600, "a" * 1601, ("y" * 3000 + " ") * 3]
+    got = {}
+    for r in ls.windows(docs(spark, texts).select("doc_id", "text")).collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    for i, t in enumerate(texts):
+        assert sum(len(w) for w in got[i]) >= len(t.rstrip()) and all(w in t for w in got[i])
+        assert all(t[k : k + 300].strip() in " ".join(got[i]) or any(t[k : k + 300].strip() in w for w in got[i]) for k in range(0, len(t) - 300, 97))
