@@ -1,6 +1,6 @@
 """Byte-level BPE by a monoid tree.
 
-A long text is halved until leaves of at most 8,192 characters are left; leaves are encoded by the
+A text is halved until leaves of at most 512 characters are left; leaves are encoded by the
 library and neighbours are joined up the tree.  A join re-encodes a window around the seam that
 grows until it ends, on both sides, where the tokens outside provably stay: at a blank or line end
 behind a letter or digit.  No match of the split pattern holds white space behind another character,
@@ -17,7 +17,6 @@ others, other columns are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import text_batches
 
-LEAF = 8192
+LEAF = 512
 #: Characters on either side of a seam in the first window; doubled until both ends are stable.
 WINDOW = 32
 
@@ -137,29 +136,8 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(text_of_ids(ranks_path, pattern), "doc_id long, ids binary, bytes binary")
 
 
-def digest_batches(ranks_path: str, pattern: str):
-    """Both ways in one task: the ids of every text and the bytes they decode to, as digests."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(ranks_path), pattern)
-        for batch in batches:
-            for first, texts in text_batches(batch, "text"):
-                n, of_ids, of_bytes = [], [], []
-                for t in texts:
-                    ids = codec.encode(t.decode())
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return run
-
-
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Lazy: doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(digest_batches(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """Lazy: doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of each document, from its encoded ids and what they decode to."""
+    found = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    n = F.expr("cast(octet_length(ids) div 4 AS long)")
+    return found.select("doc_id", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -76,7 +76,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
-    return bpe.round_trip(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN).drop("ids")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
