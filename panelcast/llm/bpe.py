@@ -136,8 +136,13 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(text_of_ids(ranks_path, pattern), "doc_id long, ids binary, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def coded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Lazy: doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of each document, from its encoded ids and what they decode to."""
     found = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
     n = F.expr("cast(octet_length(ids) div 4 AS long)")
     return found.select("doc_id", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Lazy: doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    return coded(docs, ranks_path, pattern).drop("ids")
