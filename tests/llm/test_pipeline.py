@@ -38,13 +38,13 @@ def test_stage_awkward(spark, sf, name, stage):
 
 def test_queries_are_registered():
     assert "pipeline" in entry.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in entry.queries() if k.startswith("op")) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op7_url_filter"])
+@pytest.mark.parametrize("name", ["op5_exact_dedup", "op7_url_filter", "op13_centroids"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in cur.description]
