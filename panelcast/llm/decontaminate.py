@@ -31,7 +31,7 @@ from panelcast.sources.staging import stage
 WIDTH = 8
 RUN = 6
 NAME, NUMBER, UNIT, POINT = "", "", "", ""
-#: Benchmark windows up to this many are broadcast (eight bytes each); more are joined by shuffle.
+#: Benchmark windows, and documents with any of them, up to this many are broadcast (eight bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 # Unit names and symbols that may follow a number.
 UNITS = (
@@ -92,9 +92,11 @@ def words_of_forms(rows: DataFrame, *keys: str) -> DataFrame:
 def windows(rows: DataFrame, *keys: str, at: str | None = None) -> DataFrame:
     """keys, n_words, pos, raw, form, hash, canon (eight words each, joined by blanks) of windows of ``rows``' text in each form: all, or those at the positions ``at``."""
     parts = words_of_forms(rows, *keys, *([at] if at else []))
-    joined = lambda k, i: F.array_join(F.slice(f"_{k}", i, WIDTH), " ")
-    each = F.transform(F.col(at) if at else F.sequence(F.lit(1), F.size("_0") - WIDTH + 1), lambda i: F.struct(i.alias("pos"), F.array(*(joined(k, i) for k in range(3))).alias("forms")))
-    long = parts.where(F.size("_0") >= WIDTH).select(*keys, F.size("_0").alias("n_words"), F.explode(each).alias("w"))
+    # single elements: a slice of a long array reads all of it, for every window
+    joined = lambda k, i: F.concat_ws(" ", *(F.get(f"_{k}", i - 1 + j) for j in range(WIDTH)))
+    places = F.col(at) if at else F.sequence(F.lit(1), F.size("_0") - WIDTH + 1)
+    each = F.transform(F.when(F.size("_0") >= WIDTH, places), lambda i: F.struct(i.alias("pos"), F.array(*(joined(k, i) for k in range(3))).alias("forms")))
+    long = parts.select(*keys, F.size("_0").alias("n_words"), F.explode(each).alias("w"))
     long = long.select(*keys, "n_words", "w.pos", F.col("w.forms")[0].alias("raw"), F.posexplode("w.forms").alias("form", "canon"))
     return long.withColumn("hash", hash_of(F.col("canon")))
 
@@ -136,6 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes = F.broadcast(hashes)
     found_docs = stage(hits(docs, hashes))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    number = F.xxhash64("doc_id", "text_key").alias("number")
+    numbers = found_docs.select(number).distinct()
+    if numbers.count() <= BROADCAST_WINDOWS:  # else all texts are shuffled for the join below
+        keyed = keyed.select("*", number).join(F.broadcast(numbers), "number", "left_semi").drop("number")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
     texts = keyed.alias("d").join(found_docs.alias("f"), same, "inner").select("d.doc_id", "d.text_key", "d.text", "f.at")
     of_docs = windows(texts, "doc_id", "text_key", at="at").where("form = 0 OR canon <> raw").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
