@@ -31,7 +31,8 @@ from panelcast.sources.staging import stage
 WIDTH = 8
 RUN = 6
 NAME, NUMBER, UNIT, POINT = "", "", "", ""
-#: Benchmark windows, and documents with any of them, up to this many are broadcast (eight bytes each); more are joined by shuffle.
+#: Benchmark windows, and places of documents where any of them stands, up to this many are broadcast (eight bytes each); more
+#: are joined by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 # Unit names and symbols that may follow a number.
 UNITS = (
@@ -138,10 +139,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes = F.broadcast(hashes)
     found_docs = stage(hits(docs, hashes))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    number = F.xxhash64("doc_id", "text_key").alias("number")
-    numbers = found_docs.select(number).distinct()
-    if numbers.count() <= BROADCAST_WINDOWS:  # else all texts are shuffled for the join below
-        keyed = keyed.select("*", number).join(F.broadcast(numbers), "number", "left_semi").drop("number")
+    size = found_docs.agg(F.count("*").alias("docs"), F.sum(F.size("at")).alias("places")).first()
+    if size.docs + (size.places or 0) <= BROADCAST_WINDOWS:
+        found_docs = F.broadcast(found_docs)  # else texts are shuffled for the join
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
     texts = keyed.alias("d").join(found_docs.alias("f"), same, "inner").select("d.doc_id", "d.text_key", "d.text", "f.at")
     of_docs = windows(texts, "doc_id", "text_key", at="at").where("form = 0 OR canon <> raw").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
