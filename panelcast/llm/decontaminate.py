@@ -16,8 +16,9 @@ all but one windows of an item with fewer, has at least half of its words, round
 Each (document, item) is reported.  Items under eight words cannot be told from chance and are not searched.
 
 Only DataFrame functions.  Defined cases: null or short text is clean; a null ``doc_id`` is a document
-like others; null items and repeated items count once; repeated rows are reported once; other columns
-are ignored; an empty documents or benchmark table finds nothing.
+like others; null items and repeated items count once; repeated rows are reported once; a very long
+text is read whole, by the words of one row; where several forms of a window hold, a verbatim one counts, then the one with
+more literal words; other columns are ignored, whatever their names; an empty documents or benchmark table finds nothing.
 """
 
 from __future__ import annotations

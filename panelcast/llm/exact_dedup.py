@@ -8,7 +8,8 @@ kilobytes of text: equal lists mean equal texts, and only lists are grouped and
 
 Defined cases: null text counts as empty, and all empty texts are equal.  A null ``doc_id`` loses
 every tie.  Repeated rows are members of their group like any other row, and one of them stays.
-Columns other than ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
+A very long text is a list of chunk identifiers; rows of equal length are told apart by ``doc_id``.  Columns other than ``doc_id`` and
+``text`` are ignored, or carried along by ``drop_duplicates``, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

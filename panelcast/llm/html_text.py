@@ -8,7 +8,9 @@ decided neighbours, inside the same article if it stands in one; headings look a
 
 Defined cases: null or empty html, or a page without main text, gives the empty text.  Broken markup
 (open tags, open quotes, a page that ends in a tag) is read as far as it goes.  Repeated rows and null
-ids are kept, other columns are ignored.
+ids are kept, other columns are ignored, whatever their names; a very long page is read whole, an empty table gives an empty result.
+Between two decided neighbours at equal distance an undecided block is text inside an article only if one of them is, and
+elsewhere only if both are.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ of the mass, so any text has a probability.  Words of a batch are scored once ea
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is everything when
 nothing could be learned.  Rows with null ``lang`` or ``doc_id`` are predicted but not learned from.
-Ties go to the smallest language name.  Repeated rows get equal predictions.
+Ties go to the smallest language name.  A very long
+text is scored whole.  Other columns are ignored, or carried along by ``keep_determined``, whatever their names; an empty table
+gives an empty result.  Repeated rows get equal predictions.
 """
 
 from __future__ import annotations

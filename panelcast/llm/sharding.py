@@ -11,7 +11,9 @@ Slots are gapless from 0 in each shard: rows are numbered inside buckets of a sh
 offset by the counts before them, so no task sees a whole shard.
 
 Defined cases: null text weighs nothing, has crc 0 and is grouped with empty text.  Null doc_ids come
-first in their bucket.  Repeated rows are rows of their group.  An empty table gives an empty result.
+first in their bucket.  Repeated rows are rows of their group.  A very long text
+only counts its bytes.  Items of equal size go in order of their key, equally loaded shards in order of their number.  Other
+columns are ignored, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

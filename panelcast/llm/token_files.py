@@ -13,7 +13,8 @@ Layout of a file set (Parquet as the container, written by Spark into one folder
 * ``parts``  part, before (ids of all documents before the part).
 
 Defined cases: null or empty text is the end id alone.  Null doc_ids come first.  Repeated rows are
-encoded like others.  An empty table gives empty files and an empty result.
+encoded like others.  A very long text is encoded whole and lies in one block.  Ids with codes of equal length get them in order
+of id.  Other columns are ignored, whatever their names.  An empty table gives empty files and an empty result.
 """
 
 from __future__ import annotations

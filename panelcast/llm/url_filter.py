@@ -12,7 +12,8 @@ Trees are built from distinct (host, path shape) rows, digits being one shape, a
 by a salted join, so a host with a third of all urls is spread.  Only DataFrame functions.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and is judged like any
-host; segments past ``DEPTH`` are kept as one.  Repeated rows get equal verdicts, null ids are kept,
+host; segments past ``DEPTH`` are kept as one.  A very long url is cut
+into segments like any other.  Of rules that fit, the longest wins.  Repeated rows get equal verdicts, null ids are kept,
 other columns are ignored, an empty table gives an empty result.
 """
 
