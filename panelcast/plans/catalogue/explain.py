@@ -27,7 +27,8 @@ def fixed_model(df, by):
 
     scaler = fit_scaler(df, FLAG, X)
     model = scaler.withColumn("coef", F.array(*[F.lit(w) for w in WEIGHTS.values()])).withColumn("intercept", F.lit(38.0))
-    return model
+    # staged, so that its measured size picks the join: three rows are broadcast, and no row of a flag is shuffled or sorted
+    return stage(model)
 
 
 @query("explain_contributions", ["moments"], sql=f"""
@@ -69,18 +70,17 @@ def per_fold(spark, sf):
     """Importance per (flag, status); the status plays the part of the fold and flips the sign."""
     df = lines(spark, sf)
     keys = ["l_linestatus", "l_returnflag"]
-    rows = df.withColumn("_k", F.lit(1))
-    model = fixed_model(df, FLAG)
-    joined = rows.join(model, FLAG)
+    joined = df.join(fixed_model(df, FLAG), FLAG)
     aggs = []
     terms = linear.linear_terms(X)
     for i, t in enumerate(terms):
-        sign = F.when(F.first("l_linestatus") == "F", 1.0).otherwise(-1.0)
-        aggs += [(F.first(F.col("coef")[i]) * sign).alias(f"std_coef__{i}"), F.avg(F.abs(t)).alias(f"mean_abs_shap__{i}"), F.avg(t).alias(f"mean_shap__{i}")]
+        aggs += [F.first(F.col("coef")[i]).alias(f"std_coef__{i}"), F.avg(F.abs(t)).alias(f"mean_abs_shap__{i}"), F.avg(t).alias(f"mean_shap__{i}")]
     from panelcast.operators.quality import wide_to_long
 
+    # the sign comes from the key after the aggregation: a first string inside it would sort all rows of a task
     out = wide_to_long(joined.groupBy(*keys).agg(*aggs), keys, "feature", X, ["std_coef", "mean_abs_shap", "mean_shap"])
-    return out.withColumnRenamed("l_linestatus", "fold")
+    sign = F.when(F.col("l_linestatus") == "F", 1.0).otherwise(-1.0)
+    return out.withColumn("std_coef", F.col("std_coef") * sign).withColumnRenamed("l_linestatus", "fold")
 
 
 @query("explain_cross_fold", ["per_fold"], sql="""
