@@ -47,43 +47,28 @@ def spelled(text: Column) -> Column:
     """Text in which a number is one word, a unit is a word of its own and white space is one blank."""
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
     text = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{NAME}-{POINT}\s\p{{Z}}]+", " ")
-    text = F.regexp_replace(text, r"(?<=\p{N})[.,](?=\p{N})", POINT)
-    return F.regexp_replace(text, rf"(?i)(?<=\p{{N}})(?=(?:{units})(?![\p{{L}}\p{{N}}]))", " ")
+    # patterns begin with what is rare, and look behind only there: a look-behind at every character is most of the time
+    text = F.regexp_replace(text, r"[.,](?<=\p{N}[.,])(?=\p{N})", POINT)
+    return F.regexp_replace(text, rf"(?i)[\p{{N}}&&[\x{{0}}-\x{{FFFF}}]](?=(?:{units})(?![\p{{L}}\p{{N}}]))", "$0 ")
 
 
 def forms(spelled_text: Column) -> list[Column]:
     """The text itself; with placeholders for values and names inside sentences; with one for every capitalised word."""
     units = "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))
     text = F.regexp_replace(spelled_text, rf"\p{{N}}+(?:{POINT}\p{{N}}+)*", NUMBER)
-    text = F.regexp_replace(text, rf"(?i)(?<={NUMBER} )(?:{units})(?![\p{{L}}{NUMBER}])", UNIT)
+    text = F.regexp_replace(text, rf"(?i){NUMBER} (?:{units})(?![\p{{L}}{NUMBER}])", f"{NUMBER} {UNIT}")
     name = rf"\p{{Lu}}\p{{Ll}}+(?![\p{{L}}{NUMBER}])"
-    inside = F.regexp_replace(text, rf"(?<=[\p{{Ll}}{NUMBER}{UNIT},;:] ){name}", NAME)
-    return [spelled_text, inside, F.regexp_replace(inside, rf"(?<![\p{{L}}{NUMBER}]){name}", NAME)]
+    inside = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<=[\p{{Ll}}{NUMBER}{UNIT},;:] ){name}", NAME)
+    return [spelled_text, inside, F.regexp_replace(inside, rf"(?=\p{{Lu}})(?<![\p{{L}}{NUMBER}]){name}", NAME)]
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{NAME}-{POINT}]+"), "")
 
 
-def window_hashes(rows: DataFrame, *columns: str) -> DataFrame:
-    """``rows`` with each column of words replaced by the hashes of its windows of eight words; null for fewer.
-
-    Each word is hashed once; neighbours are joined to pairs, fours and eights.  Every step is a
-    projection of its own, so that what it uses several times is made once.
-    """
-    kept = [c for c in rows.columns if c not in columns]
-    rows = rows.select(*kept, *(F.when(F.size(c) >= WIDTH, F.transform(c, lambda w: F.xxhash64(w))).alias(c) for c in columns))
-    for step in (1, 2, 4):
-        rows = rows.select(*kept, *(F.zip_with(c, F.slice(c, step + 1, F.size(c)), lambda a, b: F.xxhash64(a, b)).alias(c) for c in columns))
-    return rows.select(*kept, *(F.slice(c, 1, F.size(c) - WIDTH + 1).alias(c) for c in columns))
-
-
-def hash_of(canon: Column) -> Column:
-    """The same hash of one window, given as words joined by blanks."""
-    parts = [F.xxhash64(F.split_part(canon, F.lit(" "), F.lit(k + 1))) for k in range(WIDTH)]
-    for step in (1, 2, 4):
-        parts = [F.xxhash64(x, y) for x, y in zip(parts[::2], parts[1::2])]
-    return parts[0]
+def window_hash(form: str, start: Column) -> Column:
+    """Hash of the eight words of ``form`` from ``start`` (from 0) on; of single elements, as a slice of a long array reads all of it."""
+    return F.xxhash64(*(F.get(form, start + j) for j in range(WIDTH)))
 
 
 def words_of_forms(rows: DataFrame, *keys: str) -> DataFrame:
@@ -94,21 +79,37 @@ def words_of_forms(rows: DataFrame, *keys: str) -> DataFrame:
 def windows(rows: DataFrame, *keys: str, at: str | None = None) -> DataFrame:
     """keys, n_words, pos, raw, form, hash, canon (eight words each, joined by blanks) of windows of ``rows``' text in each form: all, or those at the positions ``at``."""
     parts = words_of_forms(rows, *keys, *([at] if at else []))
-    # single elements: a slice of a long array reads all of it, for every window
     joined = lambda k, i: F.concat_ws(" ", *(F.get(f"_{k}", i - 1 + j) for j in range(WIDTH)))
+    form = lambda k, i: F.struct(joined(k, i).alias("canon"), window_hash(f"_{k}", i - 1).alias("hash"))
     places = F.col(at) if at else F.sequence(F.lit(1), F.size("_0") - WIDTH + 1)
-    each = F.transform(F.when(F.size("_0") >= WIDTH, places), lambda i: F.struct(i.alias("pos"), F.array(*(joined(k, i) for k in range(3))).alias("forms")))
+    each = F.transform(F.when(F.size("_0") >= WIDTH, places), lambda i: F.struct(i.alias("pos"), F.array(*(form(k, i) for k in range(3))).alias("forms")))
     long = parts.select(*keys, F.size("_0").alias("n_words"), F.explode(each).alias("w"))
-    long = long.select(*keys, "n_words", "w.pos", F.col("w.forms")[0].alias("raw"), F.posexplode("w.forms").alias("form", "canon"))
-    return long.withColumn("hash", hash_of(F.col("canon")))
+    long = long.select(*keys, "n_words", "w.pos", F.col("w.forms")[0]["canon"].alias("raw"), F.posexplode("w.forms").alias("form", "f"))
+    return long.select(*keys, "n_words", "pos", "raw", "form", "f.hash", "f.canon")
 
 
-def hits(docs: DataFrame, benchmark_hashes: DataFrame) -> DataFrame:
-    """doc_id, text_key, at (positions of windows among the benchmark's in some form) of documents with any."""
+def hits(docs: DataFrame, benchmark_hashes: DataFrame, step: int = 1) -> DataFrame:
+    """doc_id, text_key, at (positions of windows among the benchmark's in some form) of documents with any; every ``step``-th window is looked up."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    rows = window_hashes(words_of_forms(rows, "doc_id", "text_key"), "_0", "_1", "_2")
-    each = rows.select("doc_id", "text_key", F.size("_0").alias("n"), F.posexplode(F.concat("_0", "_1", "_2")).alias("k", "hash"))
-    return each.join(benchmark_hashes, "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("k") % F.col("n") + 1).alias("at"))
+    rows = words_of_forms(rows, "doc_id", "text_key")
+    starts = F.when(F.size("_0") >= WIDTH, F.sequence(F.lit(0), F.size("_0") - WIDTH, F.lit(step)))
+    of = lambda form: lambda i: window_hash(form, i)
+    hashed = [F.transform(starts, of(f"_{k}")) for k in range(3)]
+    n = F.floor((F.size("_0") - WIDTH) / step).cast("int") + 1
+    each = rows.select("doc_id", "text_key", n.alias("n"), F.posexplode(F.concat(*hashed)).alias("k", "hash"))
+    return each.join(benchmark_hashes, "hash", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.col("k") % F.col("n") * step + 1).alias("at"))
+
+
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast up to a fixed number of rows, else joined by shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_WINDOWS else table
+
+
+def texts_of(docs: DataFrame, named: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text_key, text of the rows of ``docs`` named by ``named`` (doc_id, text_key), and ``columns`` of it."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
+    return keyed.alias("d").join(named.alias("f"), same, "inner").select("d.doc_id", "d.text_key", "d.text", *(f"f.{c}" for c in columns))
 
 
 def is_slot(word: Column) -> Column:
@@ -136,15 +137,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     templates = stage(templates_of(items))
     hashes = templates.select("hash").distinct()
-    if hashes.count() <= BROADCAST_WINDOWS:
-        hashes = F.broadcast(hashes)
-    found_docs = stage(hits(docs, hashes))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    size = templates.agg(F.countDistinct("hash").alias("hashes"), F.min("need").alias("need")).first()
+    hashes = bounded(hashes, size.hashes)
+    # a reported run has at least ``need`` windows at consecutive words, so one of them is a ``need``-th window of the text:
+    # those alone decide which texts are searched whole
+    maybe = stage(hits(docs, hashes, size.need or 1).select("doc_id", "text_key"))
+    candidates = stage(texts_of(docs, bounded(maybe, maybe.count())))
+    found_docs = stage(hits(candidates, hashes))
     size = found_docs.agg(F.count("*").alias("docs"), F.sum(F.size("at")).alias("places")).first()
-    if size.docs + (size.places or 0) <= BROADCAST_WINDOWS:
-        found_docs = F.broadcast(found_docs)  # else texts are shuffled for the join
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.text_key") == F.col("f.text_key"))
-    texts = keyed.alias("d").join(found_docs.alias("f"), same, "inner").select("d.doc_id", "d.text_key", "d.text", "f.at")
+    texts = texts_of(candidates, bounded(found_docs, size.docs + (size.places or 0)), "at")
     of_docs = windows(texts, "doc_id", "text_key", at="at").where("form = 0 OR canon <> raw").select("doc_id", "text_key", "pos", "raw", "hash", "canon")
     matched = stage(of_docs.join(hashes, "hash", "left_semi").distinct().join(templates, ["hash", "canon"]))
     return runs(good_windows(matched))

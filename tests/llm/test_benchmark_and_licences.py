@@ -194,3 +194,23 @@ def test_windows_cover_everything(spark):
     for i, t in enumerate(texts):
         assert sum(len(w) for w in got[i]) >= len(t.rstrip()) and all(w in t for w in got[i])
         assert all(t[k : k + 300].strip() in " ".join(got[i]) or any(t[k : k + 300].strip() in w for w in got[i]) for k in range(0, len(t) - 300, 97))
+
+
+def test_every_step_and_no_run_lost(spark):
+    """Every need-th window decides which texts are searched whole: the shortest reported run is found at any place, in any form."""
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron rho"
+    short = "red green blue black white brown violet orange"
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    filler = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    cut = long.split()[1:14]  # thirteen words: six windows
+    rows = [(k, " ".join([*filler[:k], *cut, *filler[k:]])) for k in range(14)] + [(20 + k, " ".join([*filler[:k], short.upper(), *filler[k:]])) for k in range(14)]
+    rows += [(40 + k, " ".join([*filler[:k], *cut[:12], *filler[k:]])) for k in range(14)]  # five windows
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for items, ids in ((bench, {*range(14), *range(20, 34)}), (bench.where("item_id = 1"), set(range(14)))):
+        found = dc.contaminated(docs, items).collect()
+        assert {r.doc_id for r in found} == ids
+        assert {r.n_windows for r in found if r.item_id == 1} == {6}
+    hashes = dc.windows(bench.where("item_id = 1").withColumnRenamed("item_id", "doc_id"), "doc_id").select("hash").distinct()
+    every, sixth = ({r.doc_id: set(r["at"]) for r in dc.hits(docs.where("doc_id < 14"), hashes, step).collect()} for step in (1, 6))
+    assert {k: v for k, v in every.items()} == {k: set(range(k + 1, k + 7)) for k in range(14)}
+    assert sixth == {k: {p for p in v if p % 6 == 1} for k, v in every.items()} and all(len(v) == 1 for v in sixth.values())
