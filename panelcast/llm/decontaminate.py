@@ -3,8 +3,8 @@
 Words are lower-cased; numbers, units behind numbers and names become typed placeholders.  A text has
 three forms: its own words, one with the capitalised words inside sentences as names, one with all
 capitalised words as names (a name may begin a sentence, and so may any other word).  Every window of
-eight words of a document, in each form, is looked up by hash among the windows of every item's forms;
-what is found is compared word by word:
+eight words of a document, in each form, is looked up by hash among the windows of every item's forms (of a
+document in which no window at every ``need``-th word is found, only those: it can hold no run); what is found is compared word by word:
 
 * a window is *verbatim* if its own words, values included, are the item's; letter case, white space
   and line breaks do not matter;
