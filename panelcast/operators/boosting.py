@@ -11,7 +11,10 @@ configuration and fold; here one job grows a level of every ensemble that is sti
 3. sums of one ensemble meet keyed on it, in order, so a task holds one histogram; it finds the best cut
    of every open node, and the driver takes those cuts (ensembles × open nodes, a size that the
    configurations bound), never a row, a histogram or a prediction,
-4. every ``STAGED_ROUNDS`` rounds the running predictions are brought up to date and staged, so neither
+4. where a fold has at most ``WHOLE_ROWS`` train rows, the histograms of a deep level are larger than the rows they
+   are made of, so steps 2 and 3 send the rows instead (a byte a feature and eight for the gradient), and the task that
+   receives those of an ensemble grows its tree to the end: a job for each round instead of one for each level,
+5. every ``STAGED_ROUNDS`` rounds the running predictions are brought up to date and staged, so neither
    the trees that travel nor the work repeated after a lost executor grow with the number of rounds.
 
 Ensembles are independent: each is at its own round and level, and stops by its own losses.  Gradients
@@ -20,13 +23,14 @@ depend on the order in which tasks finish.  Leaf-budget configurations split the
 best gain first until the budget is used up.
 
 A task's memory is its partition of the scan (one byte a feature and eight a configuration for each row) and one
-histogram of open nodes × features × bins.
+histogram of open nodes × features × bins, or the at most ``WHOLE_ROWS`` rows of one ensemble, which take as much as
+the histogram of 64 open nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ from panelcast.sources.staging import stage
 
 BINS = 64
 STAGED_ROUNDS = 4
+WHOLE_ROWS = 1 << 16
 FIXED_POINT = float(1 << 20)
 FIT, STOP, OTHER = 0, 1, 2
 
@@ -89,6 +94,17 @@ class Tree:
             for values, value in ((self.feature, -1), (self.cut, 0), (self.left, 0), (self.n, rows), (self.total, part), (self.depth, self.depth[node] + 1)):
                 values.append(value)
 
+    def extend(self, cuts: Sequence[tuple], leaves: int, depth: int) -> None:
+        """Use a level's cuts, best gain first while the budget of leaves lasts, and open the nodes of the next level."""
+        budget = leaves - (len(self.feature) + 1) // 2 if leaves else None
+        better = sorted((r for r in cuts if r[3] >= 0), key=lambda r: (-r[5], r[0]))
+        opened: list[int] = []
+        for node, _, _, feature, cut, _, n, total in better if budget is None else better[:budget]:
+            opened += [len(self.feature), len(self.feature) + 1]
+            self.split(node, feature, cut, n, total)
+        full = leaves and (len(self.feature) + 1) // 2 >= leaves
+        self.open = [] if full else [k for k in opened if not depth or self.depth[k] < depth]
+
     def arrays(self, rate: float = 0.0) -> tuple[np.ndarray, ...]:
         value = rate * np.array(self.total) / np.maximum(self.n, 1)
         return np.array(self.feature), np.array(self.cut), np.array(self.left), value
@@ -124,33 +140,37 @@ class Ensemble:
     done: bool = False
 
     def ask(self) -> tuple:
-        """What tasks need to know: trees to follow, the tree being grown, its open nodes, and how rows and features are drawn."""
+        """What tasks need to know: trees to follow, the tree being grown, its open nodes, how rows and features are drawn, and the tree's limits."""
         tree, open_ = (None, [0]) if self.tree is None else (self.tree.arrays(), self.tree.open)
-        return self.fold, self.slot, self.patience is not None, self.pending, tree, open_, self.rounds, self.config.subsample, max(self.config.min_rows, 1), self.config.features(self.n_features, self.rounds)
+        c = self.config
+        return self.fold, self.slot, self.patience is not None, self.pending, tree, open_, self.rounds, c.subsample, max(c.min_rows, 1), c.features(self.n_features, self.rounds), c.leaves, c.depth
+
+    def ended(self, loss: float | None) -> bool:
+        """Before a new tree: note the loss of the rounds finished so far; no more rounds are due."""
+        if loss is not None and self.rounds and loss < self.best:
+            self.best, self.best_round = loss, self.rounds
+        self.done = self.rounds >= self.limit or (self.patience is not None and self.rounds - self.best_round >= self.patience)
+        return self.done
 
     def take(self, cuts: list[tuple], loss: float | None) -> None:
         """Use a level's cuts; ``loss`` is that of the rounds finished so far, given with a new tree only."""
         if self.tree is None:
-            if loss is not None and self.rounds and loss < self.best:
-                self.best, self.best_round = loss, self.rounds
-            if self.rounds >= self.limit or (self.patience is not None and self.rounds - self.best_round >= self.patience):
-                self.done = True
+            if self.ended(loss):
                 return
-        rows = {r[0]: r for r in cuts}
-        if self.tree is None:
-            _, n, total, *_ = rows.get(0, (0, 0, 0.0))
+            _, n, total, *_ = next((r for r in cuts if r[0] == 0), (0, 0, 0.0))
             self.tree = Tree(n, total)
-        tree, budget = self.tree, self.config.leaves - (len(self.tree.feature) + 1) // 2 if self.config.leaves else None
-        better = sorted((r for r in rows.values() if r[3] >= 0), key=lambda r: (-r[5], r[0]))
-        opened: list[int] = []
-        for node, _, _, feature, cut, _, n, total in better if budget is None else better[:budget]:
-            opened += [len(tree.feature), len(tree.feature) + 1]
-            tree.split(node, feature, cut, n, total)
-        full = self.config.leaves and (len(tree.feature) + 1) // 2 >= self.config.leaves
-        tree.open = [] if full else [k for k in opened if not self.config.depth or tree.depth[k] < self.config.depth]
-        if not tree.open:
-            self.pending.append(tree.arrays(self.config.rate / self.scale))
-            self.tree, self.rounds = None, self.rounds + 1
+        self.tree.extend(cuts, self.config.leaves, self.config.depth)
+        if not self.tree.open:
+            self.finish(self.tree)
+
+    def take_whole(self, tree: Tree, loss: float | None) -> None:
+        """Use a whole tree, grown from the rows of this ensemble; ``loss`` as above."""
+        if not self.ended(loss):
+            self.finish(tree)
+
+    def finish(self, tree: Tree) -> None:
+        self.pending.append(tree.arrays(self.config.rate / self.scale))
+        self.tree, self.rounds = None, self.rounds + 1
 
 
 def fixed_width(column: pa.Array, dtype: type) -> np.ndarray:
@@ -195,6 +215,7 @@ class Binned:
     n_features: int
     n_slots: int
     targets: dict[int, tuple[float, float]]  # per fold: mean of y over train rows, largest distance from it
+    train_rows: dict[int, int]
 
 
 def prepared(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], part: Mapping[str, int], slots: int, fold: str = "fold", role: str = "role", y: str = "y") -> Binned:
@@ -210,7 +231,7 @@ def prepared(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], part:
     names = [f"_x{j}" for j in range(p)]
     edges = edges_of(rows, names)
     train = rows.where(F.col("_part") != OTHER).groupBy("_fold")
-    ends = train.agg(F.avg("y").alias("m"), F.max("y").alias("hi"), F.min("y").alias("lo")).collect()
+    ends = train.agg(F.avg("y").alias("m"), F.max("y").alias("hi"), F.min("y").alias("lo"), F.count(F.lit(1)).alias("n")).collect()
     base = {r["_fold"]: float(f"{r['m']:.12g}") for r in ends}  # without the digits that depend on the order of summing
     mean = {r["_fold"]: (base[r["_fold"]], max(abs(r["hi"] - base[r["_fold"]]), abs(r["lo"] - base[r["_fold"]]))) for r in ends}
 
@@ -234,7 +255,7 @@ def prepared(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], part:
     # rows of a fold lie together, so a task gives histograms of few ensembles
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = rows.mapInArrow(binned, f"{fields}, _bins binary, _f binary").repartitionByRange(tasks, "_fold", "_id")
-    return Binned(stage(out), keys, p, slots, mean)
+    return Binned(stage(out), keys, p, slots, mean, {r["_fold"]: r["n"] for r in ends})
 
 
 def running(f: np.ndarray, slot: int, pending: list[tuple[np.ndarray, ...]], bins: np.ndarray) -> np.ndarray:
@@ -245,6 +266,69 @@ def running(f: np.ndarray, slot: int, pending: list[tuple[np.ndarray, ...]], bin
     return out
 
 
+def learning(batches: Iterator[pa.RecordBatch], asked: list[tuple], targets: Mapping[int, tuple[float, float]]) -> Iterator[tuple]:
+    """For every ensemble asked about that has rows in a task: its number, loss on stopping rows, their count, and open node (as counted
+    from 0), bins and gradient of each row it learns from."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    column = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("_fold", "_id", "_part", "y")}
+    bins = np.concatenate([fixed_width(b.column("_bins"), np.uint8) for b in held])
+    f = np.concatenate([fixed_width(b.column("_f"), np.float64) for b in held])
+    for k in np.unique(column["_fold"]):
+        here = np.flatnonzero(column["_fold"] == k)
+        stop = here[column["_part"][here] == STOP]
+        fits = {True: here[column["_part"][here] == FIT], False: here[column["_part"][here] != OTHER]}
+        bins_of = {watch: bins[fit] for watch, fit in fits.items()}
+        for number, (fold, slot, watch, pending, tree, open_, round_, share, *_) in enumerate(asked):
+            if fold != k:
+                continue
+            fit, fit_bins = fits[watch], bins_of[watch]
+            loss, seen = 0.0, 0
+            if watch and tree is None and len(stop):
+                off = column["y"][stop] - running(f[stop], slot, pending, bins[stop])
+                loss, seen = float(np.rint(np.abs(off) * (FIXED_POINT / max(targets[k][1], 1e-300))).sum()), len(stop)
+            gradient = column["y"][fit] - running(f[fit], slot, pending, fit_bins)
+            gradient = np.rint(gradient * (FIXED_POINT / max(targets[k][1], 1e-300)))
+            local = np.full((max(open_) + 1 if tree is None else len(tree[0])), -1)
+            local[open_] = np.arange(len(open_))
+            node = local[leaves_of(tree, fit_bins) if tree is not None else np.zeros(len(fit), dtype=np.int64)]
+            use = node >= 0
+            if share < 1.0:
+                use &= sampled(column["_id"][fit], round_, share)
+            use = np.flatnonzero(use)
+            yield number, loss, seen, node[use], fit_bins[use], gradient[use]
+
+
+def sums_of(node: np.ndarray, bins: np.ndarray, gradient: np.ndarray, n_open: int) -> np.ndarray:
+    """Counts and gradient sums of every (open node, feature, bin)."""
+    sums = np.empty((2, n_open, bins.shape[1], BINS))
+    for j in range(bins.shape[1]):
+        at = node * BINS + bins[:, j]
+        sums[0, :, j] = np.bincount(at, minlength=n_open * BINS).reshape(n_open, BINS)
+        sums[1, :, j] = np.bincount(at, gradient, n_open * BINS).reshape(n_open, BINS)
+    return sums
+
+
+def best_cuts(sums: np.ndarray, open_: Sequence[int], least: int, features: np.ndarray) -> list[np.ndarray]:
+    """Best cut of every open node: node, rows, gradient sum, feature or -1, cut, gain, rows and gradient sum to the left."""
+    n, g = sums
+    all_n, all_g = n[:, 0].sum(axis=1), g[:, 0].sum(axis=1)
+    left_n, left_g = np.cumsum(n, axis=2)[:, :, :-1], np.cumsum(g, axis=2)[:, :, :-1]
+    right_n, right_g = all_n[:, None, None] - left_n, all_g[:, None, None] - left_g
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = left_g**2 / left_n + right_g**2 / right_n - (all_g**2 / all_n)[:, None, None]
+    allowed = np.isin(np.arange(n.shape[1]), features)[None, :, None]
+    gain = np.where(allowed & (left_n >= least) & (right_n >= least), gain, -1.0).reshape(len(open_), -1)
+    best = gain.argmax(axis=1)  # ties: smaller feature, then smaller cut
+    rows = np.arange(len(open_))
+    good = gain[rows, best] > 1e-9 * np.maximum(all_g**2, 1.0)
+    return [
+        np.array(open_), all_n.astype(np.int64), all_g, np.where(good, best // (BINS - 1), -1), best % (BINS - 1), gain[rows, best],
+        left_n.reshape(len(open_), -1)[rows, best].astype(np.int64), left_g.reshape(len(open_), -1)[rows, best],
+    ]
+
+
 def level(data: Binned, asked: list[tuple]) -> dict[int, tuple[list[tuple], float | None]]:
     """Action: for every ensemble asked about, the best cut of each open node and, if it watches them, the loss on the stopping rows.
 
@@ -254,40 +338,9 @@ def level(data: Binned, asked: list[tuple]) -> dict[int, tuple[list[tuple], floa
     p, targets = data.n_features, data.targets
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        column = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("_fold", "_id", "_part", "y")}
-        bins = np.concatenate([fixed_width(b.column("_bins"), np.uint8) for b in held])
-        f = np.concatenate([fixed_width(b.column("_f"), np.float64) for b in held])
-        for k in np.unique(column["_fold"]):
-            here = np.flatnonzero(column["_fold"] == k)
-            stop = here[column["_part"][here] == STOP]
-            learning = {True: here[column["_part"][here] == FIT], False: here[column["_part"][here] != OTHER]}
-            for number, (fold, slot, watch, pending, tree, open_, round_, share, _, _) in enumerate(asked):
-                if fold != k:
-                    continue
-                fit = learning[watch]
-                fit_bins = bins[fit]
-                loss, seen = 0.0, 0
-                if watch and tree is None and len(stop):
-                    off = column["y"][stop] - running(f[stop], slot, pending, bins[stop])
-                    loss, seen = float(np.rint(np.abs(off) * (FIXED_POINT / max(targets[k][1], 1e-300))).sum()), len(stop)
-                gradient = column["y"][fit] - running(f[fit], slot, pending, fit_bins)
-                gradient = np.rint(gradient * (FIXED_POINT / max(targets[k][1], 1e-300)))
-                local = np.full((max(open_) + 1 if tree is None else len(tree[0])), -1)
-                local[open_] = np.arange(len(open_))
-                node = local[leaves_of(tree, fit_bins) if tree is not None else np.zeros(len(fit), dtype=np.int64)]
-                use = node >= 0
-                if share < 1.0:
-                    use &= sampled(column["_id"][fit], round_, share)
-                use = np.flatnonzero(use)
-                at = (node[use, None] * (p * BINS) + np.arange(p) * BINS + fit_bins[use]).ravel()
-                size = len(open_) * p * BINS
-                sums = np.empty((2, size))
-                sums[0] = np.bincount(at, minlength=size)
-                sums[1] = np.bincount(at, np.repeat(gradient[use], p), size)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([loss]), pa.array([seen], pa.int64()), binary(sums.reshape(1, -1))], names=["model", "loss", "seen", "sums"])
+        for number, loss, seen, node, bins, gradient in learning(batches, asked, targets):
+            sums = sums_of(node, bins, gradient, len(asked[number][5]))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([loss]), pa.array([seen], pa.int64()), binary(sums.reshape(1, -1))], names=["model", "loss", "seen", "sums"])
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total, loss, seen = None, None, 0.0, 0
@@ -307,36 +360,96 @@ def level(data: Binned, asked: list[tuple]) -> dict[int, tuple[list[tuple], floa
             yield found(model, total, loss, seen)
 
     def found(model: int, total: np.ndarray, loss: float, seen: int) -> pa.RecordBatch:
-        *_, least, features = asked[model]
-        open_ = asked[model][5]
-        n, g = total.reshape(2, len(open_), p, BINS)
-        all_n, all_g = n[:, 0].sum(axis=1), g[:, 0].sum(axis=1)
-        left_n, left_g = np.cumsum(n, axis=2)[:, :, :-1], np.cumsum(g, axis=2)[:, :, :-1]
-        right_n, right_g = all_n[:, None, None] - left_n, all_g[:, None, None] - left_g
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left_g**2 / left_n + right_g**2 / right_n - (all_g**2 / all_n)[:, None, None]
-        allowed = np.isin(np.arange(p), features)[None, :, None]
-        gain = np.where(allowed & (left_n >= least) & (right_n >= least), gain, -1.0).reshape(len(open_), -1)
-        best = gain.argmax(axis=1)  # ties: smaller feature, then smaller cut
-        rows = np.arange(len(open_))
-        good = gain[rows, best] > 1e-9 * np.maximum(all_g**2, 1.0)
-        columns = [
-            pa.array([model] * len(open_), pa.int32()), pa.array([loss] * len(open_)), pa.array([seen] * len(open_), pa.int64()), pa.array(open_, pa.int32()),
-            pa.array(all_n.astype(np.int64)), pa.array(all_g), pa.array(np.where(good, best // (BINS - 1), -1), pa.int32()), pa.array(best % (BINS - 1), pa.int32()),
-            pa.array(gain[rows, best]), pa.array(left_n.reshape(len(open_), -1)[rows, best].astype(np.int64)), pa.array(left_g.reshape(len(open_), -1)[rows, best]),
-        ]
+        open_, least, features = asked[model][5], asked[model][8], asked[model][9]
+        best = best_cuts(total.reshape(2, len(open_), p, BINS), open_, least, features)
+        columns = [pa.array([model] * len(open_), pa.int32()), pa.array([loss] * len(open_)), pa.array([seen] * len(open_), pa.int64())]
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
+        columns += [pa.array(values, kind) for values, kind in zip(best, kinds)]
         return pa.RecordBatch.from_arrays(columns, names=["model", "loss", "seen", "node", "n", "total", "feature", "cut", "gain", "left_n", "left_total"])
 
-    folds = sorted({a[0] for a in asked})
-    rows = data.rows.where(F.col("_fold").isin(folds) & (F.col("_part") != OTHER)).select("_fold", "_id", "_part", "y", "_bins", "_f")
-    partial = rows.mapInArrow(histograms, "model int, loss double, seen long, sums binary")
+    partial = train_rows(data, asked).mapInArrow(histograms, "model int, loss double, seen long, sums binary")
     merged = partial.repartition("model").sortWithinPartitions("model")
     best = merged.mapInArrow(cuts, "model int, loss double, seen long, node int, n long, total double, feature int, cut int, gain double, left_n long, left_total double")
     out: dict[int, tuple[list[tuple], float | None]] = {k: ([], None) for k in range(len(asked))}
     for r in best.collect():  # one row for each open node of an ensemble
         nodes, _ = out[r.model]
         nodes.append((r.node, r.n, r.total, r.feature, r.cut, r.gain, r.left_n, r.left_total))
-        out[r.model] = nodes, (r.loss / r.seen / FIXED_POINT * targets[asked[r.model][0]][1] if r.seen else None)
+        out[r.model] = nodes, mean_loss(data, asked[r.model], r.loss, r.seen)
+    return out
+
+
+def train_rows(data: Binned, asked: list[tuple]) -> DataFrame:
+    folds = sorted({a[0] for a in asked})
+    return data.rows.where(F.col("_fold").isin(folds) & (F.col("_part") != OTHER)).select("_fold", "_id", "_part", "y", "_bins", "_f")
+
+
+def mean_loss(data: Binned, ask: tuple, loss: float, seen: int) -> float | None:
+    return loss / seen / FIXED_POINT * data.targets[ask[0]][1] if seen else None
+
+
+def tree_of(bins: np.ndarray, gradient: np.ndarray, features: np.ndarray, least: int, leaves: int, depth: int) -> Tree:
+    """Tree of one ensemble from its rows, level by level with the cuts that ``level`` finds; ``bins`` has a column for each of ``features``."""
+    tree, at = Tree(len(bins), float(gradient.sum())), np.zeros(len(bins), dtype=np.int64)
+    while tree.open:
+        local = np.full(len(tree.feature), -1)
+        local[tree.open] = np.arange(len(tree.open))
+        use = np.flatnonzero(local[at] >= 0)  # rows of leaves are done
+        bins, gradient, at = bins[use], gradient[use], at[use]
+        best = best_cuts(sums_of(local[at], bins, gradient, len(tree.open)), tree.open, least, np.arange(len(features)))
+        tree.extend(list(zip(*(column.tolist() for column in best))), leaves, depth)
+        feature, cut, left, _ = tree.arrays()
+        use = np.flatnonzero(feature[at] >= 0)
+        bins, gradient, at = bins[use], gradient[use], at[use]
+        at = left[at] + (bins[np.arange(len(at)), feature[at]] > cut[at])
+    tree.feature = [int(features[j]) if j >= 0 else -1 for j in tree.feature]
+    return tree
+
+
+def whole(data: Binned, asked: list[tuple]) -> dict[int, tuple[Tree, float | None]]:
+    """Action: for every ensemble asked about, its whole next tree and, if it watches them, the loss on the stopping rows.
+
+    For folds of at most ``WHOLE_ROWS`` train rows; the trees are those that ``level`` gives.
+    """
+    targets = data.targets
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, loss, seen, _, bins, gradient in learning(batches, asked, targets):
+            bins = bins[:, np.sort(asked[number][9])]  # features the round may cut at
+            columns = [pa.array([number], pa.int32()), pa.array([loss]), pa.array([seen], pa.int64()), binary(bins.reshape(1, -1)), binary(gradient.reshape(1, -1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["model", "loss", "seen", "bins", "gradient"])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column("model")[i].as_py()
+                if number != model:
+                    if held:
+                        yield found(model, held)
+                    model, held = number, []
+                bins = fixed_width(batch.column("bins").slice(i, 1), np.uint8).reshape(-1, len(asked[model][9]))
+                gradient = fixed_width(batch.column("gradient").slice(i, 1), np.float64)[0]
+                held.append((batch.column("loss")[i].as_py(), batch.column("seen")[i].as_py(), bins, gradient))
+        if held:
+            yield found(model, held)
+
+    def found(model: int, held: list[tuple]) -> pa.RecordBatch:
+        loss, seen, bins, gradient = zip(*held)
+        *_, least, features, leaves, depth = asked[model]
+        tree = tree_of(np.concatenate(bins), np.concatenate(gradient), np.sort(features), least, leaves, depth)
+        columns = [pa.array([model], pa.int32()), pa.array([sum(loss)]), pa.array([sum(seen)], pa.int64())]
+        columns += [pa.array([values], pa.list_(kind)) for values, kind in zip((tree.feature, tree.cut, tree.left, tree.n, tree.total), (*[pa.int32()] * 3, pa.int64(), pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["model", "loss", "seen", "feature", "cut", "left", "n", "total"])
+
+    rows = train_rows(data, asked).mapInArrow(sent, "model int, loss double, seen long, bins binary, gradient binary")
+    tasks = min(len(asked), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work: not to be coalesced
+    together = rows.repartition(tasks, "model").sortWithinPartitions("model")
+    trees = together.mapInArrow(grown, "model int, loss double, seen long, feature array<int>, cut array<int>, left array<int>, n array<long>, total array<double>")
+    out: dict[int, tuple[Tree, float | None]] = {k: (Tree(0, 0.0), None) for k in range(len(asked))}
+    for r in trees.collect():  # one row for each ensemble
+        tree, _ = out[r.model]
+        tree.feature, tree.cut, tree.left, tree.n, tree.total = r.feature, r.cut, r.left, r.n, r.total
+        out[r.model] = tree, mean_loss(data, asked[r.model], r.loss, r.seen)
     return out
 
 
@@ -357,7 +470,7 @@ def caught_up(data: Binned, ensembles: list[Ensemble]) -> Binned:
     rows = stage(data.rows.mapInArrow(updated, data.rows.schema))
     for e in ensembles:
         e.pending = []
-    return Binned(rows, data.keys, data.n_features, data.n_slots, data.targets)
+    return replace(data, rows=rows)
 
 
 def grow(data: Binned, configs: Sequence[Config], rounds: int | Mapping[tuple[int, int], int], patience: int | Sequence[int | None] | None = None) -> tuple[Binned, list[Ensemble]]:
@@ -374,9 +487,16 @@ def grow(data: Binned, configs: Sequence[Config], rounds: int | Mapping[tuple[in
     for e in ensembles:
         e.done = e.limit <= 0
     while active := [e for e in ensembles if not e.done]:
-        answers = level(data, [e.ask() for e in active])
-        for k, e in enumerate(active):
-            e.take(*answers[k])
+        small = [e for e in active if data.train_rows[e.fold] <= WHOLE_ROWS]
+        if small:
+            trees = whole(data, [e.ask() for e in small])
+            for k, e in enumerate(small):
+                e.take_whole(*trees[k])
+        large = [e for e in active if data.train_rows[e.fold] > WHOLE_ROWS]
+        if large:
+            answers = level(data, [e.ask() for e in large])
+            for k, e in enumerate(large):
+                e.take(*answers[k])
         if max(len(e.pending) for e in ensembles) >= STAGED_ROUNDS:
             data = caught_up(data, ensembles)
     return (caught_up(data, ensembles) if any(e.pending for e in ensembles) else data), ensembles

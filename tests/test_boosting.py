@@ -140,6 +140,31 @@ def test_plain_ensembles_beside_a_search(spark):
             np.testing.assert_allclose(want["pred"], want["want"], rtol=1e-9, atol=1e-9)
 
 
+def test_whole_trees_are_those_grown_by_level(spark, monkeypatch):
+    """Folds of few rows get a tree from their rows, others from histograms a level: the same to the last bit, also side by side."""
+    pdf = sample(n=260, folds=3, seed=5)
+    rows, out = table(spark, pdf[(pdf.fold != 3) | (pdf.ts % 2 == 0)]), []
+    for most in (b.WHOLE_ROWS, 150, 0):  # all folds, the one with half the rows, none
+        monkeypatch.setattr(b, "WHOLE_ROWS", most)
+        pred, report = b.search(rows, ["series_id", "ts"], COLUMNS, CONFIGS, rounds=3, patience=2, least=2)
+        out.append((sorted((r.fold, r.config, r.ts, r.pred) for r in pred.collect()), sorted(map(str, report))))
+    assert len(out[0][0]) == len(CONFIGS) * (2 * 260 + 130)
+    assert out[0] == out[1] == out[2]
+
+
+def test_jobs_do_not_grow_with_the_depth(spark):
+    """A round of folds with few rows is one step, however deep its trees."""
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    data = b.prepared(table(spark, sample()), ["series_id", "ts"], COLUMNS, {"fit": b.FIT, "stop": b.STOP}, 1, role="inner_role")
+    for depth in (1, 6):
+        config = b.Config(f"depth_{depth}", 0.3, depth=depth)
+        spark.sparkContext.setJobGroup(config.name, "boosting")
+        grown, _ = b.grow(data, [config], 2)
+        jobs.append(len(tracker.getJobIdsForGroup(config.name)))
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_learns_and_chooses(spark):
     from panelcast.operators import evaluate
 
