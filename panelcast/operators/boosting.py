@@ -11,9 +11,9 @@ configuration and fold; here one job grows a level of every ensemble that is sti
 3. sums of one ensemble meet keyed on it, in order, so a task holds one histogram; it finds the best cut
    of every open node, and the driver takes those cuts (ensembles × open nodes, a size that the
    configurations bound), never a row, a histogram or a prediction,
-4. where a fold has at most ``WHOLE_ROWS`` train rows, the histograms of a deep level are larger than the rows they
-   are made of, so steps 2 and 3 send the rows instead (a byte a feature and eight for the gradient), and the task that
-   receives those of an ensemble grows its tree to the end: a job for each round instead of one for each level,
+4. where a fold has at most ``WHOLE_ROWS`` train rows, those take no more than the histogram of 64 open nodes, so
+   steps 2 and 3 send the rows instead (a byte a feature and eight for the gradient), and the task that receives
+   those of an ensemble grows its tree to the end: a job for each round instead of one for each level,
 5. every ``STAGED_ROUNDS`` rounds the running predictions are brought up to date and staged, so neither
    the trees that travel nor the work repeated after a lost executor grow with the number of rounds.
 
@@ -23,8 +23,8 @@ depend on the order in which tasks finish.  Leaf-budget configurations split the
 best gain first until the budget is used up.
 
 A task's memory is its partition of the scan (one byte a feature and eight a configuration for each row) and one
-histogram of open nodes × features × bins, or the at most ``WHOLE_ROWS`` rows of one ensemble, which take as much as
-the histogram of 64 open nodes.
+histogram of open nodes × features × bins, or the at most ``WHOLE_ROWS`` rows of one ensemble, which take no more
+than the histogram of 64 open nodes where there are 15 features.
 """
 
 from __future__ import annotations
